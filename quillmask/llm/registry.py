@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmask.llm import mixing, quality_rules, topk, warc
+from quillmask.llm import mixing, pii, quality_gam, quality_rules, topk, warc
 from quillmask.llm.common import table
 from quillmask.llm.near_dedup import near_duplicates
 
@@ -34,6 +34,14 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.reached) AS component_id, n.doc_id = m
 """
 
 
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents")).drop("text_hash", "all_spans")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -73,7 +81,7 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_dedup, op5_quality_rules, op6_topk, op7_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality_gam, op3_pii, op5_quality_rules, op6_topk, op7_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
