@@ -1,11 +1,53 @@
-"""The corpus pipeline: stages from raw documents to encoded training text."""
+"""The corpus pipeline: quality rules, near-duplicates, personal data, mixing to source weights, encoding.
 
-STAGES: list = []
+Each stage takes all that its predecessor kept, as written and read again, and all but the last return the columns of documents. SQL can't
+express the stages from near-duplicates on over whole tables, so ORACLE_SQL is None and tests compare stages with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmask.llm import mixing, near_dedup, pieces, pii, quality_rules
+from quillmask.llm.common import materialise
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dedup.keep_one(docs)
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes [EMAIL], [IP], [CARD] or [PHONE]; n_chars follows."""
+    return pii.masked(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to source weights takes them."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_pieces, score and second, the next best segmentation's score, of every document; one row for each copy."""
+    rows = pieces.encode(docs, n=2, carry=("lang", "source"))
+    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_pieces"), "score", F.get("alternatives", F.lit(0))["score"].alias("second"))
+
+
+STAGES = [("quality rules", quality), ("near-duplicates", deduplicate), ("personal data", mask), ("source mix", mix), ("encoding", encode)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{i}")
     return docs

@@ -12,6 +12,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +56,51 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillmask/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later steps neither recompute it nor depend on executors' disks."""
+def _writer(folder: str, fn: Callable | None):
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+        part = TaskContext.get().partitionId()
+        hidden, rows, out = f"{path}/_{part}-{uuid.uuid4().hex}", 0, None
+        for b in fn(it) if fn else it:
+            if b.num_rows:
+                out = out or pq.ParquetWriter(hidden, b.schema, filesystem=store)
+                out.write_batch(b)
+                rows += b.num_rows
+        if out:
+            out.close()
+            # the same partition of another attempt has the same rows
+            store.move(hidden, f"{path}/part-{part:06d}.parquet")
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["n"])
+
+    return write
+
+
+def materialise(df: DataFrame, label: str, fn: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """Writes df, or what mapInArrow(fn, schema) makes of it, to the shared folder and reads it back.
+
+    Later steps neither recompute it nor depend on executors' disks. A task writes one file under a hidden name and moves it to its
+    partition's name at its end, so that lost and repeated attempts leave nothing that is read.
+    """
     spark = df.sparkSession
-    df.write.parquet(path := shared_path(spark, label))
-    return spark.read.schema(df.schema).parquet(path)
+    at_workers(spark)
+    folder = shared_path(spark, label)
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    rows = df.mapInArrow(_writer(folder, fn), "n bigint").agg(F.sum("n")).head()[0] or 0
+    kind = spark.createDataFrame([], schema).schema if schema else df.schema
+    out = spark.read.schema(kind).parquet(folder)
+    out.known_rows = rows
+    return out
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' disks. Its lineage stays: what a lost executor held is computed again.
+
+    For what is used several times within a query. Where lineage must be cut, or must not run again, materialise() writes a table.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -73,8 +116,9 @@ def at_workers(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast only if it was counted and found to have few rows. For narrow, materialised tables."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, marked for broadcast only if it was counted and found to have few rows. For narrow tables that are kept or written."""
+    known = getattr(df, "known_rows", None)
+    return F.broadcast(df) if (df.limit(rows + 1).count() if known is None else known) <= rows else df
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

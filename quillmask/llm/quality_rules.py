@@ -13,7 +13,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import WORD, materialise
+from quillmask.llm.common import WORD, keep
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\f\r"
@@ -118,7 +118,7 @@ def judge(docs: DataFrame) -> DataFrame:
     base_failed: under 50 words, or over half of them in repeated windows of three. kept: not base_failed and a posterior of at least
     0.5 under the model fitted to all rows. Null and empty texts fail. Equal texts get equal verdicts; doc_ids may be null or repeat.
     """
-    rows = materialise(with_signals(docs.select("doc_id", F.col("text").alias("__t")), "__t").select("doc_id", *SIGNALS), "signals")
+    rows = keep(with_signals(docs.select("doc_id", F.col("text").alias("__t")), "__t").select("doc_id", *SIGNALS))
     failed = F.expr(BASE_FAILED)
     p = fit(rows).posterior()
     return rows.select("doc_id", *SIGNALS, p.alias("posterior"), failed.alias("base_failed"), (~failed & (p >= 0.5)).alias("kept"))

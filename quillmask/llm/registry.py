@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmask.llm import mixing, pii, quality_gam, quality_rules, topk, warc
+from quillmask.llm import licenses, mixing, pieces, pii, quality_gam, quality_rules, topk, url_filter, warc
 from quillmask.llm.common import table
 from quillmask.llm.near_dedup import near_duplicates
 
@@ -42,6 +43,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents")).drop("text_hash", "all_spans")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "ids", F.size("ids").alias("n_pieces"), "score", F.col("alternatives.score").alias("next_scores"), "round_trip")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -66,6 +72,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.screen(url_filter.dated_captures(pages), url_filter.dated_list(pages))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -81,8 +96,8 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality_gam, op3_pii, op5_quality_rules, op6_topk, op7_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality_gam, op3_pii, op4_sentencepiece, op5_quality_rules, op6_topk, op7_mixing, op8_url_filter, op9_licenses, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL, "op6_topk": OP6_SQL, "op10_warc": OP10_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL, "op6_topk": OP6_SQL, "op8_url_filter": url_filter.ORACLE_SQL, "op10_warc": OP10_SQL}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import at_workers, materialise
+from quillmask.llm.common import at_workers, keep
 
 #: Rows and queries that one task holds; dimensions that are added at once.
 ROW_BLOCK, QUERY_BLOCK, DIMENSIONS = 8192, 2048, 16
@@ -68,7 +68,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double"))
     rows = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & fine).select("vec_id", v.alias("v"))
-    rows = materialise(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")), "vectors")
+    rows = keep(rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v")))
     asked = rows.where(F.col("vec_id") % every == 0)
     row_blocks, query_blocks = -(-rows.count() // ROW_BLOCK) or 1, -(-asked.count() // QUERY_BLOCK) or 1
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
