@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillmask.llm.common import materialise
 
-
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """links(a, b) -> (id, component): the smallest id that each linked id reaches. Ids without links have no row.
 
@@ -22,7 +21,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.least("component", "near").alias("next"), F.col("component").alias("old"))
         jump = labels.select(F.col("id").alias("next"), F.col("component").alias("further"))
-        labels = materialise(step.join(jump, "next", "left").select("id", F.coalesce("further", "next").alias("component"), (F.coalesce("further", "next") != F.col("old")).alias("moved")), f"cc-{i}")
+        labels = step.join(jump, "next", "left").select("id", F.coalesce("further", "next").alias("component"), (F.coalesce("further", "next") != F.col("old")).alias("moved"))
+        labels = materialise(labels, f"cc-{i}")
         if not labels.where("moved").limit(1).count():
             break
         labels = labels.drop("moved")

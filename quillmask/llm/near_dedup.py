@@ -5,7 +5,7 @@ each minimum and a digest of its shingle set; (2) equal sets collapse to one rep
 round a hub, never all pairs; (4) candidates whose collision-corrected estimate is far below the threshold go; (5) the others are
 confirmed on their full shingle sets, recomputed from texts that are sent once for each hub and salt; (6) buckets that still hold more
 than one component get a second hub, the member nearest to the bucket's consensus signature; (7) what then still differs within a
-bucket is compared exhaustively, in blocks, on signatures, and confirmed likewise. So each pair that shares a band is either linked
+bucket is compared exhaustively, in pairs of blocks, on signatures and then on full sets within the task, which returns links only. So each pair that shares a band is either linked
 through others or compared: nothing is capped.
 
 With 32 bands of 6 a pair at 0.85 shares no band with probability 3e-7, and its estimate falls under the cut with about as much.
@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import arrow_map, at_workers, batch, materialise, mix, pieces, small, utf8, word_hashes
+from quillmask.llm.common import at_workers, batch, materialise, mix, pieces, small, utf8, word_hashes
 from quillmask.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
 MINIMA = BANDS * ROWS
 LANES = MINIMA // 64  # longs of each bit plane
 #: Rows of a block in the exhaustive comparison, and members that one task confirms against one hub.
-BLOCK, SALT = 512, 256
+BLOCK, SALT = 1024, 256
+#: Shingles that a block holds at most, on average.
+BLOCK_SHINGLES = 1_000_000
 #: Standard deviations that the estimate may fall short of the threshold.
 MARGIN = 5.0
 
@@ -100,6 +102,15 @@ def cut(threshold: float) -> float:
     return threshold - MARGIN * (agree * (1 - agree) / MINIMA) ** 0.5 / 0.75
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |x & y| >= percent * |x | y|, for sorted sets."""
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    if len(x) * 100 < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verify(percent: int):
     """Batches of (hub, salt, role, id, text), sorted, the hub's own text first -> confirmed links."""
 
@@ -113,13 +124,7 @@ def _verify(percent: int):
                 if r == 0:
                     hub, own = h, s
                 elif hub == h and own is not None:
-                    if len(own) * 100 < percent * len(s) or len(s) * 100 < percent * len(own):
-                        continue
-                    # both are sorted: how many of the shorter are in the longer
-                    x, y = (s, own) if len(s) < len(own) else (own, s)
-                    place = np.searchsorted(y, x)
-                    both = int((y[np.minimum(place, len(y) - 1)] == x).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
+                    if similar(own, s, percent):
                         links.append((h, i))
             if links:
                 yield batch(schema, *map(list, zip(*links)))
@@ -137,7 +142,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, label: str) -> Data
     hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("doc_id"))
     rows = members.unionByName(hubs).join(texts, "doc_id").select("a", "salt", "role", "doc_id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(arrow_map(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), _verify(percent), "a bigint, b bigint"), f"{label}-links")
+    return materialise(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), f"{label}-links", _verify(percent), "a bigint, b bigint")
 
 
 def _consensus(table: pa.Table) -> pa.Table:
@@ -147,25 +152,60 @@ def _consensus(table: pa.Table) -> pa.Table:
     return pa.table({"key": table.column("key").slice(0, 1), "n": pa.array([table.num_rows], pa.int64()), "ones": pa.array([ones.tolist()], pa.list_(pa.int64()))})
 
 
+def _compare(rows: list[dict], floor: float, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between two blocks of a bucket (or within one) that join components not yet joined, confirmed on full shingle sets.
+
+    A pair that shares several buckets is left to the one with the smallest key.
+    """
+    first = rows[0]
+    get = lambda c, t=np.int64: np.array([r[c] for r in rows], dtype=t)
+    ids, comp, size, bits, mine = get("id"), get("component"), get("n_shingles"), get("bits").view(np.uint64), get("block")
+    left, right = np.flatnonzero(mine == first["i"]), np.flatnonzero(mine == first["j"])
+    keys = [frozenset(r["keys"]) for r in rows]
+    pairs: list[tuple[int, int]] = []
+    for x in left.tolist():
+        y = right[ids[right] > ids[x]] if first["i"] == first["j"] else right
+        y = y[(comp[y] != comp[x]) & (size[y] * 100 >= percent * size[x]) & (size[x] * 100 >= percent * size[y])]
+        if len(y):
+            d = bits[y] ^ bits[x]
+            differ = np.bitwise_count(d[:, :LANES] | d[:, LANES:]).sum(axis=1, dtype=np.int64)
+            pairs += [(x, z) for z in y[(1 - differ / MINIMA - 0.25) / 0.75 >= floor].tolist() if min(keys[x] & keys[z]) == first["key"]]
+    if not pairs:
+        return
+    needed = sorted({z for pair in pairs for z in pair})
+    sets = dict(zip(needed, shingle_sets(pa.array([rows[z]["text"] for z in needed], pa.large_string()))))
+    root = {int(c): int(c) for c in comp}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for x, y in pairs:
+        cx, cy = top(int(comp[x])), top(int(comp[y]))
+        if cx != cy and similar(sets[x], sets[y], percent):
+            root[cx] = cy
+            yield int(ids[x]), int(ids[y])
+
+
 def _blocks(floor: float, percent: int):
-    """Within one pair of a bucket's blocks: pairs of different components whose estimate and sizes allow the threshold."""
-
-    def fn(table: pa.Table) -> pa.Table:
-        get = lambda c, t=np.int64: np.array(table.column(c).to_pylist(), dtype=t)
-        ids, comp, size, bits, mine, i, j = get("id"), get("component"), get("n_shingles"), get("bits").view(np.uint64), get("block"), get("i")[0], get("j")[0]
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [], []
-        for x in left:
-            y = right[ids[right] > ids[x]] if i == j else right
-            y = y[(comp[y] != comp[x]) & (size[y] * 100 >= percent * size[x]) & (size[x] * 100 >= percent * size[y])]
-            if len(y):
-                d = bits[y] ^ bits[x]
-                differ = np.bitwise_count(d[:, :LANES] | d[:, LANES:]).sum(axis=1, dtype=np.int64)
-                y = y[(1 - differ / MINIMA - 0.25) / 0.75 >= floor]
-                a.append(np.minimum(ids[y], ids[x]))
-                b.append(np.maximum(ids[y], ids[x]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(none + a), "b": np.concatenate(none + b)})
+    """Rows sorted by (key, i, j) -> links; holds the two blocks of one bucket at a time."""
+
+    def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        held: list[dict] = []
+        name = lambda r: (r["key"], r["i"], r["j"])
+        for b in it:
+            links = []
+            for r in b.to_pylist():
+                if held and name(held[0]) != name(r):
+                    links += _compare(held, floor, percent)
+                    held = []
+                held.append(r)
+            if links:
+                yield batch(schema, *map(list, zip(*links)))
+        if held and (links := list(_compare(held, floor, percent))):
+            yield batch(schema, *map(list, zip(*links)))
 
     return fn
 
@@ -180,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     at_workers(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialise(arrow_map(docs, _signatures, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bits array<bigint>, bands array<bigint>"), "signatures")
+    sig = materialise(docs, "signatures", _signatures, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bits array<bigint>, bands array<bigint>")
     sets = materialise(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id")), "sets")
     reps = sig.join(sets.select(F.col("id").alias("doc_id"), "d1", "d2", "n_shingles"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi").dropDuplicates(["doc_id"])
     reps = materialise(reps.select(F.col("doc_id").alias("id"), "n_shingles", "bits", "bands"), "representatives")
@@ -209,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         return materialise(own.join(keys, "key").join(bits, "id"), "unsettled")
 
     open_ = unsettled()
-    if open_.limit(1).count():
+    if open_.known_rows:
         parts = open_.select("key", "bits", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).groupBy("key", "part").applyInArrow(_consensus, "key bigint, n bigint, ones array<bigint>")
         ones = parts.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(F.col("ones")[i]).alias(f"o{i}") for i in range(2 * MINIMA)])
         lane = lambda j: F.expr(" | ".join(f"shiftleft(cast(2 * o{64 * j + i} > n as bigint), {i})" for i in range(64)))
@@ -221,19 +261,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         seen = tried.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("g"))
         fresh = second.withColumns({"l": F.least("a", "b"), "g": F.greatest("a", "b")}).join(seen, ["l", "g"], "left_anti").select("a", "b")
         more = materialise(promising(fresh), "pairs-2")
-        links, tried = links.union(confirm(more, docs, percent, "star-2")), tried.union(more)
+        links = links.union(confirm(more, docs, percent, "star-2"))
         found = components(links)
         open_ = unsettled()
-        counts = open_.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        dealt = open_.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", "id", "component", "n_shingles", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        rest = dealt.groupBy("key", "i", "j").applyInArrow(_blocks(floor, percent), "a bigint, b bigint").distinct()
-        seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = materialise(rest.join(seen, ["a", "b"], "left_anti"), "pairs-3")
-        if rest.limit(1).count():
-            links = links.union(confirm(rest, docs, percent, "blocks"))
-            found = components(links)
+        # buckets of the same members are compared once
+        mark = F.xxhash64("id")
+        same = open_.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
+        weight = F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_SHINGLES)
+        counts = same.groupBy("n", "words", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(weight).cast("int").alias("blocks"))
+        dealt = materialise(open_.join(counts, "key").withColumn("block", F.pmod(mark, F.col("blocks")).cast("int")), "dealt")
+        keys = dealt.groupBy("id").agg(F.collect_list("key").alias("keys"))  # one a band at most
+        texts = docs.join(small(materialise(keys.select(F.col("id").alias("doc_id")), "block-ids")), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+        rows = dealt.join(keys.join(texts, "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "bits", "keys", "text")
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+        last = materialise(rows, "block-links", _blocks(floor, percent), "a bigint, b bigint")
+        if last.known_rows:
+            found = components(links.union(last))
 
     named = sets.join(found, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
