@@ -4,28 +4,401 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmask.functions import text as X
+from quillmask.functions import vocab
+from quillmask.functions.spans import find_all, pattern_spans, prepared
+from quillmask.operators import detect, reconcile, review, sanitise
+from quillmask.operators.ensemble import ensemble, stored
+from quillmask.plans import oracle as O
+from quillmask.plans.fixture import TEXTS
+from quillmask.sources import tables
+
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DuckDB's word boundaries are ASCII; these texts are as well."""
+    return docs(spark, sf_dir).where("lang = 'en' AND length(text) = octet_length(text)").select("doc_id", "text")
+
+
+def fixture(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+
+
+def pattern_rows(df: DataFrame, names: list[str], where: str = "true") -> DataFrame:
+    """doc_id, start, end, text, kind of single patterns' matches."""
+    arrays = F.flatten(F.array(*[F.expr(pattern_spans(O.pattern(n), n, i, where)) for i, n in enumerate(names)]))
+    return prepared(df).select("doc_id", F.explode(arrays).alias("x")).select("doc_id", "x.start", "x.end", "x.text", "x.kind")
+
+
+_COLS = 'SELECT doc_id, start, "end", text, kind FROM'
+
+
+@query("SELECT doc_id, lang, source, doc_id = 1 AS is_demo FROM documents ORDER BY doc_id")
 def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents by id, with the flag of the demonstration document (id 1)."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.col("doc_id") == 1).alias("is_demo")).orderBy("doc_id")
+    return tables.list_documents(docs(spark, sf_dir)).select("doc_id", "lang", "source", "is_demo")
+
+
+@query(f"{_COLS} ({O.one('documents', 'email_regex')})")
+def spans_email(spark, sf_dir):
+    return pattern_rows(docs(spark, sf_dir), ["email_regex"])
+
+
+@query(f"{_COLS} ({O.one('documents', 'ipv4')})")
+def spans_ipv4(spark, sf_dir):
+    return pattern_rows(docs(spark, sf_dir), ["ipv4"])
+
+
+@query(f"{_COLS} (SELECT *, string_split(regexp_replace(text, '[^0-9]', '', 'g'), '') AS d FROM ({O.one('documents', 'credit_card')})) WHERE {O.LUHN}")
+def spans_card_luhn(spark, sf_dir):
+    return pattern_rows(docs(spark, sf_dir), ["credit_card"], detect.valid("credit_card"))
+
+
+@query(f"{_COLS} ({O.one('documents', 'phone_regex')})")
+def spans_phone(spark, sf_dir):
+    return pattern_rows(docs(spark, sf_dir), ["phone_regex"])
+
+
+@query(f"WITH {O.ENGLISH} {_COLS} ({O.one('english', 'name_heuristic')})")
+def spans_name(spark, sf_dir):
+    return pattern_rows(english(spark, sf_dir), ["name_heuristic"])
+
+
+_FIXED = ["ssn_regex", "postal_regex", "ein", "itin", "email", "uk_postcode", "license_plate", "date", "iban", "mac_address"]
+
+
+@query(f"WITH {O.FIXTURE} {_COLS} (" + " UNION ALL ".join(O.one("fixture", n, i) for i, n in enumerate(_FIXED)) + ")")
+def spans_fixture(spark, sf_dir):
+    return pattern_rows(fixture(spark), _FIXED)
+
+
+_rule_name = O.spans("docs", r"(?:^|[^a-zA-Z0-9\-_.])@[A-Za-z]+[A-Za-z0-9\-_]+", "username", "rules", 1)
+_RULES = (
+    f"WITH {O.FIXTURE}, docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM fixture) "
+    f"{_COLS} ({O.one('docs', 'rule_url')}) UNION ALL "
+    f"""SELECT doc_id, start + (NOT starts_with(text, '@'))::INT AS start, "end", ltrim(text, substr(text, 1, (NOT starts_with(text, '@'))::INT)) AS text, kind FROM ({_rule_name}) UNION ALL """
+    f"{_COLS} ({O.one('docs', 'rule_id')}) WHERE regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Z]')"
+)
+
+
+@query(_RULES)
+def detect_rules(spark, sf_dir):
+    both = docs(spark, sf_dir).select("doc_id", "text").union(fixture(spark).select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    return detect.explode_spans(detect.detect(both, ["rules"]), ["rules"]).select("doc_id", "start", "end", "text", "kind")
+
+
+@query()
+def detect_regex(spark, sf_dir):
+    return detect.explode_spans(detect.detect(docs(spark, sf_dir), ["regex"]), ["regex"]).select("doc_id", "start", "end", "text", "kind")
+
+
+@query()
+def detect_context(spark, sf_dir):
+    both = docs(spark, sf_dir).select("doc_id", "text").union(fixture(spark).select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    return detect.explode_spans(detect.detect(both, ["context"]), ["context"]).select("doc_id", "start", "end", "text", "kind")
+
+
+@query(f"WITH {O.RAW} SELECT doc_id, start, \"end\", text, kind, replace(source, '_', ' ') AS label FROM raw")
+def detect_legacy(spark, sf_dir):
+    found = detect.explode_spans(detect.detect(english(spark, sf_dir), ["legacy"]), ["legacy"])
+    names = F.create_map(*[F.lit(x) for p in vocab.SECOND_PASS for x in (p.kind, p.name.replace("_", " "))])
+    return found.select("doc_id", "start", "end", "text", "kind", F.element_at(names, F.col("kind")).alias("label"))
+
+
+@query(f"SELECT page_id, {O.normalised('nfc_normalize(html)')} AS text FROM pages")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.normalise(F.col("html")).alias("text"))
+
+
+@query(f"WITH {O.FIXTURE} SELECT doc_id, {O.normalised('nfc_normalize(text)')} AS text FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM fixture)")
+def normalize_documents(spark, sf_dir):
+    both = docs(spark, sf_dir).select("doc_id", "text").union(fixture(spark).select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    return both.select("doc_id", X.normalise(F.col("text")).alias("text"))
+
+
+def _entities(text: str) -> str:
+    for entity, plain in vocab.HTML_ENTITIES:
+        text = f"replace({text}, {O._s(entity)}, {O._s(plain)})"
+    return text
+
+
+@query(f"SELECT page_id, {_entities('html')} AS text FROM pages")
+def html_entities(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.decode_entities(F.col("html")).alias("text"))
+
+
+@query(
+    f"WITH {O.FIXTURE} SELECT doc_id, translate(text, 'OolISB', '001158') AS numeric, replace(replace(replace(text, ' ', ''), 'rnail', 'mail'), 'corn', 'com') AS address, "
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]*)\s*\n\s*([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', '\1\2', 'g'), '(\d{3}[-.\s]?\d{3})[-.\s]?\n[-.\s]?(\d{4})', '\1-\2', 'g'), "
+    r"'(\d{4}[-.\s]?\d{4})[-.\s]?\n[-.\s]?(\d{4}[-.\s]?\d{4})', '\1-\2', 'g'), '(\d{3})[-.\s]?\n[-.\s]?(\d{2})[-.\s]?\n?[-.\s]?(\d{4})', '\1-\2-\3', 'g') AS rejoined FROM fixture"
+)
+def repairs(spark, sf_dir):
+    t = F.col("text")
+    return fixture(spark).select("doc_id", X.fix_ocr(t, F.lit("ssn")).alias("numeric"), X.fix_ocr(t, F.lit("email")).alias("address"), X.rejoin(t).alias("rejoined"))
+
+
+_HINTS = " UNION ALL ".join(O.spans("fixture", regex, hint, hint, i, "i") for i, (regex, hint) in enumerate(vocab.REGION_HINTS))
+
+
+@query(
+    f"""WITH {O.FIXTURE}, h AS (SELECT s.doc_id, s.start, s."end" AS e, kind AS hint, f.text AS t FROM ({_HINTS}) s JOIN fixture f USING (doc_id)),
+r AS (SELECT *, instr(substr(t, e + 1), chr(10)) AS nl FROM h),
+q AS (SELECT *, least(e + 100, CASE WHEN nl > 0 AND e + nl - 1 > 0 THEN e + nl - 1 ELSE length(t) END)::INT AS stop FROM r)
+SELECT doc_id, start, stop AS "end", substr(t, start + 1, stop - start) AS text, hint FROM q"""
+)
+def pii_regions(spark, sf_dir):
+    return fixture(spark).select("doc_id", F.explode(X.regions("text")).alias("x")).select("doc_id", "x.*")
+
+
+def _raw(spark, sf_dir):
+    return detect.explode_spans(detect.detect(english(spark, sf_dir), ["second_pass"]), ["second_pass"])
+
+
+@query(f"WITH {O.RAW} SELECT doc_id, start, \"end\", text, kind FROM (SELECT *, {O.TRIM} AS t FROM raw) WHERE NOT ({O.FALSE_POSITIVE})")
+def fp_filter(spark, sf_dir):
+    return _raw(spark, sf_dir).where(~detect.false_positive(F.col("text"), F.col("kind"))).select("doc_id", "start", "end", "text", "kind")
+
+
+@query(f'WITH {O.RECONCILED} SELECT doc_id, start, "end", text, primary_type, types, sources, agreement_count, confidence_score, queue FROM reconciled')
+def reconcile_spans(spark, sf_dir):
+    return reconcile.reconcile(_raw(spark, sf_dir))
+
+
+@query()
+def ensemble_spans(spark, sf_dir):
+    return ensemble(docs(spark, sf_dir))
+
+
+@query()
+def ensemble_by_type(spark, sf_dir):
+    """The flagship: reconciled spans of all documents, counted by type, queue and agreement."""
+    spans = ensemble(docs(spark, sf_dir))
+    return spans.groupBy("primary_type", "queue", "agreement_count").agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_documents"), F.avg("confidence_score").alias("avg_confidence"))
+
+
+@query(f"""WITH {O.RAW}, redacted AS (SELECT doc_id, start, "end" FROM raw WHERE kind IN ('email', 'phone') AND (doc_id + start) % 2 = 0)
+SELECT doc_id, start, "end", text, kind, source AS pattern_source FROM raw WHERE NOT EXISTS (SELECT 1 FROM redacted r WHERE r.doc_id = raw.doc_id AND raw.start < r."end" AND raw."end" > r.start)""")
+def risk_second_pass(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    redacted = raw.where("kind IN ('email', 'phone') AND (doc_id + start) % 2 = 0")
+    return reconcile.outside(raw, redacted).select("doc_id", "start", "end", "text", "kind", F.col("source").alias("pattern_source"))
+
+
+def _spans(spark, sf_dir):
+    return review.typed(*stored(reconcile.reconcile(_raw(spark, sf_dir))))
+
+
+def _events(spans: DataFrame) -> DataFrame:
+    """A made-up history: most spans are approved, some then rejected, some approvals withdrawn."""
+    pick = lambda yes, no: F.when(F.col("span_type") == "detector", yes).otherwise(no).alias("decision")
+    seq = lambda n: (2 * F.col("start") + n).cast("bigint").alias("seq")
+    first = spans.where("(doc_id + start) % 4 <> 3").select(*review.KEY, pick("approve", "redact"), seq(0))
+    second = spans.where("(doc_id + start) % 4 = 1").select(*review.KEY, pick("reject", "dismiss"), seq(1))
+    third = spans.where("(doc_id + start) % 4 = 2 AND start % 2 = 0").select(*review.KEY, F.lit(None).cast("string").alias("decision"), seq(1))
+    return first.union(second).union(third)
+
+
+@query(f"WITH {O.STORED} SELECT * FROM latest")
+def latest_decision(spark, sf_dir):
+    return review.latest_decisions(_events(_spans(spark, sf_dir))).drop("seq")
+
+
+@query(f'WITH {O.STORED} SELECT doc_id, span_type, span_id, start, "end", text, category, confidence_score, decision, {O.URGENCY} AS urgency FROM items')
+def review_items(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    return review.review_items(spans, _events(spans)).select("doc_id", "span_type", "span_id", "start", "end", "text", "category", "confidence_score", "decision", "urgency")
+
+
+@query(f"""WITH {O.STORED}, f AS (SELECT doc_id, span_type, text, first(decision ORDER BY span_id) AS d FROM items WHERE decision IS NOT NULL GROUP BY ALL)
+SELECT doc_id, span_type, span_id, coalesce(decision, f.d) AS spread FROM items LEFT JOIN f USING (doc_id, span_type, text)""")
+def linked_decisions(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    return review.linked(review.review_items(spans, _events(spans))).select("doc_id", "span_type", "span_id", "spread")
+
+
+@query(f"""WITH {O.STORED}, r AS (SELECT l.*, s.start, s."end", t.doc_id IS NOT NULL AS real FROM latest l JOIN spans s USING (doc_id, span_type, span_id) LEFT JOIN truth t ON t.doc_id = l.doc_id AND t.start = s.start AND t."end" = s."end")
+SELECT doc_id, count(*) FILTER (decision = 'redact' AND real) AS exposures_caught, count(*) FILTER (decision = 'dismiss' AND real) AS exposures_missed,
+  count(*) FILTER (decision = 'reject' AND NOT real) AS unnecessary_redactions_fixed, count(*) FILTER (decision = 'approve' AND real) AS correct_redactions_kept, count(*) AS total_reviewed FROM r GROUP BY doc_id""")
+def review_summary(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    return review.summary(spans, _events(spans), spans.where("category IN ('email', 'phone')").select("doc_id", "start", "end"))
+
+
+@query(f"""WITH {O.STORED}, c AS (SELECT doc_id, count(*) FILTER (span_type = 'detector') AS detector_count, count(*) FILTER (span_type = 'risk_flag') AS risk_count, count(decision) AS decision_count FROM items GROUP BY doc_id)
+SELECT *, decision_count >= detector_count + risk_count AS complete FROM c""")
+def completion_gate(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    return review.completion(spans, _events(spans))
+
+
+@query(f"""WITH {O.STORED} SELECT doc_id, count(decision) AS decided, count(*) AS total, count(*) FILTER (decision IS NULL AND span_type = 'risk_flag') AS pending_flags,
+  count(decision) / count(*) * 100 AS percent, count(decision) = count(*) AS all_decided FROM items GROUP BY doc_id""")
+def review_progress(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    return review.progress(review.review_items(spans, _events(spans)))
+
+
+@query(f"WITH {O.STORED} SELECT doc_id, CASE WHEN count(*) FILTER (decision IS NULL) = 0 THEN 'completed' WHEN count(decision) > 0 OR max((doc_id + start) % 4 <> 3) THEN 'in_progress' ELSE 'pending_review' END AS status FROM items GROUP BY doc_id")
+def document_status(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    events = _events(spans)
+    return review.status(spans.select("doc_id").distinct(), events, review.completion(spans, events).where("complete"))
+
+
+@query(f"""WITH {O.STORED} SELECT doc_id, span_type, span_id, regexp_replace(upper(category), '^([^_]*)_', '\\1 ') AS label, {O.INFER} AS inferred,
+  CASE WHEN confidence_score >= 80 THEN 'high' WHEN confidence_score >= 60 THEN 'medium' ELSE 'low' END AS bucket,
+  CASE WHEN agreement_count > 1 THEN 'verified by ' || agreement_count ELSE 'caught by ' || sources[1] END AS provenance,
+  CASE WHEN decision IN ('approve', 'redact') THEN 'redacted' WHEN decision IN ('reject', 'dismiss') THEN 'released' END AS outcome,
+  CASE WHEN length(text) > 12 THEN substr(text, 1, 12) || '...' ELSE text END AS preview FROM (SELECT *, {O.TRIM} AS t FROM items)""")
+def span_badges(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    rows = review.review_items(spans, _events(spans))
+    return rows.select(
+        "doc_id", "span_type", "span_id", X.label(F.col("category"), F.col("text")).alias("label"), X.infer_category(F.col("text")).alias("inferred"), X.confidence_bucket(F.col("confidence_score"), F.col("is_manual")).alias("bucket"),
+        X.provenance(F.col("is_manual"), F.col("agreement_count"), F.col("sources")).alias("provenance"), review.outcome(F.col("span_type"), F.col("decision")).alias("outcome"), X.shortened(F.col("text"), 12).alias("preview"),
+    )
+
+
+@query(f"WITH {O.STORED} SELECT doc_id, span_type, text, first(span_id ORDER BY start, span_id) AS span_id, min(start) AS start, count(*) AS copies FROM spans GROUP BY doc_id, span_type, text")
+def unique_cards(spark, sf_dir):
+    return review.cards(_spans(spark, sf_dir))
+
+
+@query(f"""WITH {O.STORED}, g AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start, span_type, span_id) AS past FROM spans),
+p AS (SELECT doc_id, start, "end", span_type, span_id FROM spans UNION ALL SELECT doc_id, past, start, NULL, NULL FROM g WHERE start > past
+  UNION ALL SELECT d.doc_id, coalesce(max(s."end"), 0), length(d.text)::INT, NULL, NULL FROM english d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id, d.text HAVING coalesce(max(s."end"), 0) < length(d.text))
+SELECT p.doc_id, start, "end", substr(d.text, start + 1, "end" - start) AS text, span_type, span_id FROM p JOIN english d USING (doc_id)""")
+def viewer_segments(spark, sf_dir):
+    return review.segments(english(spark, sf_dir), _spans(spark, sf_dir))
+
+
+def _approved(spark, sf_dir):
+    detector, risk = stored(reconcile.reconcile(_raw(spark, sf_dir)))
+    return sanitise.approved(detector, risk, _events(review.typed(detector, risk)))
+
+
+@query(f"WITH {O.STORED} SELECT * FROM approved")
+def approved_spans(spark, sf_dir):
+    return _approved(spark, sf_dir)
+
+
+@query(f"WITH {O.STORED}, {O.spliced(chr(39) + '█' + chr(39) + '.repeat(length(text)::INT)')} SELECT doc_id, content, n::INT AS redaction_count FROM content")
+def redact_bars(spark, sf_dir):
+    return sanitise.redact(english(spark, sf_dir), _approved(spark, sf_dir), "bars").drop("redactions")
+
+
+@query(f"WITH {O.STORED}, {O.spliced(chr(39) + '[REDACTED]' + chr(39))} SELECT doc_id, content, n::INT AS redaction_count FROM content")
+def redact_brackets(spark, sf_dir):
+    return sanitise.redact(english(spark, sf_dir), _approved(spark, sf_dir), "brackets").drop("redactions")
+
+
+@query(f"WITH {O.STORED}, {O.MAPPINGS} SELECT * FROM mappings")
+def pseudonym_map(spark, sf_dir):
+    return sanitise.pseudonyms(_approved(spark, sf_dir))
+
+
+@query(
+    f"WITH {O.STORED}, {O.MAPPINGS}, "
+    + O.spliced(f"(SELECT pseudonym FROM mappings m WHERE m.doc_id = approved.doc_id AND m.category = approved.category AND m.normalized_text = {O.NORMAL})")
+    + " SELECT c.doc_id, content, (SELECT count(*) FROM mappings m WHERE m.doc_id = c.doc_id) AS mapping_count FROM content c"
+)
+def pseudonymize(spark, sf_dir):
+    return sanitise.pseudonymise(english(spark, sf_dir), _approved(spark, sf_dir)).drop("mapping")
+
+
+@query(f"""WITH {O.STORED}, c AS (SELECT doc_id, x AS start, x + 10 AS "end" FROM english, (SELECT unnest([0, 40, 200, 5000]) AS x))
+SELECT c.doc_id, c.start, c."end", substr(d.text, start + 1, 10) AS text FROM c JOIN english d USING (doc_id) WHERE c."end" <= length(d.text)
+  AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = c.doc_id AND c.start < s."end" AND c."end" > s.start)""")
+def manual_spans(spark, sf_dir):
+    d = english(spark, sf_dir)
+    at = F.explode(F.array(*[F.lit(x) for x in (0, 40, 200, 5000)]))
+    asked = d.select("doc_id", at.alias("start")).select("doc_id", "start", (F.col("start") + 10).alias("end"), F.lit("other").alias("category"), F.lit("detector").alias("span_type"))
+    return review.manual_spans(asked, d, _spans(spark, sf_dir)).select("doc_id", "start", "end", "text")
+
+
+@query(f"""WITH {O.STORED}, o AS (SELECT doc_id, span_type, span_id, arg_max(c, q) AS c FROM (SELECT doc_id, span_type, span_id, 'other' AS c, 1 AS q FROM spans WHERE start % 3 = 0 UNION ALL SELECT doc_id, span_type, span_id, 'address', 2 FROM spans WHERE start % 6 = 0) GROUP BY ALL)
+SELECT s.doc_id, s.span_type, s.span_id, coalesce(o.c, s.category) AS category FROM spans s LEFT JOIN o USING (doc_id, span_type, span_id) WHERE s.start % 5 <> 0""")
+def edited_spans(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    new = lambda where, c, q: spans.where(where).select(*review.KEY, F.lit(c).alias("category"), F.lit(q).alias("seq"))
+    changed = review.override_category(spans, new("start % 3 = 0", "other", 1).union(new("start % 6 = 0", "address", 2)))
+    return review.without(changed, spans.where("start % 5 = 0")).select(*review.KEY, "category")
+
+
+@query(f"""WITH {O.STORED}, h AS (SELECT *, CASE WHEN span_id % 2 = 0 THEN 'g' || span_type END AS group_id FROM events), l AS (SELECT doc_id, max(seq) AS s, arg_max(coalesce(group_id, ''), seq) AS g FROM h GROUP BY doc_id)
+SELECT doc_id, span_type, span_id, seq FROM h JOIN l USING (doc_id) WHERE NOT (seq = s OR coalesce(group_id = g, false))""")
+def undo_last(spark, sf_dir):
+    history = _events(_spans(spark, sf_dir)).withColumn("group_id", F.when(F.col("span_id") % 2 == 0, F.concat(F.lit("g"), F.col("span_type"))))
+    return review.undo(history).select(*review.KEY, "seq")
+
+
+@query(f"""WITH {O.STORED}, a AS (SELECT DISTINCT i.doc_id, i.span_type, i.span_id FROM items i JOIN items j ON i.doc_id = j.doc_id AND i.span_type = j.span_type AND i.text = j.text AND j.decision IS NOT NULL)
+SELECT e.doc_id, e.span_type, e.span_id, e.seq FROM events e ANTI JOIN a USING (doc_id, span_type, span_id)""")
+def reset_linked(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    events = _events(spans)
+    return review.reset(events, review.review_items(spans, events)).select(*review.KEY, "seq")
+
+
+@query(f"WITH {O.STORED} SELECT doc_id, span_type, span_id, seq FROM events QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) <= 3")
+def log_tail(spark, sf_dir):
+    return review.log_tail(_events(_spans(spark, sf_dir))).select(*review.KEY, "seq")
+
+
+@query(f"""WITH {O.STORED}, t AS (SELECT doc_id, 'detector' AS span_type, (row_number() OVER (PARTITION BY doc_id ORDER BY start, "end"))::INT AS span_id, start, "end" FROM (SELECT DISTINCT doc_id, start, "end" FROM raw))
+SELECT t.doc_id, t.span_id, t.start, t."end", coalesce(first(s.agreement_count ORDER BY s.start, s."end"), 1)::INT AS agreement_count, first(s.confidence_score ORDER BY s.start, s."end") AS confidence_score
+FROM t LEFT JOIN reconciled s ON s.doc_id = t.doc_id AND t.start < s."end" AND t."end" > s.start AND s.primary_type <> 'name' GROUP BY t.doc_id, t.span_id, t.start, t."end\"""")
+def overlay_metadata(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    found = reconcile.reconcile(raw).where("primary_type <> 'name'")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end"))
+    targets = raw.select("doc_id", "start", "end").distinct().select("doc_id", F.lit("detector").alias("span_type"), number.alias("span_id"), "start", "end", F.lit(None).cast("int").alias("confidence_score"))
+    return reconcile.overlay(targets, found).select("doc_id", "span_id", "start", "end", "agreement_count", "confidence_score")
+
+
+@query("SELECT doc_id, 'Uploaded: ' || regexp_replace(source || '.' || lang || '.docx', '\\.[^.]*$', '') AS title, length(text)::INT AS char_count FROM documents")
+def upload_titles(spark, sf_dir):
+    name = F.concat_ws(".", "source", "lang", F.lit("docx"))
+    return docs(spark, sf_dir).select("doc_id", F.concat(F.lit("Uploaded: "), F.regexp_replace(name, r"\.[^.]*$", "")).alias("title"), F.length("text").alias("char_count"))
+
+
+@query(f"WITH c AS (SELECT conv_id AS doc_id, turn, text FROM conversations) SELECT count(*) AS n FROM ({O.one('c', 'email_regex')})")
+def conversations_clean(spark, sf_dir):
+    """A negative control: conversations hold no addresses."""
+    c = table(spark, sf_dir, "conversations").select(F.explode(find_all("text", O.pattern("email_regex").java)).alias("x"))
+    return c.agg(F.count("*").alias("n"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_documents(spark, sf_dir)
+    return ensemble_by_type(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {"list_documents": list_documents}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"list_documents": "SELECT doc_id, lang, source, doc_id = 1 AS is_demo FROM documents ORDER BY doc_id"}
+    return dict(_SQL)
