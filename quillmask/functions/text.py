@@ -28,26 +28,34 @@ def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def compose(c: Column) -> Column:
-    """Unicode NFC. Texts of code points below U+0300 are composed already; only others go to Python."""
-    return F.when(c.rlike(r"[^\x00-\x{2FF}]"), _nfc(c)).otherwise(c)
+    """Unicode NFC. Texts of code points below U+0300 are composed already; only others go to Python, for the rest it gets nulls."""
+    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-\x{2FF}]"), c)), c)
 
 
 def decode_entities(c: Column) -> Column:
     """The listed HTML entities, one after the other, so that &amp;lt; is decoded twice."""
+    out = c
     for entity, plain in vocab.HTML_ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return c
+        out = F.replace(out, F.lit(entity), F.lit(plain))
+    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+
+
+#: What a text must hold for a repair to do anything, and the repair; a run of blanks that is one space already is left alone.
+_REPAIRS = (
+    (None, r"[\t\r\f\x0B]+", " "),
+    (r"@(?U:\s)*\n", r"(?U)(\S+@)\s*\n\s*(\S+)", "$1$2"),
+    (r"(?U)\d[-.]?\s*\n", r"(?U)(\d+)[-.]?\s*\n\s*[-.]?(\d+)", "$1-$2"),
+    (r"(?U)\d\s*-?\s*\n", r"(?U)(\d{3})\s*[-]?\s*\n\s*[-]?\s*(\d{2})\s*[-]?\s*\n?\s*[-]?\s*(\d{4})", "$1-$2-$3"),
+    (None, r"(?U)[^\S\n]{2,}|[^\S\n ]", " "),
+    (None, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""),
+)
 
 
 def normalise(c: Column, nfc: bool = True) -> Column:
     """NFC, entities, white space, addresses and numbers split over lines, zero-width characters and dashes. Quotes stay as they are."""
     c = decode_entities(compose(c) if nfc else c)
-    c = F.regexp_replace(c, r"[\t\r\f\x0B]+", " ")
-    c = F.regexp_replace(c, r"(?U)(\S+@)\s*\n\s*(\S+)", "$1$2")
-    c = F.regexp_replace(c, r"(?U)(\d+)[-.]?\s*\n\s*[-.]?(\d+)", "$1-$2")
-    c = F.regexp_replace(c, r"(?U)(\d{3})\s*[-]?\s*\n\s*[-]?\s*(\d{2})\s*[-]?\s*\n?\s*[-]?\s*(\d{4})", "$1-$2-$3")
-    c = F.regexp_replace(c, r"(?U)[^\S\n]+", " ")
-    c = F.regexp_replace(c, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", "")
+    for needed, regex, to in _REPAIRS:
+        c = F.regexp_replace(c, regex, to) if needed is None else F.when(c.rlike(needed), F.regexp_replace(c, regex, to)).otherwise(c)
     return F.translate(c, "–—", "--")
 
 

@@ -153,7 +153,7 @@ PATTERNS = (
     Pattern("name_caps", "name_caps", r"\b[A-Z]{2,}(?:\s+[A-Z]{1,})+\b", guard="t RLIKE '[A-Z]{2}'"),
     Pattern("username", "username", r"(?:^|(?<=[^a-zA-Z0-9]))@[A-Za-z][A-Za-z0-9_]{2,30}\b", guard="contains(t, '@')"),
     Pattern("username_lax", "username_lax", r"\b[a-z]+(?:[-_][a-z0-9]+)+[a-z0-9]*\b", guard="contains(t, '-') OR contains(t, '_')"),
-    Pattern("alphanumeric_id", "id_number", r"\b(?=.*[A-Z])(?=.*\d)[A-Z0-9]{10,20}\b", "Ud", DIGIT),
+    Pattern("alphanumeric_id", "id_number", r"\b(?=.*[A-Z])(?=.*\d)[A-Z0-9]{10,20}\b", "Ud", "d AND t RLIKE '[A-Z0-9]{10}'"),
     Pattern("name", "name", r"\b(?:[A-Z][a-z]+[ \t]+){1,3}[A-Z][a-z]+\b", guard="t RLIKE '[a-z][ \\t]+[A-Z][a-z]'"),
     Pattern("date", "date", r"\b(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})\b", "Ui", DIGIT),
     Pattern("percentage", "percentage", r"\b\d+(?:\.\d+)?\s*(?:%|percent)\b", "Ui", DIGIT),
