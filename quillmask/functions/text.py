@@ -103,7 +103,7 @@ def _map(array: Column, fn) -> Column:
 def luhn(c: Column) -> Column:
     """13 to 19 digits, after dropping all else, that pass the check."""
     digits = F.regexp_replace(c, r"[^0-9]", "")
-    return F.length(digits).between(13, 19) & F.luhn_check(digits)
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
 def digits(c: Column) -> Column:
