@@ -112,6 +112,11 @@ def summary(spans: DataFrame, events: DataFrame, truth: DataFrame) -> DataFrame:
     return total.join(counts, "doc_id", "left").select("doc_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names], "total_reviewed")
 
 
+def completed_summary(spans: DataFrame, events: DataFrame, truth: DataFrame, states: DataFrame) -> DataFrame:
+    """summary() of the documents whose status is completed."""
+    return summary(spans, events, truth).join(states.where("status = 'completed'").select("doc_id"), "doc_id", "left_semi")
+
+
 def progress(items: DataFrame) -> DataFrame:
     """doc_id, decided, total, percent, pending_flags, all_decided."""
     done = F.col("decision").isNotNull()

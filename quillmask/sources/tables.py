@@ -44,6 +44,26 @@ def new_rows(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
+def overlapping(spans: DataFrame, doc_id: int, start: int, end: int) -> DataFrame:
+    """A document's spans that overlap a range; the filter reaches the scan."""
+    return spans.where((F.col("doc_id") == doc_id) & (F.col("start") < end) & (F.col("end") > start))
+
+
+def cleared(mappings: DataFrame, doc_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mappings without those of the documents, number of rows that go by document)."""
+    gone = doc_ids.select("doc_id").distinct()
+    return mappings.join(gone, "doc_id", "left_anti"), mappings.join(gone, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("deleted_count"))
+
+
+def statistics(**named: DataFrame) -> DataFrame:
+    """table, rows of each of the tables given."""
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, df in named.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def outputs_of(outputs: DataFrame) -> DataFrame:
     """Stored outputs, newest first."""
     return outputs.orderBy(F.desc("created_at"), F.desc("doc_id"))

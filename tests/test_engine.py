@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmask.functions import text as X
 from quillmask.functions import vocab
 from quillmask.functions.spans import find_all, splice
-from quillmask.operators import detect, reconcile, review, sanitise
+from quillmask.operators import detect, recognisers, reconcile, review, sanitise
 from quillmask.operators.ensemble import ensemble, stored
 from quillmask.plans.fixture import TEXTS
 from quillmask.sources import demo
@@ -166,6 +166,9 @@ def test_letter(spark):
     events = spans.select(*review.KEY, yes.alias("decision"), F.col("span_id").cast("long").alias("seq"))
     assert tuple(review.summary(spans, events, truth).head())[1:] == (2, 0, 4, 6, 26)
     assert review.completion(spans, events).head().complete
+    states = review.status(demo.documents(spark), events, review.completion(spans, events).where("complete"))
+    assert states.head().status == "completed" and review.completed_summary(spans, events, truth, states).count() == 1
+    assert [x.span_id for x in review.display_order(review.review_items(spans, events)).limit(3).collect()] == [1, 2, 6]
     approved = sanitise.approved(spans.where("span_type = 'detector'"), spans.where("span_type = 'risk_flag'"), events)
     bars = sanitise.sanitise(demo.documents(spark), approved, "redact").head()
     assert len(bars.content) == len(demo.LETTER) and bars["count"] == 9 and bars.mapping is None and "Whitfield" not in bars.content
@@ -225,7 +228,13 @@ def test_ner_plug_in(spark):
 
     docs = detect.ner(frame(spark, ["Hi Ann Lee", "boom Ann Lee"]), load, "spacy", vocab.SPACY_TYPES, keep_unknown=False)
     rows = ensemble(docs, normalised=False, recognisers=["spacy"]).where("array_contains(sources, 'spacy')").collect()
-    assert [(x.doc_id, x.text, x.sources) for x in rows] == [(0, "Hi Ann Lee", ["regex", "spacy"])] or [(x.doc_id, x.sources) for x in rows] == [(0, ["regex", "spacy"])]
+    assert [(x.doc_id, x.sources, x.primary_type) for x in rows] == [(0, ["regex", "spacy"], "name")]
+
+
+def test_absent_recognisers_find_nothing(spark):
+    docs = recognisers.spacy(recognisers.presidio(frame(spark, ["Ann Lee", None])))
+    assert all(not x.presidio and not x.spacy for x in docs.collect())
+    assert ensemble(docs, normalised=False, recognisers=["presidio", "spacy"]).count() == ensemble(docs, normalised=False).count()
 
 
 def test_queues(spark):

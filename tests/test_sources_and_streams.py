@@ -37,6 +37,11 @@ def test_tables(spark, tmp_path):
     assert tables.point(tables.read(spark, path), "doc_id", 2).head().text == "b" and tables.of_document(tables.read(spark, path), 9).count() == 0
     assert [x.is_demo for x in tables.list_documents(old).collect()] == [True]
     assert tables.new_rows(spark.createDataFrame([(1,), (3,)], "doc_id long"), old, ["doc_id"]).collect()[0].doc_id == 3
+    spans = spark.createDataFrame([(1, 0, 5), (1, 5, 9), (2, 0, 5)], "doc_id long, start int, end int")
+    assert [x.end for x in tables.overlapping(spans, 1, 4, 5).collect()] == [5]
+    rest, gone = tables.cleared(spans, old)
+    assert rest.count() == 1 and gone.head().deleted_count == 2
+    assert {tuple(x) for x in tables.statistics(spans=spans, old=old).collect()} == {("spans", 3), ("old", 1)}
     tables.recreate(old, str(tmp_path / "u"))
     assert files.to_json_rows(old).head().json == '{"doc_id":1,"text":"a"}'
     files.write_texts(spark.createDataFrame([(1, "x\ny")], "doc_id long, content string"), str(tmp_path / "out"))
