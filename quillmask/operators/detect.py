@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.functions import vocab
-from quillmask.functions.spans import EMPTY, found, greedy, literal, pattern_spans, prepared
+from quillmask.functions.spans import EMPTY, found, greedy, greedy_groups, literal, pattern_spans, prepared
 from quillmask.functions.vocab import Pattern
 
 Recogniser = Callable[[str], Iterable[dict]]
@@ -48,7 +48,7 @@ def _united(arrays: list[str]) -> str:
 
 def regex_spans(patterns: tuple[Pattern, ...] = vocab.PATTERNS, source: str = "enhanced_regex") -> str:
     """SQL: validated matches of all patterns, each kept unless it overlaps one of an earlier pattern or an earlier match."""
-    return greedy(_united([pattern_spans(p, source, i, valid(p.name)) for i, p in enumerate(patterns)]))
+    return greedy_groups([pattern_spans(p, source, i, valid(p.name)) for i, p in enumerate(patterns)])
 
 
 _MANY = r"length(regexp_replace(x.text, '(?U)\\D', ''))"
