@@ -109,16 +109,33 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """df, with its columns computed once at this place: what refers to them later isn't merged into the expressions behind them.
+
+    The optimiser doesn't push filters, or merge projections, through a generator. Without this, long expressions that are referred to
+    several times multiply from step to step.
+    """
+    names = columns or df.columns
+    return df.select(F.explode(F.array(F.struct(*names))).alias("__row")).select("__row.*")
+
+
 def at_workers(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{env.get('PYTHONPATH', '')}"
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast only if it was counted and found to have few rows. For narrow tables that are kept or written."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None) -> DataFrame:
+    """df, marked for broadcast only if it was counted and found to have few rows and, in a column of any length, few bytes.
+
+    For narrow tables that are kept or written; others go into an ordinary join.
+    """
     known = getattr(df, "known_rows", None)
-    return F.broadcast(df) if (df.limit(rows + 1).count() if known is None else known) <= rows else df
+    if (df.limit(rows + 1).count() if known is None else known) > rows:
+        return df
+    if text and (df.agg(F.sum(F.octet_length(text))).head()[0] or 0) > 16 * rows:
+        return df
+    return F.broadcast(df)
 
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +204,7 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def pieces(it: Iterator[pa.RecordBatch], text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(it: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one holds about `most` bytes of text, or one row."""
     for b in it:
         if not b.num_rows:

@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmask.llm.common import settled
+
 #: Probability that a family needs, share of a template's bigrams that a paragraph must hold, and held by a confirmed one.
 PROBABILITY, COVERAGE = 0.25, 0.6
 UNKNOWN = "unknown"
@@ -113,10 +115,10 @@ def model() -> tuple[list[str], dict[str, list[float]], list[float], list[str]]:
 
 
 def anchors() -> list[str]:
-    """Words without one of which no template can be covered; rare words of the templates first."""
+    """Words without one of which no template can be covered; words that other sentences lack first."""
     every = [words(t) for ts in TEMPLATES.values() for t in ts]
-    common = {x for o in OTHERS[14:15] for x in words(o)}
-    spread = {x: (x in common, -sum(x in w for w in every), x) for w in every for x in w}
+    common = {x for o in OTHERS for x in words(o)}
+    spread = {x: (len(x) < 3, x in common, -sum(x in w for w in every), x) for w in every for x in w}
     chosen: set[str] = set()
     for w in every:
         pairs = bigrams(w)
@@ -131,13 +133,14 @@ def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, paragraph, family, probability, coverage, confirmed: a row for each paragraph with an anchor word.
+def scan(docs: DataFrame, unknown: bool = False) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, paragraph, family, probability, coverage, confirmed: a row for each paragraph of a known family.
 
     paragraph is the line's number from 0 within its text, family the most probable class, 'unknown' if it's that or below PROBABILITY;
     coverage the largest share of a template's word bigrams, of that family, in the paragraph; confirmed a known family with COVERAGE.
-    Equal probabilities go to the family listed first. Paragraphs without anchors can't be confirmed and have no row, nor have null and empty texts. Rows that repeat,
-    or have a null doc_id, are scanned like others, one by one; other columns are ignored.
+    Equal probabilities go to the family listed first. With `unknown`, paragraphs that have an anchor word and no known family have rows
+    as well. Paragraphs without anchors can't be confirmed and have no row, nor have null and empty texts. Rows that repeat, or have a
+    null doc_id, are scanned like others, one by one; other columns are ignored.
     """
     classes, weights, intercept, anchor = model()
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
@@ -162,4 +165,27 @@ def scan(docs: DataFrame) -> DataFrame:
     for c, ts in held.items():
         cover = F.when(F.col("best") == c, F.greatest(*[share(t) for t in ts], F.lit(0.0))).otherwise(cover)
     rows = rows.withColumn("family", F.when(F.col("probability") >= PROBABILITY, F.col("best")).otherwise(UNKNOWN)).withColumn("coverage", cover)
-    return rows.select("doc_id", "paragraph", "family", "probability", "coverage", ((F.col("family") != UNKNOWN) & (F.col("coverage") >= COVERAGE)).alias("confirmed"))
+    out = rows.select("doc_id", "paragraph", "family", "probability", "coverage", ((F.col("family") != UNKNOWN) & (F.col("coverage") >= COVERAGE)).alias("confirmed"))
+    return out if unknown else settled(out).where(F.col("family") != UNKNOWN)
+
+
+def oracle() -> str:
+    """SQL for DuckDB over documents that gives scan()'s rows, with probabilities and coverages of six decimals."""
+    classes, weights, intercept, anchor = model()
+    s = lambda x: "'" + x.replace("'", "''") + "'"
+    split = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    table = ", ".join(f"({s(g)}, {v})" for g, v in weights.items())
+    templates = ", ".join(f"({s(c)}, {sorted(bigrams(words(t)))})" for c, ts in TEMPLATES.items() for t in ts)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, i - 1 AS paragraph, lines[i] AS line FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM t)),
+w AS (SELECT *, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{split}'), lambda x: x <> '') AS w FROM l),
+a AS (SELECT r, doc_id, paragraph, w, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM w WHERE list_has_any(w, {anchor})),
+m(g, v) AS (VALUES {table}),
+k AS (SELECT r, paragraph, count(*) AS n, {", ".join(f"sum(v[{j + 1}]) AS s{j}" for j in range(len(classes)))} FROM (SELECT r, paragraph, unnest(list_distinct(w) || pairs) AS g FROM a) JOIN m USING (g) GROUP BY ALL),
+z AS (SELECT a.*, [{", ".join(f"coalesce(s{j}, 0) / greatest(1.0, sqrt(coalesce(n, 0))) + {b!r}" for j, b in enumerate(intercept))}] AS z FROM a LEFT JOIN k USING (r, paragraph)),
+p AS (SELECT *, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS probability, {classes}[list_position(z, list_max(z))] AS best FROM z),
+c(family, t) AS (VALUES {templates}),
+q AS (SELECT r, doc_id, paragraph, best AS family, probability, max(len(list_intersect(pairs, t)) / len(t)) AS coverage FROM p JOIN c ON c.family = p.best WHERE probability >= {PROBABILITY} GROUP BY ALL)
+SELECT doc_id, paragraph::INT AS paragraph, family, round(probability, 6) AS probability, round(coverage, 6) AS coverage, coverage >= {COVERAGE} AS confirmed FROM q
+"""

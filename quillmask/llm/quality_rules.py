@@ -13,7 +13,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import WORD, keep
+from quillmask.llm.common import WORD, keep, settled
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\f\r"
@@ -71,7 +71,7 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_exclamations": count("!"),
         }
     )
-    return d.drop(t, w, "__lines", "__windows", "__sorted", "__at")
+    return settled(d.drop(t, w, "__lines", "__windows", "__sorted", "__at"))
 
 
 def votes() -> Column:

@@ -78,7 +78,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("probability", "coverage")})
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +100,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL, "op6_topk": OP6_SQL, "op8_url_filter": url_filter.ORACLE_SQL, "op10_warc": OP10_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL, "op6_topk": OP6_SQL, "op8_url_filter": url_filter.ORACLE_SQL, "op9_licenses": licenses.oracle(), "op10_warc": OP10_SQL}
