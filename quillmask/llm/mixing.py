@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import WORD, at_workers, keep, small
+from quillmask.llm.common import WORD, at_workers, materialise, small
 
 #: Words that the knapsack fits exactly; parts of a size among which documents are ranked.
 KNAPSACK_WORDS, PARTS = 16_384, 256
@@ -98,11 +98,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     at_workers(docs.sparkSession)
     drawn = F.xxhash64(F.lit(seed), F.col("doc_id"))
     rows = docs.select("doc_id", key_of(F.col("source")).alias("key"), size_of(F.col("text")).alias("size"), drawn.alias("draw"))
-    rows = keep(rows.withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int")))
-    parts = keep(rows.groupBy("key", "size", "part").agg(F.count("*").alias("n")))
+    rows = materialise(rows.withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int")), "mix-sizes")
+    parts = materialise(rows.groupBy("key", "size", "part").agg(F.count("*").alias("n")), "mix-parts")
     lengths = parts.groupBy("key", "size").agg(F.sum("n").alias("n"))
-    aims = keep(targets(lengths.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
-    fitted = keep(lengths.join(aims, "key").groupBy("key").applyInPandas(_fit_source, "key string, size bigint, rounds int, take bigint"))
+    aims = materialise(targets(lengths.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most), "mix-targets")
+    fitted = materialise(lengths.join(aims, "key").groupBy("key").applyInPandas(_fit_source, "key string, size bigint, rounds int, take bigint"), "mix-fitted")
     upto = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     quota = parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(fitted, ["key", "size"])
     quota = quota.select("key", "size", "part", "rounds", F.greatest(F.lit(0), F.least("n", F.col("take") - F.col("before"))).alias("quota"))
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of docs with all their columns, each as often as mix() takes it."""
     copies = mix(docs, weights, most, seed).where("copies > 0").groupBy("doc_id", "key", "size").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
-    copies = keep(copies)
+    copies = materialise(copies, "mix-copies")
     own = docs.withColumns({"__key": key_of(F.col("source")), "__size": size_of(F.col("text"))})
     if copies.where("rows > 1").limit(1).count():  # repeated rows share their copies
         own = own.dropDuplicates(["doc_id", "__key", "__size"])

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import arrow_map, batch, keep, mix, pieces, small, utf8, word_hashes
+from quillmask.llm.common import arrow_map, batch, materialise, mix, pieces, small, utf8, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern needs, the confidence that marks spans, rounds of scoring, and bits of the patterns' bitmap.
@@ -183,16 +183,16 @@ def score(seeds: DataFrame, totals: DataFrame, candidates: DataFrame, confidence
     """
     known = seeds.groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n"))
     instances = known.select("kind", "instance").distinct()
-    unseen = keep(candidates.join(instances, ["kind", "instance"], "left_anti").groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n")))
-    sure = keep(known.groupBy("pattern", "kind").agg(F.sum("n").alias("sure")).join(totals, "pattern"))
+    unseen = materialise(candidates.join(instances, ["kind", "instance"], "left_anti").groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n")), "pii-unseen")
+    sure = materialise(known.groupBy("pattern", "kind").agg(F.sum("n").alias("sure")).join(totals, "pattern"), "pii-sure")
     sound = lambda extra: F.least(F.lit(1.0), (F.col("sure") + extra) / (F.col("total") + 1.0))
     patterns = sure.select("pattern", "kind", sound(F.lit(0.0)).alias("confidence"))
     scores = None
     for i in range(rounds):
         doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999999))))
-        scores = keep(unseen.join(patterns, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("score")))
+        scores = materialise(unseen.join(patterns, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("score")), f"pii-scores-{i}")
         extra = unseen.join(scores, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("extra"))
-        patterns = keep(sure.join(extra, ["pattern", "kind"], "left").select("pattern", "kind", sound(F.coalesce("extra", F.lit(0.0))).alias("confidence")))
+        patterns = materialise(sure.join(extra, ["pattern", "kind"], "left").select("pattern", "kind", sound(F.coalesce("extra", F.lit(0.0))).alias("confidence")), f"pii-patterns-{i}")
     return patterns.where(F.col("confidence") >= confidence), scores.where(F.col("score") >= confidence)
 
 
@@ -200,7 +200,7 @@ def discover(keyed: DataFrame, base: DataFrame, support: int = SUPPORT, confiden
     """Spans (doc_id, text_hash, kind, start, end) that confident patterns mark; None if no pattern has support."""
     seeds = base.select(F.explode("seeds").alias("s")).select("s.*")
     strong = seeds.groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("m")).where(F.col("m") >= support).select("pattern", "kind")
-    strong = keep(strong)
+    strong = materialise(strong, "pii-strong")
     byte = F.shiftright(F.col("pattern").bitwiseAND(F.lit(BITMAP - 1)), 3)
     bits = strong.groupBy(byte.alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(pattern & 7 as int))")).alias("bits")).collect()  # BITMAP / 8 rows at most
     if not bits:
@@ -208,9 +208,9 @@ def discover(keyed: DataFrame, base: DataFrame, support: int = SUPPORT, confiden
     bitmap = np.zeros(BITMAP // 8, np.uint8)
     for r in bits:
         bitmap[r["byte"]] = r["bits"]
-    seen = keep(arrow_map(keyed, _occurrences(bitmap.tobytes()), "pattern bigint, n bigint, doc_id bigint, text_hash bigint, kind int, start bigint, end bigint, instance string"))
+    seen = materialise(keyed, "pii-occurrences", _occurrences(bitmap.tobytes()), "pattern bigint, n bigint, doc_id bigint, text_hash bigint, kind int, start bigint, end bigint, instance string")
     totals = seen.where("n IS NOT NULL").groupBy("pattern").agg(F.sum("n").alias("total"))
-    candidates = keep(seen.where("n IS NULL").join(strong, ["pattern", "kind"]))
+    candidates = materialise(seen.where("n IS NULL").join(strong, ["pattern", "kind"]), "pii-candidates")
     edges = seeds.join(strong, ["pattern", "kind"]).groupBy("pattern", "kind", "instance").agg(F.count("*").alias("n"))
     patterns, scores = score(edges, totals, candidates.select("pattern", "kind", "instance", F.lit(1).alias("n")), confidence)
     return candidates.join(patterns, ["pattern", "kind"]).join(scores, ["kind", "instance"]).select("doc_id", "text_hash", "kind", "start", "end").distinct()
@@ -235,7 +235,7 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     keyed = _keyed(docs)
     seeds = "array<struct<kind: int, pattern: bigint, instance: string>>"
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    base = keep(arrow_map(keyed, _seeds, f"doc_id bigint, text_hash bigint, {counts}, base string, base_sha256 string, seeds {seeds}"))
+    base = materialise(keyed, "pii-base", _seeds, f"doc_id bigint, text_hash bigint, {counts}, base string, base_sha256 string, seeds {seeds}")
     found = discover(keyed, base, support, confidence)
     kinds = F.array(*[F.lit(k) for k in KINDS])
     own = F.when(F.col("base") == "", F.array().cast(_SPAN)).otherwise(
@@ -246,7 +246,7 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFID
         rows = rows.withColumn("all_spans", F.col("own"))
     else:
         more = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("more"))  # identifiers of one text
-        more = keep(more).toDF("__id", "__hash", "more")
+        more = materialise(more, "pii-more").toDF("__id", "__hash", "more")
         rows = rows.join(more, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash").eqNullSafe(F.col("__hash"))), "left")
         fits = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
         merged = F.aggregate("more", F.col("own"), lambda acc, x: F.when(fits(acc, x), F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))).otherwise(acc))
@@ -278,9 +278,9 @@ def masked(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDEN
     Spans are looked up by (doc_id, text), so texts without any never leave their partition.
     """
     spans = find_pii(docs, support, confidence).where("spans <> ''").groupBy("doc_id", "text_hash").agg(F.first("spans").alias("__spans"))
-    spans = keep(spans).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    spans = materialise(spans, "pii-spans").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__t"), F.xxhash64(F.col("text")).alias("__h"), F.col("doc_id").alias("__d"))
-    rows = rows.join(small(spans), F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
+    rows = rows.join(small(spans, text="__spans"), F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
     kind = docs.select(F.struct(*docs.columns).alias("r")).schema["r"].dataType.simpleString()
     out = arrow_map(rows.select("__row", "__t", "__spans"), _mask, f"__row {kind}, __text string")
     text = lambda c: F.col("__text") if c == "text" else F.when(F.col("__row.n_chars").isNotNull(), F.length("__text")).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"__row.`{c}`")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import SPACES, arrow_map, batch, keep, mix, pieces, small, utf8, word_hashes
+from quillmask.llm.common import SPACES, arrow_map, batch, materialise, mix, pieces, small, utf8, word_hashes
 
 FEATURES = (
     "log_words", "word_length", "symbols", "capitals", "digits", "sentence_marks", "commas", "exclamations", "brackets_quotes", "non_ascii",
@@ -193,7 +193,7 @@ def held_out(doc_id: str = "doc_id"):
 def train(features: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Gam:
     """Fits on the labelled documents that aren't held out, `rows` of them at most, chosen by a hash of doc_id."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
-    known = keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "gam-labels")
     sample = features.join(small(known), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select(*FEATURES, (F.col("y") >= 0.5).cast("int").alias("y")).toPandas()
     return fit(sample[list(FEATURES)].to_numpy(np.float64), sample["y"].to_numpy(np.float64))
 
@@ -206,7 +206,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     Without labels every score is 0.5. A null doc_id is not held out. An empty docs table gives an empty result.
     """
     wide = ", ".join(f"{f} float" for f in FEATURES)
-    features = keep(arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), _features, f"doc_id bigint, {wide}"))
+    features = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "gam-features", _features, f"doc_id bigint, {wide}")
     model = train(features, labels, rows)
     scored = arrow_map(features, _scores(model), "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

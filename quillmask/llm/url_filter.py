@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import keep, small
+from quillmask.llm.common import materialise, small
 
 #: List entries (about 200 bytes each) up to which the list is broadcast; beyond, it is joined by shuffle.
 LIST_ROWS = 100_000
@@ -58,7 +58,7 @@ def screen(captures: DataFrame, events: DataFrame) -> DataFrame:
     """
     made = ("blocked", "n_entries", "entry", "since")
     captures = captures.drop(*made)
-    listed = keep(intervals(events))
+    listed = materialise(intervals(events), "url-list")
     depth = listed.agg(F.max(F.size(F.split("entry", "/")) - 1)).head()[0] or 0
     asked = captures.where("url IS NOT NULL AND fetched IS NOT NULL").select(F.col("url").alias("__url"), F.col("fetched").alias("__at")).distinct()
     keys = asked.select("__url", "__at", F.explode(questions(F.col("__url"), depth)).alias("entry"))
@@ -66,7 +66,7 @@ def screen(captures: DataFrame, events: DataFrame) -> DataFrame:
     now = F.filter("valid", lambda v: (v["since"] <= F.col("__at")) & (v["until"].isNull() | (F.col("__at") < v["until"])))
     hits = hits.withColumn("since", F.get(now, 0)["since"]).where("since IS NOT NULL")
     best = F.max(F.struct(F.length("entry").alias("size"), "entry", "since"))
-    verdicts = keep(hits.groupBy("__url", "__at").agg(F.count("*").alias("n_entries"), best.alias("best")))
+    verdicts = materialise(hits.groupBy("__url", "__at").agg(F.count("*").alias("n_entries"), best.alias("best")), "url-hits")
     verdicts = verdicts.select("__url", "__at", "n_entries", F.col("best.entry").alias("entry"), F.col("best.since").alias("since"))
     out = captures.join(verdicts, (F.col("url") == F.col("__url")) & (F.col("fetched") == F.col("__at")), "left")
     n = F.coalesce("n_entries", F.lit(0)).cast("bigint")

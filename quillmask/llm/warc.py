@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import arrow_map, batch, keep, materialise, pieces, shared_path, small
+from quillmask.llm.common import arrow_map, batch, materialise, pieces, shared_path, small
 
 #: Lines of an index block; bytes after which a task starts another archive.
 BLOCK_LINES, ARCHIVE_BYTES = 2000, 1 << 30
@@ -140,9 +140,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     page_id revisits if its group has any page_id, and is a response otherwise. No rows: no archives.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    narrow = keep(pages.select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("sha"), F.octet_length(html).alias("bytes")).where(F.col("bytes") >= min_bytes).select("page_id", "sha"))
+    narrow = materialise(pages.select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("sha"), F.octet_length(html).alias("bytes")).where(F.col("bytes") >= min_bytes).select("page_id", "sha"), "warc-digests")
     largest = narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("sha", "refers_to")
-    revisits = keep(narrow.join(largest, "sha").where("page_id IS NULL OR page_id <> refers_to").groupBy("page_id", "sha").agg(F.first("refers_to").alias("refers_to")))
+    revisits = materialise(narrow.join(largest, "sha").where("page_id IS NULL OR page_id <> refers_to").groupBy("page_id", "sha").agg(F.first("refers_to").alias("refers_to")), "warc-revisits")
     named = revisits.select(F.col("page_id").alias("p"), "sha", "refers_to")
     rows = pages.select("page_id", "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("own"))
     rows = rows.join(small(named), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("own") == F.col("sha")), "left")
@@ -284,5 +284,5 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = shared_path(pages.sparkSession, "warc")
     captures = write_archives(pages, folder, min_bytes)
     directory = write_index(captures, folder)
-    found = keep(look_up(pages, directory, folder))
+    found = materialise(look_up(pages, directory, folder), "warc-found")
     return read_records(found, folder, payloads=False).drop("payload")
