@@ -8,7 +8,8 @@ than one component get a second hub, the member nearest to the bucket's consensu
 bucket is compared exhaustively, in pairs of blocks, on signatures and then on full sets within the task, which returns links only. So each pair that shares a band is either linked
 through others or compared: nothing is capped.
 
-With 32 bands of 6 a pair at 0.85 shares no band with probability 3e-7, and its estimate falls under the cut with about as much.
+Bands are as long as lets a pair at the threshold share none with a probability of at most 1e-6 (32 of 6 minima at 0.85, 38 of 5 at
+0.8); its estimate falls under the cut with about as much.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from quillmask.llm.common import at_workers, batch, materialise, mix, pieces, small, utf8, word_hashes
 from quillmask.llm.components import components
 
-SHINGLE, BANDS, ROWS = 5, 32, 6
-MINIMA = BANDS * ROWS
+SHINGLE, MINIMA = 5, 192
+#: Probability that a pair at the threshold may share no band.
+MISSED = 1e-6
 LANES = MINIMA // 64  # longs of each bit plane
 #: Rows of a block in the exhaustive comparison, and members that one task confirms against one hub.
 BLOCK, SALT = 1024, 256
@@ -69,10 +71,22 @@ def minima(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands and minima of each."""
+    for rows in range(12, 0, -1):
+        if (1 - threshold**rows) ** (MINIMA // rows) <= MISSED:
+            return MINIMA // rows, rows
+    return MINIMA, 1
+
+
+def _signatures(bands: int, rows: int):
+    return lambda it: _sign(it, bands, rows)
+
+
+def _sign(it: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     lanes = np.uint64(1) << (np.arange(64, dtype=np.uint64))
-    band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    band = np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for b in pieces(it, 1):
         ids, sizes, d1, d2, mins = [], [], [], [], []
         for s in shingle_sets(b.column(1)):
@@ -82,11 +96,11 @@ def _signatures(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mins.append(minima(s) if len(s) else np.zeros(MINIMA, np.uint32))
         low = mix(np.array(mins).astype(np.uint64) + _SEEDS)
         planes = [((low >> np.uint64(p)) & np.uint64(1)).reshape(-1, LANES, 64) @ lanes for p in (0, 1)]
-        keys = np.zeros((len(mins), BANDS), np.uint64) + band
-        for r in range(ROWS):
-            keys = mix(keys + np.array(mins).reshape(-1, BANDS, ROWS)[:, :, r].astype(np.uint64))
+        keys = np.zeros((len(mins), bands), np.uint64) + band
+        for r in range(rows):
+            keys = mix(keys + np.array(mins)[:, r : bands * rows : rows].astype(np.uint64))
         lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(x.view(np.int64).ravel()))
-        yield batch(schema, b.column(0), sizes, np.array(d1, np.uint64).view(np.int64), np.array(d2, np.uint64).view(np.int64), lists(np.hstack(planes), 2 * LANES), lists(keys, BANDS))
+        yield batch(schema, b.column(0), sizes, np.array(d1, np.uint64).view(np.int64), np.array(d2, np.uint64).view(np.int64), lists(np.hstack(planes), 2 * LANES), lists(keys, bands))
 
 
 def estimate(a: str, b: str) -> Column:
@@ -145,11 +159,36 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, label: str) -> Data
     return materialise(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), f"{label}-links", _verify(percent), "a bigint, b bigint")
 
 
-def _consensus(table: pa.Table) -> pa.Table:
-    """Of one salted part of a bucket: for each signature bit, how many members have it."""
-    bits = np.frombuffer(np.array(table.column("bits").to_pylist(), dtype=np.int64).tobytes(), np.uint8)
-    ones = np.unpackbits(bits.reshape(table.num_rows, -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return pa.table({"key": table.column("key").slice(0, 1), "n": pa.array([table.num_rows], pa.int64()), "ones": pa.array([ones.tolist()], pa.list_(pa.int64()))})
+def _consensus(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, part, bits), sorted -> key, members, and how many of them have each signature bit, as int64 bytes; one row a key and part at least."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("ones", pa.binary())])
+    for b in it:
+        key, part = np.asarray(b.column(0)), np.asarray(b.column(1))
+        bits = np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1)
+        ones = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        sums = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+        yield batch(schema, key[first], np.diff(np.append(first, len(key))), [x.tobytes() for x in sums])
+
+
+def _majority(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, ones), sorted by key -> key and the bits that more than half of its members have."""
+    schema = pa.schema([("key", pa.int64()), ("middle", pa.list_(pa.int64()))])
+    held, n, ones = None, 0, None
+
+    def row():
+        bits = np.packbits(2 * ones > n, bitorder="little").view(np.int64)
+        return batch(schema, [held], [bits.tolist()])
+
+    for b in it:
+        for key, m, x in zip(*(c.to_pylist() for c in b.columns)):
+            if key != held:
+                if held is not None:
+                    yield row()
+                held, n, ones = key, 0, 0
+            n, ones = n + m, ones + np.frombuffer(x, np.int64)
+    if held is not None:
+        yield row()
 
 
 def _compare(rows: list[dict], floor: float, percent: int) -> Iterator[tuple[int, int]]:
@@ -220,7 +259,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     at_workers(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialise(docs, "signatures", _signatures, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bits array<bigint>, bands array<bigint>")
+    sig = materialise(docs, "signatures", _signatures(*banding(percent / 100)), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bits array<bigint>, bands array<bigint>")
     sets = materialise(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id")), "sets")
     reps = sig.join(sets.select(F.col("id").alias("doc_id"), "d1", "d2", "n_shingles"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi").dropDuplicates(["doc_id"])
     reps = materialise(reps.select(F.col("doc_id").alias("id"), "n_shingles", "bits", "bands"), "representatives")
@@ -250,10 +289,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     open_ = unsettled()
     if open_.known_rows:
-        parts = open_.select("key", "bits", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).groupBy("key", "part").applyInArrow(_consensus, "key bigint, n bigint, ones array<bigint>")
-        ones = parts.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(F.col("ones")[i]).alias(f"o{i}") for i in range(2 * MINIMA)])
-        lane = lambda j: F.expr(" | ".join(f"shiftleft(cast(2 * o{64 * j + i} > n as bigint), {i})" for i in range(64)))
-        middle = materialise(ones.select("key", F.array(*[lane(j) for j in range(2 * LANES)]).alias("middle")), "consensus")
+        # members come sorted by key and salt, so a task adds up one part of a bucket after the other
+        size = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = open_.join(size, "key").select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "bits").repartition(n, "key", "part").sortWithinPartitions("key", "part")
+        parts = materialise(parts, "consensus-parts", _consensus, "key bigint, n bigint, ones binary")
+        middle = parts.repartition(n, "key").sortWithinPartitions("key")
+        middle = materialise(middle, "consensus", _majority, "key bigint, middle array<bigint>")
         # the component of the hub needs no second look at its own members
         nearest = open_.join(middle, "key").groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct(estimate("bits", "middle"), -F.col("id"))).alias("hub"))
         second = open_.join(nearest, "key").where("component <> hub.component").select(F.col("hub.id").alias("x"), F.col("id").alias("y"))
@@ -292,7 +334,8 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     Rows that repeat a doc_id count as copies, so one of them stays; rows with a null doc_id stay.
     """
     verdict = materialise(near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    some = docs.join(small(verdict.select("doc_id")), "doc_id", "left_semi").select(docs.columns)
+    named = verdict.select(F.col("doc_id").alias("__id"))
+    some = docs.join(small(named), F.col("doc_id") == F.col("__id"), "left").where("__id IS NOT NULL OR doc_id IS NULL").select(docs.columns)
     if verdict.where("copies > 1").limit(1).count():
-        some = some.dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id IS NULL"))
+        some = some.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(some.where("doc_id IS NULL"))
+    return some

@@ -27,7 +27,7 @@ from quillmask.llm.common import arrow_map, batch, mix, pieces, utf8
 
 SPACE, MARK = 0x20, "▁"
 #: Units of more bytes are segmented one by one; texts are handled so many bytes at a time.
-LONG, BYTES = 48, 4 << 20
+LONG, BYTES = 48, 2 << 20
 FILTER = 1 << 21
 
 _rng = np.random.default_rng(4242)

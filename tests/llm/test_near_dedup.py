@@ -13,7 +13,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     root = {i: i for i in sets}
 
@@ -26,7 +26,7 @@ def brute(rows):
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = top(i), top(j)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), top(i)) for i in ids}
@@ -51,10 +51,14 @@ def test_against_brute_force(spark, prose):
                 w[at] = f"y{k}_{at}"
         rows.append((k, " ".join(w)))
     r.shuffle(rows)
-    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = brute(rows)
-    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
-    assert all(x.kept == (x.doc_id == x.component_id) for x in got)
+    for percent in (85, 80):
+        got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows, percent)
+        assert all(x.kept == (x.doc_id == x.component_id) for x in got)
+
+
+def test_banding():
+    assert nd.banding(0.85) == (32, 6) and nd.banding(0.8) == (38, 5)
 
 
 def test_estimate_is_unbiased():

@@ -15,7 +15,7 @@ def test_stages(spark):
             assert out[-1].columns == d.columns and out[-1].schema.simpleString() == d.schema.simpleString()
     good = {x.doc_id for x in quality_rules.judge(d).where("kept").collect()}
     assert {x.doc_id for x in out[1].collect()} == good
-    once = {x.doc_id for x in near_dedup.near_duplicates(out[1]).where("kept").collect()}
+    once = {x.doc_id for x in near_dedup.near_duplicates(out[1], 80).where("kept").collect()}
     assert sorted(x.doc_id for x in out[2].collect()) == sorted(once)
     texts = {x.doc_id: x.text for x in out[2].collect()}
     for x in pii.find_pii(out[2]).collect():
