@@ -56,9 +56,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillmask/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The pyarrow file system and path of a folder in the shared store."""
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1) if "://" in folder else f"file://{os.path.abspath(folder)}")
+
+
 def _writer(folder: str, fn: Callable | None):
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = store_of(folder)
         part = TaskContext.get().partitionId()
         hidden, rows, out = f"{path}/_{part}-{uuid.uuid4().hex}", 0, None
         for b in fn(it) if fn else it:
@@ -84,7 +89,12 @@ def materialise(df: DataFrame, label: str, fn: Callable | None = None, schema: s
     spark = df.sparkSession
     at_workers(spark)
     folder = shared_path(spark, label)
-    store, path = fs.FileSystem.from_uri(folder)
+    try:
+        store, path = store_of(folder)
+    except (pa.ArrowException, OSError):  # a store that pyarrow doesn't know: Spark writes, through JVM tasks
+        out = df.mapInArrow(fn, schema) if fn else df
+        out.write.parquet(folder)
+        return spark.read.schema(out.schema).parquet(folder)
     store.create_dir(path, recursive=True)
     rows = df.mapInArrow(_writer(folder, fn), "n bigint").agg(F.sum("n")).head()[0] or 0
     kind = spark.createDataFrame([], schema).schema if schema else df.schema
@@ -138,6 +148,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None) ->
     return F.broadcast(df)
 
 
+def empty(df: DataFrame) -> bool:
+    known = getattr(df, "known_rows", None)
+    return not (df.limit(1).count() if known is None else known)
+
+
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all strings in a row and the n + 1 places where they begin and end; nulls are empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import at_workers, batch, materialise, mix, pieces, small, utf8, word_hashes
+from quillmask.llm.common import at_workers, batch, empty, materialise, mix, pieces, small, utf8, word_hashes
 from quillmask.llm.components import components
 
 SHINGLE, MINIMA = 5, 192
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         return materialise(own.join(keys, "key").join(bits, "id"), "unsettled")
 
     open_ = unsettled()
-    if open_.known_rows:
+    if not empty(open_):
         # members come sorted by key and salt, so a task adds up one part of a bucket after the other
         size = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
         last = materialise(rows, "block-links", _blocks(floor, percent), "a bigint, b bigint")
-        if last.known_rows:
+        if not empty(last):
             found = components(links.union(last))
 
     named = sets.join(found, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))

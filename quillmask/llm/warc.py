@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import arrow_map, batch, materialise, pieces, shared_path, small
+from quillmask.llm.common import arrow_map, batch, materialise, pieces, shared_path, small, store_of
 
 #: Lines of an index block; bytes after which a task starts another archive.
 BLOCK_LINES, ARCHIVE_BYTES = 2000, 1 << 30
@@ -90,7 +90,7 @@ def parsed(data: bytes) -> dict:
 
 @lru_cache(64)
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
+    return store_of(folder)
 
 
 @lru_cache(32)
