@@ -45,7 +45,7 @@ BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the SIGNALS of a text column, as bigints; a null text has none of anything. Columns of these names are replaced."""
     t, w = "__text", "__words"
-    count = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("bigint")
+    count = lambda regex: F.regexp_count(F.col(t), F.lit(regex)).cast("bigint")
     d = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     bare = F.btrim(F.col(t), F.lit(BLANK))
     d = d.withColumn(w, F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
@@ -61,13 +61,13 @@ def with_signals(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(F.transform("__at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("__at", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     d = d.withColumns(
         {
-            "word_chars": F.length(F.translate(t, BLANK, "")).cast("bigint"),
-            "n_symbols": count(SYMBOLS),
+            "word_chars": F.length(t) - count(r"[\x20\x09-\x0D]"),
+            "n_symbols": count(f"[{SYMBOLS}]"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("bigint"),
             "n_lines": F.size("__lines").cast("bigint"),
             "n_function_words": F.size(F.filter(w, lambda x: x.isin(FUNCTION_WORDS))).cast("bigint"),
-            "n_capitals": count(UPPER),
+            "n_capitals": count("[A-ZÀ-ÏÑ-ÖØ-Ý]"),  # UPPER
             "n_exclamations": count("!"),
         }
     )
