@@ -39,6 +39,12 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its files make fewer; detection costs far more than moving the texts once."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DuckDB's word boundaries are ASCII; these texts are as well."""
     return docs(spark, sf_dir).where("lang = 'en' AND length(text) = octet_length(text)").select("doc_id", "text")
@@ -112,13 +118,13 @@ def detect_rules(spark, sf_dir):
 
 @query()
 def detect_regex(spark, sf_dir):
-    return detect.explode_spans(detect.detect(docs(spark, sf_dir), ["regex"]), ["regex"]).select("doc_id", "start", "end", "text", "kind")
+    return detect.explode_spans(detect.detect(spread(docs(spark, sf_dir).select("doc_id", "text")), ["regex"]), ["regex"]).select("doc_id", "start", "end", "text", "kind")
 
 
 @query()
 def detect_context(spark, sf_dir):
     both = docs(spark, sf_dir).select("doc_id", "text").union(fixture(spark).select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
-    return detect.explode_spans(detect.detect(both, ["context"]), ["context"]).select("doc_id", "start", "end", "text", "kind")
+    return detect.explode_spans(detect.detect(spread(both), ["context"]), ["context"]).select("doc_id", "start", "end", "text", "kind")
 
 
 @query(f"WITH {O.RAW} SELECT doc_id, start, \"end\", text, kind, replace(source, '_', ' ') AS label FROM raw")
@@ -189,13 +195,13 @@ def reconcile_spans(spark, sf_dir):
 
 @query()
 def ensemble_spans(spark, sf_dir):
-    return ensemble(docs(spark, sf_dir))
+    return ensemble(spread(docs(spark, sf_dir).select("doc_id", "text")))
 
 
 @query()
 def ensemble_by_type(spark, sf_dir):
     """The flagship: reconciled spans of all documents, counted by type, queue and agreement."""
-    spans = ensemble(docs(spark, sf_dir))
+    spans = ensemble(spread(docs(spark, sf_dir).select("doc_id", "text")))
     return spans.groupBy("primary_type", "queue", "agreement_count").agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_documents"), F.avg("confidence_score").alias("avg_confidence"))
 
 
