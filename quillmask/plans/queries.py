@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,9 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, whole: bool = False):
+    """Registers a query and its SQL; with `whole` also NAME_all, the same over the texts of all documents, which SQL can't follow."""
+
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
+        if whole:
+            _QUERIES[f"{f.__name__}_all"] = partial(f, texts=every)
         if sql:
             _SQL[f.__name__] = sql
         return f
@@ -46,10 +51,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DuckDB's word boundaries are ASCII; these texts are as well."""
+    """The part that SQL can check: DuckDB's word boundaries are ASCII; these texts are as well. NAME_all runs over every()."""
     return docs(spark, sf_dir).where("lang = 'en' AND length(text) = octet_length(text)").select("doc_id", "text")
 
 
+def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all documents, in any language and script."""
+    return spread(docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def fixture(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
 
@@ -88,9 +98,9 @@ def spans_phone(spark, sf_dir):
     return pattern_rows(docs(spark, sf_dir), ["phone_regex"])
 
 
-@query(f"WITH {O.ENGLISH} {_COLS} ({O.one('english', 'name_heuristic')})")
-def spans_name(spark, sf_dir):
-    return pattern_rows(english(spark, sf_dir), ["name_heuristic"])
+@query(f"WITH {O.ENGLISH} {_COLS} ({O.one('english', 'name_heuristic')})", whole=True)
+def spans_name(spark, sf_dir, texts=english):
+    return pattern_rows(texts(spark, sf_dir), ["name_heuristic"])
 
 
 _FIXED = ["ssn_regex", "postal_regex", "ein", "itin", "email", "uk_postcode", "license_plate", "date", "iban", "mac_address"]
@@ -127,9 +137,9 @@ def detect_context(spark, sf_dir):
     return detect.explode_spans(detect.detect(spread(both), ["context"]), ["context"]).select("doc_id", "start", "end", "text", "kind")
 
 
-@query(f"WITH {O.RAW} SELECT doc_id, start, \"end\", text, kind, replace(source, '_', ' ') AS label FROM raw")
-def detect_legacy(spark, sf_dir):
-    found = detect.explode_spans(detect.detect(english(spark, sf_dir), ["legacy"]), ["legacy"])
+@query(f"WITH {O.RAW} SELECT doc_id, start, \"end\", text, kind, replace(source, '_', ' ') AS label FROM raw", whole=True)
+def detect_legacy(spark, sf_dir, texts=english):
+    found = detect.explode_spans(detect.detect(texts(spark, sf_dir), ["legacy"]), ["legacy"])
     names = F.create_map(*[F.lit(x) for p in vocab.SECOND_PASS for x in (p.kind, p.name.replace("_", " "))])
     return found.select("doc_id", "start", "end", "text", "kind", F.element_at(names, F.col("kind")).alias("label"))
 
@@ -179,18 +189,18 @@ def pii_regions(spark, sf_dir):
     return fixture(spark).select("doc_id", F.explode(X.regions("text")).alias("x")).select("doc_id", "x.*")
 
 
-def _raw(spark, sf_dir):
-    return detect.explode_spans(detect.detect(english(spark, sf_dir), ["second_pass"]), ["second_pass"])
+def _raw(spark, sf_dir, texts=english):
+    return detect.explode_spans(detect.detect(texts(spark, sf_dir), ["second_pass"]), ["second_pass"])
 
 
-@query(f"WITH {O.RAW} SELECT doc_id, start, \"end\", text, kind FROM (SELECT *, {O.TRIM} AS t FROM raw) WHERE NOT ({O.FALSE_POSITIVE})")
-def fp_filter(spark, sf_dir):
-    return _raw(spark, sf_dir).where(~detect.false_positive(F.col("text"), F.col("kind"))).select("doc_id", "start", "end", "text", "kind")
+@query(f"WITH {O.RAW} SELECT doc_id, start, \"end\", text, kind FROM (SELECT *, {O.TRIM} AS t FROM raw) WHERE NOT ({O.FALSE_POSITIVE})", whole=True)
+def fp_filter(spark, sf_dir, texts=english):
+    return _raw(spark, sf_dir, texts).where(~detect.false_positive(F.col("text"), F.col("kind"))).select("doc_id", "start", "end", "text", "kind")
 
 
-@query(f'WITH {O.RECONCILED} SELECT doc_id, start, "end", text, primary_type, types, sources, agreement_count, confidence_score, queue FROM reconciled')
-def reconcile_spans(spark, sf_dir):
-    return reconcile.reconcile(_raw(spark, sf_dir))
+@query(f'WITH {O.RECONCILED} SELECT doc_id, start, "end", text, primary_type, types, sources, agreement_count, confidence_score, queue FROM reconciled', whole=True)
+def reconcile_spans(spark, sf_dir, texts=english):
+    return reconcile.reconcile(_raw(spark, sf_dir, texts))
 
 
 @query()
@@ -206,15 +216,15 @@ def ensemble_by_type(spark, sf_dir):
 
 
 @query(f"""WITH {O.RAW}, redacted AS (SELECT doc_id, start, "end" FROM raw WHERE kind IN ('email', 'phone') AND (doc_id + start) % 2 = 0)
-SELECT doc_id, start, "end", text, kind, source AS pattern_source FROM raw WHERE NOT EXISTS (SELECT 1 FROM redacted r WHERE r.doc_id = raw.doc_id AND raw.start < r."end" AND raw."end" > r.start)""")
-def risk_second_pass(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
+SELECT doc_id, start, "end", text, kind, source AS pattern_source FROM raw WHERE NOT EXISTS (SELECT 1 FROM redacted r WHERE r.doc_id = raw.doc_id AND raw.start < r."end" AND raw."end" > r.start)""", whole=True)
+def risk_second_pass(spark, sf_dir, texts=english):
+    raw = _raw(spark, sf_dir, texts)
     redacted = raw.where("kind IN ('email', 'phone') AND (doc_id + start) % 2 = 0")
     return reconcile.outside(raw, redacted).select("doc_id", "start", "end", "text", "kind", F.col("source").alias("pattern_source"))
 
 
-def _spans(spark, sf_dir):
-    return review.typed(*stored(reconcile.reconcile(_raw(spark, sf_dir))))
+def _spans(spark, sf_dir, texts=english):
+    return review.typed(*stored(reconcile.reconcile(_raw(spark, sf_dir, texts))))
 
 
 def _events(spans: DataFrame) -> DataFrame:
@@ -227,49 +237,49 @@ def _events(spans: DataFrame) -> DataFrame:
     return first.union(second).union(third)
 
 
-@query(f"WITH {O.STORED} SELECT * FROM latest")
-def latest_decision(spark, sf_dir):
-    return review.latest_decisions(_events(_spans(spark, sf_dir))).drop("seq")
+@query(f"WITH {O.STORED} SELECT * FROM latest", whole=True)
+def latest_decision(spark, sf_dir, texts=english):
+    return review.latest_decisions(_events(_spans(spark, sf_dir, texts))).drop("seq")
 
 
-@query(f'WITH {O.STORED} SELECT doc_id, span_type, span_id, start, "end", text, category, confidence_score, decision, {O.URGENCY} AS urgency FROM items')
-def review_items(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
+@query(f'WITH {O.STORED} SELECT doc_id, span_type, span_id, start, "end", text, category, confidence_score, decision, {O.URGENCY} AS urgency FROM items', whole=True)
+def review_items(spark, sf_dir, texts=english):
+    spans = _spans(spark, sf_dir, texts)
     return review.review_items(spans, _events(spans)).select("doc_id", "span_type", "span_id", "start", "end", "text", "category", "confidence_score", "decision", "urgency")
 
 
 @query(f"""WITH {O.STORED}, f AS (SELECT doc_id, span_type, text, first(decision ORDER BY span_id) AS d FROM items WHERE decision IS NOT NULL GROUP BY ALL)
-SELECT doc_id, span_type, span_id, coalesce(decision, f.d) AS spread FROM items LEFT JOIN f USING (doc_id, span_type, text)""")
-def linked_decisions(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
+SELECT doc_id, span_type, span_id, coalesce(decision, f.d) AS spread FROM items LEFT JOIN f USING (doc_id, span_type, text)""", whole=True)
+def linked_decisions(spark, sf_dir, texts=english):
+    spans = _spans(spark, sf_dir, texts)
     return review.linked(review.review_items(spans, _events(spans))).select("doc_id", "span_type", "span_id", "spread")
 
 
 @query(f"""WITH {O.STORED}, r AS (SELECT l.*, s.start, s."end", t.doc_id IS NOT NULL AS real FROM latest l JOIN spans s USING (doc_id, span_type, span_id) LEFT JOIN truth t ON t.doc_id = l.doc_id AND t.start = s.start AND t."end" = s."end")
 SELECT doc_id, count(*) FILTER (decision = 'redact' AND real) AS exposures_caught, count(*) FILTER (decision = 'dismiss' AND real) AS exposures_missed,
-  count(*) FILTER (decision = 'reject' AND NOT real) AS unnecessary_redactions_fixed, count(*) FILTER (decision = 'approve' AND real) AS correct_redactions_kept, count(*) AS total_reviewed FROM r GROUP BY doc_id""")
-def review_summary(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
+  count(*) FILTER (decision = 'reject' AND NOT real) AS unnecessary_redactions_fixed, count(*) FILTER (decision = 'approve' AND real) AS correct_redactions_kept, count(*) AS total_reviewed FROM r GROUP BY doc_id""", whole=True)
+def review_summary(spark, sf_dir, texts=english):
+    spans = _spans(spark, sf_dir, texts)
     return review.summary(spans, _events(spans), spans.where("category IN ('email', 'phone')").select("doc_id", "start", "end"))
 
 
 @query(f"""WITH {O.STORED}, c AS (SELECT doc_id, count(*) FILTER (span_type = 'detector') AS detector_count, count(*) FILTER (span_type = 'risk_flag') AS risk_count, count(decision) AS decision_count FROM items GROUP BY doc_id)
-SELECT *, decision_count >= detector_count + risk_count AS complete FROM c""")
-def completion_gate(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
+SELECT *, decision_count >= detector_count + risk_count AS complete FROM c""", whole=True)
+def completion_gate(spark, sf_dir, texts=english):
+    spans = _spans(spark, sf_dir, texts)
     return review.completion(spans, _events(spans))
 
 
 @query(f"""WITH {O.STORED} SELECT doc_id, count(decision) AS decided, count(*) AS total, count(*) FILTER (decision IS NULL AND span_type = 'risk_flag') AS pending_flags,
-  count(decision) / count(*) * 100 AS percent, count(decision) = count(*) AS all_decided FROM items GROUP BY doc_id""")
-def review_progress(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
+  count(decision) / count(*) * 100 AS percent, count(decision) = count(*) AS all_decided FROM items GROUP BY doc_id""", whole=True)
+def review_progress(spark, sf_dir, texts=english):
+    spans = _spans(spark, sf_dir, texts)
     return review.progress(review.review_items(spans, _events(spans)))
 
 
-@query(f"WITH {O.STORED} SELECT doc_id, CASE WHEN count(*) FILTER (decision IS NULL) = 0 THEN 'completed' WHEN count(decision) > 0 OR max((doc_id + start) % 4 <> 3) THEN 'in_progress' ELSE 'pending_review' END AS status FROM items GROUP BY doc_id")
-def document_status(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
+@query(f"WITH {O.STORED} SELECT doc_id, CASE WHEN count(*) FILTER (decision IS NULL) = 0 THEN 'completed' WHEN count(decision) > 0 OR max((doc_id + start) % 4 <> 3) THEN 'in_progress' ELSE 'pending_review' END AS status FROM items GROUP BY doc_id", whole=True)
+def document_status(spark, sf_dir, texts=english):
+    spans = _spans(spark, sf_dir, texts)
     events = _events(spans)
     return review.status(spans.select("doc_id").distinct(), events, review.completion(spans, events).where("complete"))
 
@@ -278,9 +288,9 @@ def document_status(spark, sf_dir):
   CASE WHEN confidence_score >= 80 THEN 'high' WHEN confidence_score >= 60 THEN 'medium' ELSE 'low' END AS bucket,
   CASE WHEN agreement_count > 1 THEN 'verified by ' || agreement_count ELSE 'caught by ' || sources[1] END AS provenance,
   CASE WHEN decision IN ('approve', 'redact') THEN 'redacted' WHEN decision IN ('reject', 'dismiss') THEN 'released' END AS outcome,
-  CASE WHEN length(text) > 12 THEN substr(text, 1, 12) || '...' ELSE text END AS preview FROM (SELECT *, {O.TRIM} AS t FROM items)""")
-def span_badges(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
+  CASE WHEN length(text) > 12 THEN substr(text, 1, 12) || '...' ELSE text END AS preview FROM (SELECT *, {O.TRIM} AS t FROM items)""", whole=True)
+def span_badges(spark, sf_dir, texts=english):
+    spans = _spans(spark, sf_dir, texts)
     rows = review.review_items(spans, _events(spans))
     return rows.select(
         "doc_id", "span_type", "span_id", X.label(F.col("category"), F.col("text")).alias("label"), X.infer_category(F.col("text")).alias("inferred"), X.confidence_bucket(F.col("confidence_score"), F.col("is_manual")).alias("bucket"),
@@ -288,97 +298,98 @@ def span_badges(spark, sf_dir):
     )
 
 
-@query(f"WITH {O.STORED} SELECT doc_id, span_type, text, first(span_id ORDER BY start, span_id) AS span_id, min(start) AS start, count(*) AS copies FROM spans GROUP BY doc_id, span_type, text")
-def unique_cards(spark, sf_dir):
-    return review.cards(_spans(spark, sf_dir))
+@query(f"WITH {O.STORED} SELECT doc_id, span_type, text, first(span_id ORDER BY start, span_id) AS span_id, min(start) AS start, count(*) AS copies FROM spans GROUP BY doc_id, span_type, text", whole=True)
+def unique_cards(spark, sf_dir, texts=english):
+    return review.cards(_spans(spark, sf_dir, texts))
 
 
 @query(f"""WITH {O.STORED}, g AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start, span_type, span_id) AS past FROM spans),
 p AS (SELECT doc_id, start, "end", span_type, span_id FROM spans UNION ALL SELECT doc_id, past, start, NULL, NULL FROM g WHERE start > past
   UNION ALL SELECT d.doc_id, coalesce(max(s."end"), 0), length(d.text)::INT, NULL, NULL FROM english d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id, d.text HAVING coalesce(max(s."end"), 0) < length(d.text))
-SELECT p.doc_id, start, "end", substr(d.text, start + 1, "end" - start) AS text, span_type, span_id FROM p JOIN english d USING (doc_id)""")
-def viewer_segments(spark, sf_dir):
-    return review.segments(english(spark, sf_dir), _spans(spark, sf_dir))
+SELECT p.doc_id, start, "end", substr(d.text, start + 1, "end" - start) AS text, span_type, span_id FROM p JOIN english d USING (doc_id)""", whole=True)
+def viewer_segments(spark, sf_dir, texts=english):
+    return review.segments(texts(spark, sf_dir), _spans(spark, sf_dir, texts))
 
 
-def _approved(spark, sf_dir):
-    detector, risk = stored(reconcile.reconcile(_raw(spark, sf_dir)))
+def _approved(spark, sf_dir, texts=english):
+    detector, risk = stored(reconcile.reconcile(_raw(spark, sf_dir, texts)))
     return sanitise.approved(detector, risk, _events(review.typed(detector, risk)))
 
 
-@query(f"WITH {O.STORED} SELECT * FROM approved")
-def approved_spans(spark, sf_dir):
-    return _approved(spark, sf_dir)
+@query(f"WITH {O.STORED} SELECT * FROM approved", whole=True)
+def approved_spans(spark, sf_dir, texts=english):
+    return _approved(spark, sf_dir, texts)
 
 
-@query(f"WITH {O.STORED}, {O.spliced(chr(39) + '█' + chr(39) + '.repeat(length(text)::INT)')} SELECT doc_id, content, n::INT AS redaction_count FROM content")
-def redact_bars(spark, sf_dir):
-    return sanitise.redact(english(spark, sf_dir), _approved(spark, sf_dir), "bars").drop("redactions")
+@query(f"WITH {O.STORED}, {O.spliced(chr(39) + '█' + chr(39) + '.repeat(length(text)::INT)')} SELECT doc_id, content, n::INT AS redaction_count FROM content", whole=True)
+def redact_bars(spark, sf_dir, texts=english):
+    return sanitise.redact(texts(spark, sf_dir), _approved(spark, sf_dir, texts), "bars").drop("redactions")
 
 
-@query(f"WITH {O.STORED}, {O.spliced(chr(39) + '[REDACTED]' + chr(39))} SELECT doc_id, content, n::INT AS redaction_count FROM content")
-def redact_brackets(spark, sf_dir):
-    return sanitise.redact(english(spark, sf_dir), _approved(spark, sf_dir), "brackets").drop("redactions")
+@query(f"WITH {O.STORED}, {O.spliced(chr(39) + '[REDACTED]' + chr(39))} SELECT doc_id, content, n::INT AS redaction_count FROM content", whole=True)
+def redact_brackets(spark, sf_dir, texts=english):
+    return sanitise.redact(texts(spark, sf_dir), _approved(spark, sf_dir, texts), "brackets").drop("redactions")
 
 
-@query(f"WITH {O.STORED}, {O.MAPPINGS} SELECT * FROM mappings")
-def pseudonym_map(spark, sf_dir):
-    return sanitise.pseudonyms(_approved(spark, sf_dir))
+@query(f"WITH {O.STORED}, {O.MAPPINGS} SELECT * FROM mappings", whole=True)
+def pseudonym_map(spark, sf_dir, texts=english):
+    return sanitise.pseudonyms(_approved(spark, sf_dir, texts))
 
 
 @query(
     f"WITH {O.STORED}, {O.MAPPINGS}, "
     + O.spliced(f"(SELECT pseudonym FROM mappings m WHERE m.doc_id = approved.doc_id AND m.category = approved.category AND m.normalized_text = {O.NORMAL})")
-    + " SELECT c.doc_id, content, (SELECT count(*) FROM mappings m WHERE m.doc_id = c.doc_id) AS mapping_count FROM content c"
+    + " SELECT c.doc_id, content, (SELECT count(*) FROM mappings m WHERE m.doc_id = c.doc_id) AS mapping_count FROM content c",
+    whole=True,
 )
-def pseudonymize(spark, sf_dir):
-    return sanitise.pseudonymise(english(spark, sf_dir), _approved(spark, sf_dir)).drop("mapping")
+def pseudonymize(spark, sf_dir, texts=english):
+    return sanitise.pseudonymise(texts(spark, sf_dir), _approved(spark, sf_dir, texts)).drop("mapping")
 
 
 @query(f"""WITH {O.STORED}, c AS (SELECT doc_id, x AS start, x + 10 AS "end" FROM english, (SELECT unnest([0, 40, 200, 5000]) AS x))
 SELECT c.doc_id, c.start, c."end", substr(d.text, start + 1, 10) AS text FROM c JOIN english d USING (doc_id) WHERE c."end" <= length(d.text)
-  AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = c.doc_id AND c.start < s."end" AND c."end" > s.start)""")
-def manual_spans(spark, sf_dir):
-    d = english(spark, sf_dir)
+  AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = c.doc_id AND c.start < s."end" AND c."end" > s.start)""", whole=True)
+def manual_spans(spark, sf_dir, texts=english):
+    d = texts(spark, sf_dir)
     at = F.explode(F.array(*[F.lit(x) for x in (0, 40, 200, 5000)]))
     asked = d.select("doc_id", at.alias("start")).select("doc_id", "start", (F.col("start") + 10).alias("end"), F.lit("other").alias("category"), F.lit("detector").alias("span_type"))
-    return review.manual_spans(asked, d, _spans(spark, sf_dir)).select("doc_id", "start", "end", "text")
+    return review.manual_spans(asked, d, _spans(spark, sf_dir, texts)).select("doc_id", "start", "end", "text")
 
 
 @query(f"""WITH {O.STORED}, o AS (SELECT doc_id, span_type, span_id, arg_max(c, q) AS c FROM (SELECT doc_id, span_type, span_id, 'other' AS c, 1 AS q FROM spans WHERE start % 3 = 0 UNION ALL SELECT doc_id, span_type, span_id, 'address', 2 FROM spans WHERE start % 6 = 0) GROUP BY ALL)
-SELECT s.doc_id, s.span_type, s.span_id, coalesce(o.c, s.category) AS category FROM spans s LEFT JOIN o USING (doc_id, span_type, span_id) WHERE s.start % 5 <> 0""")
-def edited_spans(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
+SELECT s.doc_id, s.span_type, s.span_id, coalesce(o.c, s.category) AS category FROM spans s LEFT JOIN o USING (doc_id, span_type, span_id) WHERE s.start % 5 <> 0""", whole=True)
+def edited_spans(spark, sf_dir, texts=english):
+    spans = _spans(spark, sf_dir, texts)
     new = lambda where, c, q: spans.where(where).select(*review.KEY, F.lit(c).alias("category"), F.lit(q).alias("seq"))
     changed = review.override_category(spans, new("start % 3 = 0", "other", 1).union(new("start % 6 = 0", "address", 2)))
     return review.without(changed, spans.where("start % 5 = 0")).select(*review.KEY, "category")
 
 
 @query(f"""WITH {O.STORED}, h AS (SELECT *, CASE WHEN span_id % 2 = 0 THEN 'g' || span_type END AS group_id FROM events), l AS (SELECT doc_id, max(seq) AS s, arg_max(coalesce(group_id, ''), seq) AS g FROM h GROUP BY doc_id)
-SELECT doc_id, span_type, span_id, seq FROM h JOIN l USING (doc_id) WHERE NOT (seq = s OR coalesce(group_id = g, false))""")
-def undo_last(spark, sf_dir):
-    history = _events(_spans(spark, sf_dir)).withColumn("group_id", F.when(F.col("span_id") % 2 == 0, F.concat(F.lit("g"), F.col("span_type"))))
+SELECT doc_id, span_type, span_id, seq FROM h JOIN l USING (doc_id) WHERE NOT (seq = s OR coalesce(group_id = g, false))""", whole=True)
+def undo_last(spark, sf_dir, texts=english):
+    history = _events(_spans(spark, sf_dir, texts)).withColumn("group_id", F.when(F.col("span_id") % 2 == 0, F.concat(F.lit("g"), F.col("span_type"))))
     return review.undo(history).select(*review.KEY, "seq")
 
 
 @query(f"""WITH {O.STORED}, a AS (SELECT DISTINCT i.doc_id, i.span_type, i.span_id FROM items i JOIN items j ON i.doc_id = j.doc_id AND i.span_type = j.span_type AND i.text = j.text AND j.decision IS NOT NULL)
-SELECT e.doc_id, e.span_type, e.span_id, e.seq FROM events e ANTI JOIN a USING (doc_id, span_type, span_id)""")
-def reset_linked(spark, sf_dir):
-    spans = _spans(spark, sf_dir)
+SELECT e.doc_id, e.span_type, e.span_id, e.seq FROM events e ANTI JOIN a USING (doc_id, span_type, span_id)""", whole=True)
+def reset_linked(spark, sf_dir, texts=english):
+    spans = _spans(spark, sf_dir, texts)
     events = _events(spans)
     return review.reset(events, review.review_items(spans, events)).select(*review.KEY, "seq")
 
 
-@query(f"WITH {O.STORED} SELECT doc_id, span_type, span_id, seq FROM events QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) <= 3")
-def log_tail(spark, sf_dir):
-    return review.log_tail(_events(_spans(spark, sf_dir))).select(*review.KEY, "seq")
+@query(f"WITH {O.STORED} SELECT doc_id, span_type, span_id, seq FROM events QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) <= 3", whole=True)
+def log_tail(spark, sf_dir, texts=english):
+    return review.log_tail(_events(_spans(spark, sf_dir, texts))).select(*review.KEY, "seq")
 
 
 @query(f"""WITH {O.STORED}, t AS (SELECT doc_id, 'detector' AS span_type, (row_number() OVER (PARTITION BY doc_id ORDER BY start, "end"))::INT AS span_id, start, "end" FROM (SELECT DISTINCT doc_id, start, "end" FROM raw))
 SELECT t.doc_id, t.span_id, t.start, t."end", coalesce(first(s.agreement_count ORDER BY s.start, s."end"), 1)::INT AS agreement_count, first(s.confidence_score ORDER BY s.start, s."end") AS confidence_score
-FROM t LEFT JOIN reconciled s ON s.doc_id = t.doc_id AND t.start < s."end" AND t."end" > s.start AND s.primary_type <> 'name' GROUP BY t.doc_id, t.span_id, t.start, t."end\"""")
-def overlay_metadata(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
+FROM t LEFT JOIN reconciled s ON s.doc_id = t.doc_id AND t.start < s."end" AND t."end" > s.start AND s.primary_type <> 'name' GROUP BY t.doc_id, t.span_id, t.start, t."end\"""", whole=True)
+def overlay_metadata(spark, sf_dir, texts=english):
+    raw = _raw(spark, sf_dir, texts)
     found = reconcile.reconcile(raw).where("primary_type <> 'name'")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end"))
     targets = raw.select("doc_id", "start", "end").distinct().select("doc_id", F.lit("detector").alias("span_type"), number.alias("span_id"), "start", "end", F.lit(None).cast("int").alias("confidence_score"))
