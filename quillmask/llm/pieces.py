@@ -117,6 +117,18 @@ def forward(lattice: list[list[tuple[int, int, float]]]) -> tuple[list[float], l
     return best, back
 
 
+def runner_up(lattice: list[list[tuple[int, int, float]]]) -> float:
+    """The second best path's score, -inf if there is one path only."""
+    best, second = [0.0] + [-np.inf] * len(lattice), [-np.inf] * (len(lattice) + 1)
+    for at, out in enumerate(lattice):
+        if best[at] > -np.inf:
+            for end, _, s in out:
+                a = best[at] + s
+                second[end] = max(second[end], second[at] + s, min(a, best[end]))
+                best[end] = max(best[end], a)
+    return second[-1]
+
+
 def n_best(lattice: list[list[tuple[int, int, float]]], n: int) -> list[tuple[float, list[int]]]:
     """The n best paths, best first: backward A-star, whose heuristic is the forward Viterbi score; equal scores in the order of ids."""
     best, _ = forward(lattice)
@@ -239,8 +251,7 @@ def segment(m: Model, text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, n
                 while at:
                     at, i = back[at]
                     path.append(i)
-                # a long unit is always searched: its second best isn't known here, and counts as near
-                s[j], c[j] = best[-1], len(path)
+                s[j], d[j], c[j] = best[-1], best[-1] - runner_up(lattice), len(path)
                 many += path[::-1]
             rows = np.array(many, np.int32)
         scores[members], gap[members], count[members] = s, d, c
@@ -269,7 +280,7 @@ def _others(m: Model, data, first, sizes, ids_at, gap: np.ndarray, lo: int, n: i
     if not len(near):
         return []
     if len(near) >= n:
-        near = np.sort(near[np.lexsort((near, gap[near]))[: max(n - 1, int((gap[near] == 0).sum() if (sizes[lo + near] > LONG).any() else 0))]])
+        near = np.sort(near[np.lexsort((near, gap[near]))[: n - 1]])
     units = [data[first[u] : first[u] + sizes[u]].tobytes() for u in (lo + near).tolist()]
     lattice: list = []
     for unit in units:

@@ -57,6 +57,23 @@ def test_texts_against_the_whole_lattice(spark, model):
         assert len(seen) == len(want) or not t
 
 
+def test_long_units_among_many_words(spark, model):
+    """Long units' second best is known as exactly as others', and they don't take the place of nearer words."""
+    r = random.Random(9)
+    words = [w for x in table(spark, "/root/testdata/sf0.001", "documents").limit(40).collect() for w in x.text[:300].split()]
+    junk = ["https://" + "".join(r.choices("abcdefgh/.-_0123456789", k=90)), "".join(r.choices("日本語文字列", k=60)), "x" * 70, "ab" * 60, "".join(r.choices("aeiounrst", k=200))]
+    texts = []
+    for k in range(60):
+        t = r.sample(words, 30) + r.sample(junk, k % 5 + 1)
+        r.shuffle(t)
+        texts.append(" ".join(t))
+    for n in (2, 4):
+        _, _, scores, others = P.segment(model, pa.array(texts), n)
+        for i, t in enumerate(texts):
+            want = P.n_best(P.edges(model, (" " + t).encode()), n)
+            assert np.allclose([scores[i]] + [o["score"] for o in others[i]], [s for s, _ in want], rtol=1e-12), (n, t)
+
+
 def test_against_the_library_in_unigram_mode(model):
     """The installed library segments by the same scores once it takes the model for a unigram model."""
     import sentencepiece
