@@ -156,19 +156,25 @@ def _occurrences(bitmap: bytes):
             yield batch(schema, names.view(np.int64), counts, blank, blank, blank, blank, blank, blank)
             ids, hashes = b.column(0), b.column(1)
             doc = np.searchsorted(at, where, "right") - 1
-            ends = np.append(first[1:], len(data))
             rows = []
             follows = where + 2 < at[doc + 1]
+            now, worth, text, place, stop = -1, False, "", None, -1
             for w, d in zip(where[follows].tolist(), doc[follows].tolist()):
-                begin, stop = int(first[w + 2]), int(ends[min(w + 7, at[d + 1] - 1)])
-                line = data[begin:stop].tobytes().split(b"\n", 1)[0]
-                if not (_MARK[data[begin : min(begin + 24, stop)]].any() or _AT.search(line)):
+                if d != now:
+                    raw = data[bounds[d] : bounds[d + 1]]
+                    now, stop, text = d, -1, raw.tobytes()
+                    worth = _MARK[raw].any() or _AT.search(text) is not None
+                    if worth:
+                        text, place = text.decode(errors="replace"), np.cumsum((raw & 0xC0) != 0x80) - 1
+                if not worth:
                     continue
-                ahead = line.decode(errors="replace")
+                start = int(place[first[w + 2] - bounds[d]])
+                if start > stop:
+                    stop = text.find("\n", start)
+                    stop = len(text) if stop < 0 else stop
                 for k, kind in enumerate(KINDS):
-                    if m := _SHAPES[kind].match(ahead):
-                        start = len(data[bounds[d] : begin].tobytes().decode())
-                        rows.append((p[w].view(np.int64).item(), None, ids[d].as_py(), hashes[d].as_py(), k, start, start + m.end(), m.group().lower()))
+                    if m := _SHAPES[kind].match(text, start, stop):
+                        rows.append((p[w].view(np.int64).item(), None, ids[d].as_py(), hashes[d].as_py(), k, start, m.end(), m.group().lower()))
             if rows:
                 yield batch(schema, *map(list, zip(*rows)))
 

@@ -61,6 +61,20 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[200].n_email == 0 and got[0].spans.startswith("email:16:") and got[100].spans.count(":") == 2
 
 
+def test_discovered_identifiers_are_whole(spark):
+    """Many words, and long words without digits, up to the line break."""
+    mails = ["john (at) example (dot) co (dot) uk", "john (at) mail (dot) example (dot) com", "maximiliane.von.oberhausen@firma(dot)example", "anne-charlotte.montgomery @ example.org", "x" * 400 + " @ example.org"]
+    phones = ["+ 33 6 12 34 56 78", "00 33 6 12 34 56 78"]
+    rows = [(300 + i, f"é\nplease write to {m}\nsoon 1") for i, m in enumerate(mails)] + [(400 + i, f"the hotline is {m}\n9") for i, m in enumerate(phones)]
+    # each is seen after a sure pattern; a doubtful one would mark nothing
+    docs = corpus(spark).union(spark.createDataFrame(rows, "doc_id long, text string"))
+    more = [(1000 + i, f"Please write to someone{i}@mail{i}.example, our hotline is +1 555 011 {1000 + i} today") for i in range(60)]
+    got = {x.doc_id: x.spans for x in pii.find_pii(docs.union(spark.createDataFrame(more, "doc_id long, text string"))).collect()}
+    for (i, t), m in zip(rows, mails + phones):
+        kind = "email" if i < 400 else "phone"
+        assert f"{kind}:{t.index(m)}:{t.index(m) + len(m)}" in got[i].split(","), (m, got[i])
+
+
 def test_score_of_the_graph(spark):
     seeds = spark.createDataFrame([(1, 0, "a", 4), (1, 0, "b", 5), (2, 0, "a", 1)], "pattern long, kind int, instance string, n long")
     totals = spark.createDataFrame([(1, 10), (2, 99)], "pattern long, total long")
