@@ -26,13 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None, whole: bool = False):
-    """Registers a query and its SQL; with `whole` also NAME_all, the same over the texts of all documents, which SQL can't follow."""
+def query(sql: str | None = None, whole: bool = False, united: bool = False):
+    """Registers a query and its SQL; with `whole` also NAME_all, the same over the texts of all documents, which SQL can't follow; with `united` these and the fixture."""
 
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
-        if whole:
-            _QUERIES[f"{f.__name__}_all"] = partial(f, texts=every)
+        if whole or united:
+            _QUERIES[f"{f.__name__}_all"] = partial(f, texts=united_texts if united else every)
         if sql:
             _SQL[f.__name__] = sql
         return f
@@ -64,6 +64,15 @@ def fixture(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
 
 
+def fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark)
+
+
+def united_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all documents and, under negative ids, the fixture."""
+    return every(spark, sf_dir).union(fixture(spark).select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+
+
 def pattern_rows(df: DataFrame, names: list[str], where: str = "true") -> DataFrame:
     """doc_id, start, end, text, kind of single patterns' matches."""
     arrays = F.flatten(F.array(*[F.expr(pattern_spans(O.pattern(n), n, i, where)) for i, n in enumerate(names)]))
@@ -106,9 +115,9 @@ def spans_name(spark, sf_dir, texts=english):
 _FIXED = ["ssn_regex", "postal_regex", "ein", "itin", "email", "uk_postcode", "license_plate", "date", "iban", "mac_address"]
 
 
-@query(f"WITH {O.FIXTURE} {_COLS} (" + " UNION ALL ".join(O.one("fixture", n, i) for i, n in enumerate(_FIXED)) + ")")
-def spans_fixture(spark, sf_dir):
-    return pattern_rows(fixture(spark), _FIXED)
+@query(f"WITH {O.FIXTURE} {_COLS} (" + " UNION ALL ".join(O.one("fixture", n, i) for i, n in enumerate(_FIXED)) + ")", united=True)
+def spans_fixture(spark, sf_dir, texts=fixed):
+    return pattern_rows(texts(spark, sf_dir), _FIXED)
 
 
 _rule_name = O.spans("docs", r"(?:^|[^a-zA-Z0-9\-_.])@[A-Za-z]+[A-Za-z0-9\-_]+", "username", "rules", 1)
@@ -169,11 +178,12 @@ def html_entities(spark, sf_dir):
 @query(
     f"WITH {O.FIXTURE} SELECT doc_id, translate(text, 'OolISB', '001158') AS numeric, replace(replace(replace(text, ' ', ''), 'rnail', 'mail'), 'corn', 'com') AS address, "
     r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]*)\s*\n\s*([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', '\1\2', 'g'), '(\d{3}[-.\s]?\d{3})[-.\s]?\n[-.\s]?(\d{4})', '\1-\2', 'g'), "
-    r"'(\d{4}[-.\s]?\d{4})[-.\s]?\n[-.\s]?(\d{4}[-.\s]?\d{4})', '\1-\2', 'g'), '(\d{3})[-.\s]?\n[-.\s]?(\d{2})[-.\s]?\n?[-.\s]?(\d{4})', '\1-\2-\3', 'g') AS rejoined FROM fixture"
+    r"'(\d{4}[-.\s]?\d{4})[-.\s]?\n[-.\s]?(\d{4}[-.\s]?\d{4})', '\1-\2', 'g'), '(\d{3})[-.\s]?\n[-.\s]?(\d{2})[-.\s]?\n?[-.\s]?(\d{4})', '\1-\2-\3', 'g') AS rejoined FROM fixture",
+    united=True,
 )
-def repairs(spark, sf_dir):
+def repairs(spark, sf_dir, texts=fixed):
     t = F.col("text")
-    return fixture(spark).select("doc_id", X.fix_ocr(t, F.lit("ssn")).alias("numeric"), X.fix_ocr(t, F.lit("email")).alias("address"), X.rejoin(t).alias("rejoined"))
+    return texts(spark, sf_dir).select("doc_id", X.fix_ocr(t, F.lit("ssn")).alias("numeric"), X.fix_ocr(t, F.lit("email")).alias("address"), X.rejoin(t).alias("rejoined"))
 
 
 _HINTS = " UNION ALL ".join(O.spans("fixture", regex, hint, hint, i, "i") for i, (regex, hint) in enumerate(vocab.REGION_HINTS))
@@ -183,10 +193,11 @@ _HINTS = " UNION ALL ".join(O.spans("fixture", regex, hint, hint, i, "i") for i,
     f"""WITH {O.FIXTURE}, h AS (SELECT s.doc_id, s.start, s."end" AS e, kind AS hint, f.text AS t FROM ({_HINTS}) s JOIN fixture f USING (doc_id)),
 r AS (SELECT *, instr(substr(t, e + 1), chr(10)) AS nl FROM h),
 q AS (SELECT *, least(e + 100, CASE WHEN nl > 0 AND e + nl - 1 > 0 THEN e + nl - 1 ELSE length(t) END)::INT AS stop FROM r)
-SELECT doc_id, start, stop AS "end", substr(t, start + 1, stop - start) AS text, hint FROM q"""
+SELECT doc_id, start, stop AS "end", substr(t, start + 1, stop - start) AS text, hint FROM q""",
+    united=True,
 )
-def pii_regions(spark, sf_dir):
-    return fixture(spark).select("doc_id", F.explode(X.regions("text")).alias("x")).select("doc_id", "x.*")
+def pii_regions(spark, sf_dir, texts=fixed):
+    return texts(spark, sf_dir).select("doc_id", F.explode(X.regions("text")).alias("x")).select("doc_id", "x.*")
 
 
 def _raw(spark, sf_dir, texts=english):

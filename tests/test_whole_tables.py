@@ -49,3 +49,14 @@ def test_redacted_documents_are_all_there(spark, folder):
 def test_each_query_of_the_checked_part_has_one_over_all_documents():
     part = {name for name, sql in Q.oracle_sql().items() if "english AS" in sql}
     assert len(part) == 26 and {f"{name}_all" for name in part} <= set(Q.queries())
+
+
+def test_fixture_queries_read_documents(spark, folder):
+    both = {**{i: t for i, (_, t) in enumerate(TEXTS)}, **{-1 - i: t for i, t in enumerate(Q.TEXTS)}}
+    got = {(x.doc_id, x.start, x.end, x.kind) for x in Q.queries()["spans_fixture_all"](spark, folder).collect()}
+    rules = [Q.O.pattern(n) for n in Q._FIXED]
+    assert got == {(i, *m.span(), p.kind) for i, t in both.items() for p in rules for m in re.finditer(p.regex, t or "", re.I if "i" in p.flags else 0)}
+    fixed = {x.doc_id: x for x in Q.queries()["repairs_all"](spark, folder).collect()}
+    assert set(fixed) == set(both) and all(fixed[i].numeric == t.translate(str.maketrans("OolISB", "001158")) for i, t in both.items() if t)
+    regions = {x.doc_id for x in Q.queries()["pii_regions_all"](spark, folder).collect()}
+    assert regions == {i for i, t in both.items() if any(re.search(regex, t or "", re.I) for regex, _ in vocab.REGION_HINTS)}
