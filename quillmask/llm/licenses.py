@@ -14,7 +14,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.llm.common import settled
@@ -133,19 +133,34 @@ def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _units(docs: DataFrame) -> DataFrame:
+    """row, doc_id, paragraph, last, line: every line, and every run of several lines between lines without words."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
+    rows = rows.withColumn("full", F.transform("lines", lambda x: x.rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")))
+    at = lambda i: F.coalesce(F.get("full", i), F.lit(False))
+    number = F.sequence(F.lit(0), F.size("lines") - 1)
+    ends = lambda step: F.filter(number, lambda i: at(i) & ~at(i + step))
+    unit = lambda a, b, t: F.struct(a.alias("paragraph"), b.alias("last"), t.alias("line"))
+    rows = rows.where(F.col("lines").isNotNull()).select("row", "doc_id", "lines", F.filter(F.zip_with(ends(-1), ends(1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"] > x["a"]).alias("runs"))
+    runs = F.transform("runs", lambda x: unit(x["a"], x["b"], F.array_join(F.slice("lines", x["a"] + 1, x["b"] - x["a"] + 1), "\n")))
+    return rows.select("row", "doc_id", F.explode(F.concat(F.transform("lines", lambda x, i: unit(i, i, x)), runs)).alias("u")).select("row", "doc_id", "u.*")
+
+
 def scan(docs: DataFrame, unknown: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, paragraph, family, probability, coverage, confirmed: a row for each paragraph of a known family.
 
     paragraph is the line's number from 0 within its text, family the most probable class, 'unknown' if it's that or below PROBABILITY;
     coverage the largest share of a template's word bigrams, of that family, in the paragraph; confirmed a known family with COVERAGE.
+    A notice wrapped over several lines has a row as well, numbered by the first line of its run of lines between blank ones (lines
+    without words), for each known family with COVERAGE in the run that none of the run's lines confirms by itself.
     Equal probabilities go to the family listed first. With `unknown`, paragraphs that have an anchor word and no known family have rows
     as well. Paragraphs without anchors can't be confirmed and have no row, nor have null and empty texts. Rows that repeat, or have a
     null doc_id, are scanned like others, one by one; other columns are ignored.
     """
     classes, weights, intercept, anchor = model()
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    lines = _units(docs)
     split = F.split(F.trim(F.regexp_replace(_lower(F.col("line")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), " ")
-    lines = lines.select("doc_id", "paragraph", split.alias("w")).where(F.arrays_overlap("w", F.array(*[F.lit(a) for a in anchor])))
+    lines = lines.select("row", "doc_id", "paragraph", "last", split.alias("w")).where(F.arrays_overlap("w", F.array(*[F.lit(a) for a in anchor])))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     rows = lines.withColumn("pairs", F.array_distinct(pairs))
     # a paragraph's own n-grams of the vocabulary, then a sum over these for each class
@@ -165,8 +180,19 @@ def scan(docs: DataFrame, unknown: bool = False) -> DataFrame:
     for c, ts in held.items():
         cover = F.when(F.col("best") == c, F.greatest(*[share(t) for t in ts], F.lit(0.0))).otherwise(cover)
     rows = rows.withColumn("family", F.when(F.col("probability") >= PROBABILITY, F.col("best")).otherwise(UNKNOWN)).withColumn("coverage", cover)
-    out = rows.select("doc_id", "paragraph", "family", "probability", "coverage", ((F.col("family") != UNKNOWN) & (F.col("coverage") >= COVERAGE)).alias("confirmed"))
-    return out if unknown else settled(out).where(F.col("family") != UNKNOWN)
+    rows = settled(rows.select("row", "doc_id", "paragraph", "last", "pairs", "logits", "top", "probability", "family", "coverage"))  # else the logits are written out for each family
+    hit = lambda f, p, c: F.struct(f.alias("family"), p.alias("probability"), c.alias("coverage"))
+    each = [hit(F.lit(c), F.exp(F.get("logits", F.lit(k)) - F.col("top")) * F.col("probability"), F.greatest(*[share(t) for t in held[c]], F.lit(0.0))) for k, c in enumerate(TEMPLATES)]
+    wrapped = F.filter(F.array(*each), lambda x: (x["probability"] >= PROBABILITY) & (x["coverage"] >= COVERAGE))
+    single = F.col("last") == F.col("paragraph")
+    hits = F.when(single, F.array(hit(F.col("family"), F.col("probability"), F.col("coverage")))).otherwise(wrapped)
+    out = rows.select("row", "doc_id", "paragraph", "last", F.explode(hits).alias("x")).select("row", "doc_id", "paragraph", "last", "x.*")
+    out = settled(out.withColumn("confirmed", (F.col("family") != UNKNOWN) & (F.col("coverage") >= COVERAGE)))
+    if not unknown:
+        out = out.where(F.col("family") != UNKNOWN)
+    own = F.collect_list(F.when(single & F.col("confirmed"), F.col("paragraph"))).over(Window.partitionBy("row", "family"))
+    out = out.withColumn("own", own).where(single | ~F.exists("own", lambda i: (i >= F.col("paragraph")) & (i <= F.col("last"))))
+    return out.select("doc_id", "paragraph", "family", "probability", "coverage", "confirmed")
 
 
 def oracle() -> str:

@@ -106,6 +106,16 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_wrapped_notices(spark):
+    """Notices over several lines, as comments, after other lines, two in a text; a blank line parts paragraphs."""
+    bsd = "Redistribution and use in source and binary forms, with or without\n{0}modification, are permitted provided that the following conditions are met"
+    gpl = "{0}This program is free software: you can redistribute it\n{0}and/or modify it under the terms of the GNU General\n{0}Public License as published by the Free Software Foundation"
+    texts = [bsd.format(""), "# " + bsd.format("# "), "/*\n" + gpl.format(" * ") + "\n */", "intro\n\n" + bsd.format("") + "\n\n" + gpl.format(""), bsd.format("\n"), "Released under the MIT License.\nMore prose."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((x.doc_id, x.paragraph, x.family[:3]) for x in licenses.scan(df).where("confirmed").dropDuplicates(["doc_id", "paragraph"]).collect())
+    assert got == [(0, 0, "bsd"), (1, 0, "bsd"), (2, 1, "gpl"), (3, 2, "bsd"), (3, 5, "gpl"), (5, 0, "mit")]
+
+
 def test_no_template_is_covered_without_an_anchor():
     anchors = set(licenses.anchors())
     for ts in licenses.TEMPLATES.values():
