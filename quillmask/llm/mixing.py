@@ -86,18 +86,18 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> doc_id, key, size, source_size, target, copies, taken; one row for each row of docs.
+    """docs(doc_id, text, source, ...) -> doc_id, key, size, source_size, target, copies, taken, text_hash; one row for each row of docs.
 
     size is the number of words; null, empty and blank texts have 0 and take nothing. Sources by code point, a null source last as a
     source of its own, get the weights in turn. copies is how often the mix holds the document, taken its words. The choice depends on
-    doc_id and the seed alone; rows that repeat a doc_id are interchangeable, null ids count as one id. Reruns agree. An empty table
+    doc_id and the seed alone; rows that repeat a doc_id, or have none, go by their text; equal rows are interchangeable. Reruns agree. An empty table
     gives an empty result; other columns of docs are ignored.
     """
     if most > 3:
         raise ValueError("a document is taken three times at most")
     at_workers(docs.sparkSession)
     drawn = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = docs.select("doc_id", key_of(F.col("source")).alias("key"), size_of(F.col("text")).alias("size"), drawn.alias("draw"))
+    rows = docs.select("doc_id", key_of(F.col("source")).alias("key"), size_of(F.col("text")).alias("size"), drawn.alias("draw"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     rows = materialise(rows.withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int")), "mix-sizes")
     parts = materialise(rows.groupBy("key", "size", "part").agg(F.count("*").alias("n")), "mix-parts")
     lengths = parts.groupBy("key", "size").agg(F.sum("n").alias("n"))
@@ -106,19 +106,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     upto = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     quota = parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(fitted, ["key", "size"])
     quota = quota.select("key", "size", "part", "rounds", F.greatest(F.lit(0), F.least("n", F.col("take") - F.col("before"))).alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("draw", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("draw", "doc_id", "text_hash"))
     chosen = rows.join(quota, ["key", "size", "part"]).withColumn("copies", F.col("rounds") + (rank <= F.col("quota")).cast("int"))
     out = chosen.join(small(aims), "key")
-    return out.select("doc_id", "key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of docs with all their columns, each as often as mix() takes it."""
-    copies = mix(docs, weights, most, seed).where("copies > 0").groupBy("doc_id", "key", "size").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    copies = mix(docs, weights, most, seed).where("copies > 0").groupBy("doc_id", "key", "size", "text_hash").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
     copies = materialise(copies, "mix-copies")
-    own = docs.withColumns({"__key": key_of(F.col("source")), "__size": size_of(F.col("text"))})
+    own = docs.withColumns({"__key": key_of(F.col("source")), "__size": size_of(F.col("text")), "__hash": F.xxhash64(F.col("text").cast("string"))})
     if copies.where("rows > 1").limit(1).count():  # repeated rows share their copies
-        own = own.dropDuplicates(["doc_id", "__key", "__size"])
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("size").alias("__s"), F.col("copies").alias("__n"))
-    joined = own.join(small(copies), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__size") == F.col("__s")))
+        own = own.dropDuplicates(["doc_id", "__key", "__size", "__hash"])
+    copies = copies.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("size").alias("__s"), F.col("text_hash").alias("__h"), F.col("copies").alias("__n"))
+    joined = own.join(small(copies), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__size") == F.col("__s")) & (F.col("__hash") == F.col("__h")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(docs.columns)

@@ -117,3 +117,10 @@ def test_mix_on_odd_rows(odd, none):
     assert max(x.key for x in rows) == "1" and sum(x.taken for x in rows) == mixing.mixed(odd).select(F.sum(mixing.size_of(F.col("text")))).head()[0]
     assert mixing.mixed(odd).columns == odd.columns
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_texts_without_ids_stay_themselves(spark):
+    rows = [(None, f"word{i} again", "s") for i in range(6)] + [(7, "one text", "s"), (7, "other text", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [x.text for x in mixing.mixed(df, weights=(1,)).collect()]
+    assert sorted(set(out)) == sorted(t for _, t, _ in rows) and len(out) == len(rows)
