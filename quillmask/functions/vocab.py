@@ -97,50 +97,55 @@ REGION_HINTS = (
 
 @dataclass(frozen=True)
 class Pattern:
-    """A named expression; guard is a cheap necessary condition, in SQL over the columns of spans.prepared()."""
+    """A named expression; guard is a cheap necessary condition, in SQL over the columns of spans.prepared().
+
+    Matches of a `dense` pattern have a digit in each of their words, so a text can only match if its words with digits, joined by
+    spaces, do.
+    """
 
     name: str
     kind: str
     regex: str
     flags: str = "U"
     guard: str = "true"
+    dense: bool = False
 
     @property
     def java(self) -> str:
         return f"(?{self.flags})(?:{self.regex})" if self.flags else self.regex
 
 
-DIGIT = "d"
+DIGIT = "__n <> ''"
 
 
 def some(*words: str) -> str:
     """SQL: the folded text holds one of these words somewhere."""
-    return " OR ".join(f"contains(l, '{w}')" for w in words)
+    return " OR ".join(f"contains(__l, '{w}')" for w in words)
 
 
 # The detector's patterns, in order of priority.
 PATTERNS = (
-    Pattern("ssn", "ssn", r"\b(?!000|666|9\d{2})\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b", guard=DIGIT),
-    Pattern("itin", "itin", r"\b9\d{2}-[7-9]\d-\d{4}\b", guard=DIGIT),
-    Pattern("ein", "ein", r"\b\d{2}-\d{7}\b", guard=DIGIT),
-    Pattern("credit_card", "credit_card", r"\b(?:4\d{3}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}|5[1-5]\d{2}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}|3[47]\d{2}[-\s]?\d{6}[-\s]?\d{5}|6(?:011|5\d{2})[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4})\b", guard=DIGIT),
-    Pattern("iban", "iban", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b", guard=DIGIT),
-    Pattern("swift", "swift", r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", guard="t RLIKE '[A-Z]{6}'"),
-    Pattern("routing_number", "routing_number", r"\b(?:0[1-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)\d{7}\b", guard=DIGIT),
-    Pattern("email", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+(?:[A-Za-z]{2,})?\b", guard="contains(t, '@')"),
-    Pattern("phone", "phone", r"\b(?:(?:\+?1[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]?\d{3}[-.\s]?\d{4}|\+\d{1,3}[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}|(?:\+?44[-.\s]?)?(?:0|\(0\))?\d{2,4}[-.\s]?\d{3,4}[-.\s]?\d{3,4}|(?:\+?91[-.\s]?)?[6-9]\d{4}[-.\s]?\d{5})\b", guard=DIGIT),
-    Pattern("ipv4", "ip_address", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b", guard=DIGIT),
-    Pattern("ipv6", "ip_address", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,7}:\b|\b::(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{1,4}\b", guard="contains(t, ':')"),
-    Pattern("mac_address", "mac_address", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", guard="contains(t, ':') OR contains(t, '-')"),
-    Pattern("url", "url", r"https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+[/\w\-._~:/?#\[\]@!$&'()*+,;=%]*", guard="contains(t, '://')"),
+    Pattern("ssn", "ssn", r"\b(?!000|666|9\d{2})\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b", dense=True),
+    Pattern("itin", "itin", r"\b9\d{2}-[7-9]\d-\d{4}\b", dense=True),
+    Pattern("ein", "ein", r"\b\d{2}-\d{7}\b", dense=True),
+    Pattern("credit_card", "credit_card", r"\b(?:4\d{3}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}|5[1-5]\d{2}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}|3[47]\d{2}[-\s]?\d{6}[-\s]?\d{5}|6(?:011|5\d{2})[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4})\b", dense=True),
+    Pattern("iban", "iban", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b", dense=True),
+    Pattern("swift", "swift", r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", guard="__u RLIKE '[A-Z]{6}'"),
+    Pattern("routing_number", "routing_number", r"\b(?:0[1-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)\d{7}\b", dense=True),
+    Pattern("email", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+(?:[A-Za-z]{2,})?\b", guard="contains(__t, '@')"),
+    Pattern("phone", "phone", r"\b(?:(?:\+?1[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]?\d{3}[-.\s]?\d{4}|\+\d{1,3}[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}|(?:\+?44[-.\s]?)?(?:0|\(0\))?\d{2,4}[-.\s]?\d{3,4}[-.\s]?\d{3,4}|(?:\+?91[-.\s]?)?[6-9]\d{4}[-.\s]?\d{5})\b", dense=True),
+    Pattern("ipv4", "ip_address", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b", dense=True),
+    Pattern("ipv6", "ip_address", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,7}:\b|\b::(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{1,4}\b", guard="contains(__t, ':')"),
+    Pattern("mac_address", "mac_address", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b", guard="contains(__t, ':') OR contains(__t, '-')"),
+    Pattern("url", "url", r"https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+[/\w\-._~:/?#\[\]@!$&'()*+,;=%]*", guard="contains(__t, '://')"),
     Pattern("address", "address", r"\b\d{1,5}\s+(?:[A-Z][a-z]+\s+){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Way|Court|Ct|Place|Pl|Circle|Cir)\.?\b", "Ui", DIGIT),
-    Pattern("zip_code", "postal_code", r"\b\d{5}(?:-\d{4})?\b", guard=DIGIT),
-    Pattern("uk_postcode", "postal_code", r"\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b", "Ui", DIGIT),
-    Pattern("pin_code", "postal_code", r"\b[1-9]\d{5}\b", guard=DIGIT),
-    Pattern("passport_us", "passport", r"\b[A-Z]\d{8}\b|\b\d{9}\b", guard=DIGIT),
-    Pattern("drivers_license", "drivers_license", r"\b(?:[A-Z]\d{7}|[A-Z]\d{12}|[A-Z]{2}\d{6}|\d{7,9}|[A-Z]\d{3}-\d{4}-\d{4})\b", guard=DIGIT),
-    Pattern("vin", "vin", r"\b[A-HJ-NPR-Z0-9]{17}\b", guard="d OR t RLIKE '[A-Z]{17}'"),
-    Pattern("license_plate", "license_plate", r"\b(?:[A-Z]{1,3}[- \t]?\d{1,4}[- \t]?[A-Z0-9]{0,3}|\d{1,3}[- \t]?[A-Z]{1,4}[- \t]?[A-Z0-9]{0,3})\b", guard=DIGIT),
+    Pattern("zip_code", "postal_code", r"\b\d{5}(?:-\d{4})?\b", dense=True),
+    Pattern("uk_postcode", "postal_code", r"\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b", "Ui", dense=True),
+    Pattern("pin_code", "postal_code", r"\b[1-9]\d{5}\b", dense=True),
+    Pattern("passport_us", "passport", r"\b[A-Z]\d{8}\b|\b\d{9}\b", dense=True),
+    Pattern("drivers_license", "drivers_license", r"\b(?:[A-Z]\d{7}|[A-Z]\d{12}|[A-Z]{2}\d{6}|\d{7,9}|[A-Z]\d{3}-\d{4}-\d{4})\b", dense=True),
+    Pattern("vin", "vin", r"\b[A-HJ-NPR-Z0-9]{17}\b", guard="__n <> '' OR __u RLIKE '[A-Z]{17}'"),
+    Pattern("license_plate", "license_plate", r"\b(?:[A-Z]{1,3}[- \t]?\d{1,4}[- \t]?[A-Z0-9]{0,3}|\d{1,3}[- \t]?[A-Z]{1,4}[- \t]?[A-Z0-9]{0,3})\b", guard=DIGIT + r" AND __t RLIKE '[A-Z][- \\t]?\\p{Nd}|\\p{Nd}[- \\t]?[A-Z]'"),
     Pattern("date_of_birth", "date_of_birth", r"\b(?:DOB|Date of Birth|Born|Birthday|Birth Date)[:\s]+\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b", "Ui", DIGIT),
     Pattern("invoice", "invoice", r"\b(?:INV|Invoice|Bill)[-:#\s]*[A-Z0-9-]{4,20}\b", "Ui", guard=some("inv", "bill")),
     Pattern("order_number", "order_number", r"\b(?:Order|ORD|PO)[-:#\s]*[A-Z0-9-]{4,20}\b", "Ui", guard=some("ord", "po")),
@@ -150,20 +155,20 @@ PATTERNS = (
     Pattern("case_number", "case_number", r"\b(?:Case|Ref|Reference|File)[-:#\s]*[A-Z0-9-]{4,20}\b", "Ui", guard=some("case", "ref", "file")),
     Pattern("account_number", "account_number", r"\b(?:Account|Acct|A/C)[-:#\s]*[A-Z0-9-]{4,20}\b", "Ui", guard=some("account", "acct", "a/c")),
     Pattern("location_indian", "location_indian", r"\b(?:Kerala|Karnataka|Maharashtra|Tamil Nadu|Delhi|Gujarat|Rajasthan|Punjab|Haryana|Bengaluru|Mumbai|Chennai|Kolkata|Hyderabad|Pune|Alappuzha|Kochi|Trivandrum)\b", "Ui", some("kerala", "karnataka", "maharashtra", "tamil nadu", "delhi", "gujarat", "rajasthan", "punjab", "haryana", "bengaluru", "mumbai", "chennai", "kolkata", "hyderabad", "pune", "alappuzha", "kochi", "trivandrum")),
-    Pattern("name_caps", "name_caps", r"\b[A-Z]{2,}(?:\s+[A-Z]{1,})+\b", guard="t RLIKE '[A-Z]{2}'"),
-    Pattern("username", "username", r"(?:^|(?<=[^a-zA-Z0-9]))@[A-Za-z][A-Za-z0-9_]{2,30}\b", guard="contains(t, '@')"),
-    Pattern("username_lax", "username_lax", r"\b[a-z]+(?:[-_][a-z0-9]+)+[a-z0-9]*\b", guard="contains(t, '-') OR contains(t, '_')"),
-    Pattern("alphanumeric_id", "id_number", r"\b(?=.*[A-Z])(?=.*\d)[A-Z0-9]{10,20}\b", "Ud", "d AND t RLIKE '[A-Z0-9]{10}'"),
-    Pattern("name", "name", r"\b(?:[A-Z][a-z]+[ \t]+){1,3}[A-Z][a-z]+\b", guard="t RLIKE '[a-z][ \\t]+[A-Z][a-z]'"),
-    Pattern("date", "date", r"\b(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})\b", "Ui", DIGIT),
-    Pattern("percentage", "percentage", r"\b\d+(?:\.\d+)?\s*(?:%|percent)\b", "Ui", DIGIT),
+    Pattern("name_caps", "name_caps", r"\b[A-Z]{2,}(?:\s+[A-Z]{1,})+\b", guard="__u <> ''"),
+    Pattern("username", "username", r"(?:^|(?<=[^a-zA-Z0-9]))@[A-Za-z][A-Za-z0-9_]{2,30}\b", guard="contains(__t, '@')"),
+    Pattern("username_lax", "username_lax", r"\b[a-z]+(?:[-_][a-z0-9]+)+[a-z0-9]*\b", guard="contains(__t, '-') OR contains(__t, '_')"),
+    Pattern("alphanumeric_id", "id_number", r"\b(?=.*[A-Z])(?=.*\d)[A-Z0-9]{10,20}\b", "Ud", "__n <> '' AND (__n RLIKE '[A-Z0-9]{10}' OR __u RLIKE '[A-Z0-9]{10}')"),
+    Pattern("name", "name", r"\b(?:[A-Z][a-z]+[ \t]+){1,3}[A-Z][a-z]+\b", guard="__t RLIKE '[a-z][ \\t]+[A-Z][a-z]'"),
+    Pattern("date", "date", r"\b(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})\b", "Ui", DIGIT + r" AND (__n RLIKE '\\p{Nd}[-/]\\p{Nd}' OR " + some("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec") + ")"),
+    Pattern("percentage", "percentage", r"\b\d+(?:\.\d+)?\s*(?:%|percent)\b", "Ui", DIGIT + " AND (contains(__t, '%') OR contains(__l, 'percent'))"),
 )
 
 # Patterns that the detector has but doesn't run, and the words one of which must occur in the 50 characters before.
 UNUSED_PATTERNS = (
-    Pattern("ssn_nodash", "ssn", r"\b(?!000|666|9\d{2})\d{3}(?!00)\d{2}(?!0000)\d{4}\b", guard=DIGIT),
-    Pattern("passport_uk", "passport", r"\b\d{9}\b", guard=DIGIT),
-    Pattern("bank_account", "bank_account", r"\b\d{8,17}\b", guard=DIGIT),
+    Pattern("ssn_nodash", "ssn", r"\b(?!000|666|9\d{2})\d{3}(?!00)\d{2}(?!0000)\d{4}\b", dense=True),
+    Pattern("passport_uk", "passport", r"\b\d{9}\b", dense=True),
+    Pattern("bank_account", "bank_account", r"\b\d{8,17}\b", dense=True),
 )
 LOOK_BEHIND = {"ssn_nodash": ("ssn", "social security", "social sec", "ss#", "ss #"), "bank_account": ("account", "acct", "a/c", "bank", "routing", "transfer")}
 
@@ -194,18 +199,18 @@ CONTEXT_RULES = (
 
 # The rule detector.
 RULE_PATTERNS = (
-    Pattern("rule_url", "url", r"https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+[/\w\-._~:/?#\[\]@!$&'()*+,;=%]*", guard="contains(t, '://')"),
-    Pattern("rule_username", "username", r"(?:^|(?<=[^a-zA-Z0-9\-_\.]))@([A-Za-z]+[A-Za-z0-9\-_]+)", guard="contains(t, '@')"),
-    Pattern("rule_id", "id_number", r"\b[A-Z0-9]{10,20}\b", guard=DIGIT),
+    Pattern("rule_url", "url", r"https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+[/\w\-._~:/?#\[\]@!$&'()*+,;=%]*", guard="contains(__t, '://')"),
+    Pattern("rule_username", "username", r"(?:^|(?<=[^a-zA-Z0-9\-_\.]))@([A-Za-z]+[A-Za-z0-9\-_]+)", guard="contains(__t, '@')"),
+    Pattern("rule_id", "id_number", r"\b[A-Z0-9]{10,20}\b", dense=True),
 )
 
 # The second pass and the legacy detector, which share them.
 SECOND_PASS = (
-    Pattern("phone_regex", "phone", r"\b(?:(?:\+?1[-.\s]*)?(?:\(\d{3}\)|\d{3})[-.\s]*\d{3}[-.\s]*\d{4}|(?:\+?91[-.\s]*)?[6-9]\d{4}[-.\s]*\d{5}|(?:\+?91[-.\s]*)?[6-9]\d{2}[-.\s]*\d{3}[-.\s]*\d{4}|0\d{2,4}[-.\s]+\d{3,4}[-.\s]+\d{3,4})\b", guard=DIGIT),
-    Pattern("ssn_regex", "ssn", r"\b\d{3}-\d{2}-\d{4}\b", guard=DIGIT),
-    Pattern("email_regex", "email", r"\b[\w.-]+@[\w.-]+\.\w{2,}\b", guard="contains(t, '@')"),
-    Pattern("postal_regex", "postal_code", r"\b(?:\d{5}(?:-\d{4})?|\d{6}|\d{3}\s?\d{3})\b", guard=DIGIT),
-    Pattern("name_heuristic", "name", r"\b(?:[A-Z][a-z]+\s+){1,3}[A-Z][a-z]+\b", guard="t RLIKE '(?U)[a-z]\\\\s+[A-Z][a-z]'"),
+    Pattern("phone_regex", "phone", r"\b(?:(?:\+?1[-.\s]*)?(?:\(\d{3}\)|\d{3})[-.\s]*\d{3}[-.\s]*\d{4}|(?:\+?91[-.\s]*)?[6-9]\d{4}[-.\s]*\d{5}|(?:\+?91[-.\s]*)?[6-9]\d{2}[-.\s]*\d{3}[-.\s]*\d{4}|0\d{2,4}[-.\s]+\d{3,4}[-.\s]+\d{3,4})\b", dense=True),
+    Pattern("ssn_regex", "ssn", r"\b\d{3}-\d{2}-\d{4}\b", dense=True),
+    Pattern("email_regex", "email", r"\b[\w.-]+@[\w.-]+\.\w{2,}\b", guard="contains(__t, '@')"),
+    Pattern("postal_regex", "postal_code", r"\b(?:\d{5}(?:-\d{4})?|\d{6}|\d{3}\s?\d{3})\b", dense=True),
+    Pattern("name_heuristic", "name", r"\b(?:[A-Z][a-z]+\s+){1,3}[A-Z][a-z]+\b", guard="__t RLIKE '(?U)[a-z]\\\\s+[A-Z][a-z]'"),
 )
 LEGACY_ORDER = ("ssn_regex", "email_regex", "phone_regex", "postal_regex", "name_heuristic")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.functions import vocab
-from quillmask.functions.spans import EMPTY, found, greedy, greedy_groups, literal, pattern_spans, prepared
+from quillmask.functions.spans import AHEAD, EMPTY, all_spans, by_rank, found_of, greedy_ranks, let, literal, pattern_spans, prepared
 from quillmask.functions.vocab import Pattern
 
 Recogniser = Callable[[str], Iterable[dict]]
@@ -34,21 +34,18 @@ _OWN = {
     "swift": f"length(x.text) IN (8, 11) AND upper(x.text) NOT IN ({_any(vocab.SWIFT_WORDS)})",
     "license_plate": rf"x.text RLIKE '\\p{{L}}' AND x.text RLIKE '(?U)\\d' AND {_COUNT} <= 6 AND length(replace(replace(x.text, '-', ''), ' ', '')) >= 5",
     "name": f"lower(x.text) NOT IN ({_any(vocab.NAME_PHRASES)})",
-} | {name: "(" + " OR ".join(f"contains(lower(substring(t, greatest(x.start - 50, 0) + 1, least(50, x.start))), {literal(w)})" for w in words) + ")" for name, words in vocab.LOOK_BEHIND.items()}
+} | {name: "(" + " OR ".join(f"contains(lower(substring(__t, greatest(x.start - 50, 0) + 1, least(50, x.start))), {literal(w)})" for w in words) + ")" for name, words in vocab.LOOK_BEHIND.items()}
 
 
-def valid(name: str) -> str:
-    """SQL condition on a match x of a pattern in the text t."""
-    return f"{_COMMON} AND ({_OWN.get(name, 'true')})"
-
-
-def _united(arrays: list[str]) -> str:
-    return f"flatten(array({', '.join(arrays)}))"
+def valid(names: list[str]) -> str:
+    """SQL condition on a match x in the text __t of the pattern of rank r."""
+    own = " ".join(f"WHEN {i} THEN {_OWN[n]}" for i, n in enumerate(names) if n in _OWN)
+    return f"{_COMMON} AND CASE r {own} ELSE true END" if own else _COMMON
 
 
 def regex_spans(patterns: tuple[Pattern, ...] = vocab.PATTERNS, source: str = "enhanced_regex") -> str:
     """SQL: validated matches of all patterns, each kept unless it overlaps one of an earlier pattern or an earlier match."""
-    return greedy_groups([pattern_spans(p, source, i, valid(p.name)) for i, p in enumerate(patterns)])
+    return greedy_ranks(len(patterns), pattern_spans(patterns, [source] * len(patterns), valid([p.name for p in patterns])))
 
 
 _MANY = r"length(regexp_replace(x.text, '(?U)\\D', ''))"
@@ -67,45 +64,43 @@ _VALUE = {
 
 def context_spans() -> str:
     """SQL: for each rule's keywords, the first value in the next 100 characters if the gap is small enough; ranges in rule order."""
-    rules = []
-    for rank, (kind, keyword, value, any_case, gap) in enumerate(vocab.CONTEXT_RULES):
-        java, val = f"(?Ui){keyword}", f"(?U{'i' if any_case else ''})(?:{value})"
-        ahead = "substring(t, k.end + 1, 100)"
-        before = f"length(split({ahead}, {literal(val)}, 2)[0])"
-        hit = f"CASE WHEN {ahead} RLIKE {literal(val)} THEN named_struct('at', k.end + {before}, 'gap', {before}, 'v', regexp_extract({ahead}, {literal(val)}, 0)) END"
-        raw = f"filter(transform({found('t', java)}, k -> {hit}), h -> h IS NOT NULL AND h.gap <= {gap})"
-        bare = r"regexp_replace(h.v, '(?U)^\\s+|\\s+$', '')"
-        spans = f"transform({raw}, h -> named_struct('start', h.at, 'end', h.at + length(h.v), 'text', {bare}, 'kind', {literal(kind)}, 'source', 'context', 'rank', {rank}))"
-        ok = rf"length(x.text) >= 3 AND x.text RLIKE '(?U)[\\p{{L}}\\p{{N}}]' AND lower(x.text) NOT IN ({_any(vocab.SKIP_VALUES)}) AND ({_VALUE.get(kind, 'true')})"
-        # the words that a keyword begins with
-        begins = vocab.some(*keyword.removeprefix(r"\b(?:").split(")", 1)[0].split("|"))
-        rules.append(f"CASE WHEN ({begins}) AND t RLIKE {literal(java)} THEN filter({spans}, x -> {ok}) ELSE {EMPTY} END")
-    return greedy(_united(rules))
+    # the words that a keyword begins with
+    begins = [vocab.some(*keyword.removeprefix(r"\b(?:").split(")", 1)[0].split("|")) for _, keyword, *_ in vocab.CONTEXT_RULES]
+    keys = found_of([(guard, f"(?Ui){keyword}") for guard, (_, keyword, *_) in zip(begins, vocab.CONTEXT_RULES)], 100)
+    # the gap and the value, from a search that is tied to the keyword's end
+    value = by_rank([f"(?U{'i' if any_case else ''})\\A((?s:.){{0,{gap}}}?)(?:{value})" for _, _, value, any_case, gap in vocab.CONTEXT_RULES])
+    hit = let("w", f"substring_index(k.text, '{AHEAD}', -1)", f"named_struct('end', k.end, 'v', regexp_extract(w, {value}, 0), 'gap', length(regexp_extract(w, {value}, 1)))")
+    bare = r"regexp_replace(substring(h.v, h.gap + 1), '(?U)^\\s+|\\s+$', '')"
+    kinds = [kind for kind, *_ in vocab.CONTEXT_RULES]
+    spans = f"transform(filter(transform({keys}, k -> {hit}), h -> h.v <> ''), h -> named_struct('start', h.end + h.gap, 'end', h.end + length(h.v), 'text', {bare}, 'kind', {by_rank(kinds)}, 'source', 'context', 'rank', r))"
+    own = " ".join(f"WHEN {literal(kind)} THEN {condition}" for kind, condition in _VALUE.items())
+    ok = rf"length(x.text) >= 3 AND x.text RLIKE '(?U)[\\p{{L}}\\p{{N}}]' AND lower(x.text) NOT IN ({_any(vocab.SKIP_VALUES)}) AND CASE x.kind {own} ELSE true END"
+    return greedy_ranks(len(kinds), f"filter({spans}, x -> {ok})", apart=False)
 
 
 def rule_spans() -> str:
     """SQL: URLs, handles and mixed capital identifiers; they may overlap."""
-    mixed = r"x.text RLIKE '[0-9]' AND x.text RLIKE '[A-Z]'"
-    return _united([pattern_spans(p, "rules", i, mixed if p.name == "rule_id" else "true") for i, p in enumerate(vocab.RULE_PATTERNS)])
+    mixed = next(i for i, p in enumerate(vocab.RULE_PATTERNS) if p.name == "rule_id")
+    return all_spans(vocab.RULE_PATTERNS, ["rules"] * len(vocab.RULE_PATTERNS), f"r <> {mixed} OR x.text RLIKE '[0-9]' AND x.text RLIKE '[A-Z]'")
 
 
 def legacy_spans() -> str:
     by = {p.name: p for p in vocab.SECOND_PASS}
-    return _united([pattern_spans(by[n], "legacy_regex", i) for i, n in enumerate(vocab.LEGACY_ORDER)])
+    return all_spans([by[n] for n in vocab.LEGACY_ORDER], ["legacy_regex"] * len(vocab.LEGACY_ORDER))
 
 
 def second_pass_spans() -> str:
     """SQL: the second pass before redacted ranges are taken out; findings may overlap each other."""
-    return _united([pattern_spans(p, p.name, i) for i, p in enumerate(vocab.SECOND_PASS)])
+    return all_spans(vocab.SECOND_PASS, [p.name for p in vocab.SECOND_PASS])
 
 
 DETECTORS = {"regex": regex_spans, "context": context_spans, "rules": rule_spans, "legacy": legacy_spans, "second_pass": second_pass_spans}
 
 
 def detect(docs: DataFrame, detectors: Iterable[str] = ("regex", "context", "rules"), text: str = "text") -> DataFrame:
-    """docs with an array column of spans for each detector, named after it. Null texts have none."""
+    """docs with an array column of spans for each detector, named after it. Null texts have none. Names that begin with two underscores are reserved."""
     t = prepared(docs, text)
-    return t.withColumns({name: F.expr(DETECTORS[name]()) for name in detectors}).drop("t", "l", "d")
+    return t.withColumns({name: F.expr(DETECTORS[name]()) for name in detectors}).drop("__t", "__l", "__n", "__u")
 
 
 def ner(docs: DataFrame, recogniser: Callable[[], Recogniser], source: str, types: dict[str, str], keep_unknown: bool, text: str = "text") -> DataFrame:

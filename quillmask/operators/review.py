@@ -44,10 +44,18 @@ def review_items(spans: DataFrame, events: DataFrame) -> DataFrame:
     return spans.join(latest_decisions(events).select(*KEY, "decision"), KEY, "left").withColumn("urgency", urgency(F.col("span_type"), F.col("category")))
 
 
+def _order() -> list[Column]:
+    return [F.when(F.col("span_type") == "detector", 2).when(F.col("urgency") == "critical", 0).otherwise(1), F.col("start"), F.col("span_id")]
+
+
 def display_order(items: DataFrame) -> DataFrame:
     """Critical flags, then elevated flags, then detector spans; by place."""
-    rank = F.when(F.col("span_type") == "detector", 2).when(F.col("urgency") == "critical", 0).otherwise(1)
-    return items.orderBy("doc_id", rank, "start", "span_id")
+    return items.orderBy("doc_id", *_order())
+
+
+def places(items: DataFrame) -> DataFrame:
+    """items with `place`, an item's number in its document's display order."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*_order())))
 
 
 def linked(items: DataFrame) -> DataFrame:
