@@ -6,17 +6,20 @@ megabytes at a time, so that memory doesn't follow the length of a text or of a
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SPACES = b" \t\n\x0b\f\r"
@@ -64,27 +67,38 @@ def store_of(folder: str) -> tuple[fs.FileSystem, str]:
 def _writer(folder: str, fn: Callable | None):
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = store_of(folder)
-        part = TaskContext.get().partitionId()
-        hidden, rows, out = f"{path}/_{part}-{uuid.uuid4().hex}", 0, None
+        name, rows, out = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.parquet", 0, None
         for b in fn(it) if fn else it:
             if b.num_rows:
-                out = out or pq.ParquetWriter(hidden, b.schema, filesystem=store)
+                out = out or pq.ParquetWriter(f"{path}/{name}", b.schema, filesystem=store)
                 out.write_batch(b)
                 rows += b.num_rows
         if out:
             out.close()
-            # the same partition of another attempt has the same rows
-            store.move(hidden, f"{path}/part-{part:06d}.parquet")
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([name if out else None], pa.string()), pa.array([rows], pa.int64())], names=["file", "n"])
 
     return write
 
 
+def _published(spark: SparkSession, folder: str, kind: StructType, files: set[str]) -> DataFrame:
+    """The table of just these files of a folder. What lost attempts left there is removed; what they write later was not listed."""
+    store, path = store_of(folder)
+    for _ in range(5):
+        out = spark.read.schema(kind).parquet(folder)
+        if {os.path.basename(f) for f in out.inputFiles()} == files:
+            return out
+        for f in store.get_file_info(fs.FileSelector(path)):
+            if f.base_name not in files:
+                store.delete_file(f.path)
+    raise RuntimeError(f"{folder} does not hold the files that were written")
+
+
 def materialise(df: DataFrame, label: str, fn: Callable | None = None, schema: str | None = None) -> DataFrame:
     """Writes df, or what mapInArrow(fn, schema) makes of it, to the shared folder and reads it back.
 
-    Later steps neither recompute it nor depend on executors' disks. A task writes one file under a hidden name and moves it to its
-    partition's name at its end, so that lost and repeated attempts leave nothing that is read.
+    Later steps neither recompute it nor depend on executors' disks. Each attempt of a task writes a file under a name of its own and
+    reports it when it is complete; only the files that successful tasks report are read, so there is nothing to rename, and lost,
+    repeated and late attempts do no harm. The report is one row a task.
     """
     spark = df.sparkSession
     at_workers(spark)
@@ -96,13 +110,34 @@ def materialise(df: DataFrame, label: str, fn: Callable | None = None, schema: s
         out.write.parquet(folder)
         return spark.read.schema(out.schema).parquet(folder)
     store.create_dir(path, recursive=True)
-    rows = df.mapInArrow(_writer(folder, fn), "n bigint").agg(F.sum("n")).head()[0] or 0
-    kind = spark.createDataFrame([], schema).schema if schema else df.schema
-    out = spark.read.schema(kind).parquet(folder)
-    out.known_rows = rows
+    _remove_at_exit(folder.rsplit("/", 1)[0])
+    done = df.mapInArrow(_writer(folder, fn), "file string, n bigint").collect()
+    kind, files = spark.createDataFrame([], schema).schema if schema else df.schema, {r["file"] for r in done if r["file"]}
+    out = _published(spark, folder, kind, files) if files else spark.createDataFrame([], kind)
+    out.known_rows, out.folder, out.files = sum(r["n"] for r in done), folder, sorted(files)
     return out
 
 
+@lru_cache(64)
+def _remove_at_exit(folder: str) -> None:
+    """The application's tables go when its driver ends."""
+    atexit.register(_remove, *store_of(folder))
+
+
+def _remove(store: fs.FileSystem, path: str) -> None:
+    try:
+        store.delete_dir(path)
+    except OSError:  # gone already
+        pass
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again."""
+    for t in tables:
+        if folder := getattr(t, "folder", None):
+            _remove(*store_of(folder))
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df, computed once and kept on the executors' disks. Its lineage stays: what a lost executor held is computed again.
 
@@ -135,15 +170,15 @@ def at_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}:{env.get('PYTHONPATH', '')}"
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None) -> DataFrame:
-    """df, marked for broadcast only if it was counted and found to have few rows and, in a column of any length, few bytes.
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """df, marked for broadcast only if it was counted and found to have few rows and, by `size`, the bytes of a row in columns of any length, few bytes.
 
     For narrow tables that are kept or written; others go into an ordinary join.
     """
     known = getattr(df, "known_rows", None)
     if (df.limit(rows + 1).count() if known is None else known) > rows:
         return df
-    if text and (df.agg(F.sum(F.octet_length(text))).head()[0] or 0) > 16 * rows:
+    if size is not None and (df.agg(F.sum(size)).head()[0] or 0) > 16 * BROADCAST_ROWS:
         return df
     return F.broadcast(df)
 

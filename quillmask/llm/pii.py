@@ -286,7 +286,7 @@ def masked(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDEN
     spans = find_pii(docs, support, confidence).where("spans <> ''").groupBy("doc_id", "text_hash").agg(F.first("spans").alias("__spans"))
     spans = materialise(spans, "pii-spans").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__t"), F.xxhash64(F.col("text")).alias("__h"), F.col("doc_id").alias("__d"))
-    rows = rows.join(small(spans, text="__spans"), F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
+    rows = rows.join(small(spans, size=F.octet_length("__spans")), F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
     kind = docs.select(F.struct(*docs.columns).alias("r")).schema["r"].dataType.simpleString()
     out = arrow_map(rows.select("__row", "__t", "__spans"), _mask, f"__row {kind}, __text string")
     text = lambda c: F.col("__text") if c == "text" else F.when(F.col("__row.n_chars").isNotNull(), F.length("__text")).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"__row.`{c}`")

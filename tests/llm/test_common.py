@@ -21,6 +21,17 @@ def test_written_tables(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == want and not common.empty(out)
 
 
+def test_only_reported_files_are_read(spark):
+    out = common.materialise(spark.range(10), "t")
+    assert len(out.files) >= 1 and {f.rsplit("/", 1)[-1] for f in out.inputFiles()} == set(out.files)
+    store, path = common.store_of(out.folder)
+    store.copy_file(f"{path}/{out.files[0]}", f"{path}/part-000000-late.parquet")
+    assert out.count() == 10 and common._published(spark, out.folder, out.schema, set(out.files)).count() == 10
+    assert "part-000000-late.parquet" not in {f.base_name for f in store.get_file_info(common.fs.FileSelector(path))}
+    common.discard(out)
+    assert store.get_file_info(path).type == common.fs.FileType.NotFound
+
+
 def test_places_of_stores():
     assert common.store_of("file:///tmp/x")[1] == "/tmp/x" and common.store_of("/tmp/x")[1] == "/tmp/x"
 
