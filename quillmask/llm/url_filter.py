@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quillmask.llm.common import materialise, small
 
-#: List entries (about 200 bytes each) up to which the list is broadcast; beyond, it is joined by shuffle.
+#: List entries up to which the list is broadcast, if it has few bytes; beyond, it is joined by shuffle. A join only, with its own shuffle
+#: behind it: where a third of all captures ask for one suffix, adaptive execution splits that partition.
 LIST_ROWS = 100_000
 
 
@@ -32,9 +33,11 @@ def intervals(events: DataFrame) -> DataFrame:
     'remove'; at the same time a removal comes last. Further adds while it holds, removals while it doesn't, repeated events and rows with a
     null or another action change nothing.
     """
-    known = events.where("entry IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')").select(F.regexp_replace(F.lower("entry"), "/+$", "").alias("entry"), "action", "at").distinct()
+    listed = events.where("entry IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')").select(F.regexp_replace(F.lower("entry"), "/+$", "").alias("entry"), "action", "at").distinct()
     by = Window.partitionBy("entry").orderBy("at", "action")
-    spans = known.withColumn("until", F.lead("at").over(by)).where("action = 'add'").where("until IS NULL OR until > at")
+    # only events that change something part one interval from the next
+    turns = listed.withColumn("before", F.lag("action").over(by)).where("before IS NULL OR before <> action")
+    spans = turns.withColumn("until", F.lead("at").over(by)).where("action = 'add'").where("until IS NULL OR until > at")
     return spans.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("since"), "until"))).alias("valid"))
 
 
@@ -62,7 +65,7 @@ def screen(captures: DataFrame, events: DataFrame) -> DataFrame:
     depth = listed.agg(F.max(F.size(F.split("entry", "/")) - 1)).head()[0] or 0
     asked = captures.where("url IS NOT NULL AND fetched IS NOT NULL").select(F.col("url").alias("__url"), F.col("fetched").alias("__at")).distinct()
     keys = asked.select("__url", "__at", F.explode(questions(F.col("__url"), depth)).alias("entry"))
-    hits = keys.join(small(listed, LIST_ROWS), "entry")
+    hits = keys.join(small(listed, LIST_ROWS, F.octet_length("entry") + 32 * F.size("valid")), "entry")
     now = F.filter("valid", lambda v: (v["since"] <= F.col("__at")) & (v["until"].isNull() | (F.col("__at") < v["until"])))
     hits = hits.withColumn("since", F.get(now, 0)["since"]).where("since IS NOT NULL")
     best = F.max(F.struct(F.length("entry").alias("size"), "entry", "since"))
@@ -80,7 +83,8 @@ def dated_captures(pages: DataFrame) -> DataFrame:
 
 def dated_list(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts and first path segments that occur: a quarter of the hosts and an eighth of the sections, by their
-    MD5, are listed during 2024; half of these are removed 90 days later, and a quarter listed again after 60 days more."""
+    MD5, are listed during 2024; half of these are removed 90 days later, and a quarter listed again after 60 days more. Every third is
+    listed once more after 20 days, while it holds, which changes nothing."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     section = F.concat(host, F.lit("/"), F.lower(F.split(F.regexp_replace(path, "^/+", ""), "/+")[0]))
     entries = pages.where("url IS NOT NULL").select(F.explode(F.array(F.struct(host.alias("entry"), F.lit(4).alias("one_in")), F.struct(section.alias("entry"), F.lit(8).alias("one_in")))).alias("e")).select("e.*").distinct()
@@ -89,7 +93,8 @@ def dated_list(pages: DataFrame) -> DataFrame:
     event = lambda action, more: F.struct(F.lit(action).alias("action"), day(more).alias("at"))
     again = (F.col("m") / 4096).cast("bigint")
     events = F.when(again % 2 == 1, F.array(event("add", 0))).when(again % 4 == 0, F.array(event("add", 0), event("remove", 90), event("add", 150))).otherwise(F.array(event("add", 0), event("remove", 90)))
-    return entries.select("entry", F.explode(events).alias("e")).select("entry", "e.*")
+    more = F.when(F.col("m") % 3 == 0, F.array(event("add", 20))).otherwise(F.array(event("add", 0)))
+    return entries.select("entry", F.explode(F.concat(events, more)).alias("e")).select("entry", "e.*")
 
 
 ORACLE_SQL = r"""

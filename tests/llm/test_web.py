@@ -69,6 +69,10 @@ def test_url_list_over_time(spark):
     for u, f, blocked, entry in rows:
         assert seen[u, f][:2] == (blocked, entry) and seen[u, f][3] == "kept", u
     assert seen["http://z.sub.bad.example", day(7)][2] == 2
+    since = {(x.url, x.fetched): x.since for x in got.collect()}
+    assert since["https://u@bad.example:8/", day(9)] == day(5) and since["http://bad.example", day(25)] == day(20)
+    valid = {x.entry: [tuple(v) for v in x.valid] for x in url_filter.intervals(events).collect()}
+    assert valid == {"bad.example": [(day(5), day(10)), (day(20), None)], "ok.example/ads": [(day(1), None)], "sub.bad.example": [(day(1), None)]}
     assert url_filter.screen(df, events.where("false")).where("blocked").count() == 0
     assert url_filter.screen(df.where("false"), events).count() == 0
 
