@@ -11,39 +11,44 @@ from quillmask.llm.common import table
 
 
 def brute_top(rows, every, k):
-    fine = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(256 * np.float64(np.float32(x))) for x in v]
-            fine[i] = min(fine.get(i, q), q)
-    out = set()
-    for i, v in fine.items():
+    fine = [(i, [math.floor(256 * np.float64(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, v) in enumerate(fine):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in fine.items() if j != i and len(w) == len(v))
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])}
-    return out
+            scores = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(fine) if b != a and len(w) == len(v))
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 def test_search_against_brute_force(spark, monkeypatch):
+    """Ties, rows that repeat a vec_id with the same or another vector, vectors that take no part, lengths that don't meet."""
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 40)]) for i in range(300)]
     rows += [(300 + i, [0.5, -0.5, 0.25]) for i in range(8)] + [(400 + i, list(rows[50][1])) for i in range(9)]
-    rows += [(None, [1.0] * 40), (500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 40), (504, [float("inf")] * 40), (50, list(rows[50][1])), (550, [1.0])]
+    rows += [(None, [1.0] * 40), (500, None), (501, []), (502, [1.0, None]), (503, [float("nan")] * 40), (504, [float("inf")] * 40), (50, list(rows[50][1])), (100, [9.0] * 40), (550, [1.0])]
     df = spark.createDataFrame([(*x, 1, "s") for x in rows], "vec_id long, embedding array<float>, label int, score string")
-    for blocks in ((8192, 2048), (37, 3)):
-        monkeypatch.setattr(topk, "ROW_BLOCK", blocks[0])
-        monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[1])
-        got = {tuple(x) for x in topk.top_k(df).collect()}
-        assert got == brute_top(rows, 50, 5)
+    for sizes in ((8192, 512, 16), (37, 3, 7)):
+        for name, n in zip(("ROW_BLOCK", "QUERY_BLOCK", "DIMENSIONS"), sizes):
+            monkeypatch.setattr(topk, name, n)
+        assert sorted(tuple(x) for x in topk.top_k(df).collect()) == brute_top(rows, 50, 5)
     assert topk.top_k(df.where("false")).count() == 0
+    few = spark.createDataFrame([(50, [1.0, 2.0]), (50, [9.0, 0.5]), (50, [9.0, 0.5])], "vec_id long, embedding array<float>")
+    assert sorted(tuple(x) for x in topk.top_k(few).collect()) == brute_top([tuple(x) for x in few.collect()], 50, 5)
 
 
 def test_pruning_keeps_ties():
-    rows = np.ones((64, 50))
-    ids = np.arange(50)[::-1].copy()
-    tails = np.array([np.sqrt((rows[at:] ** 2).sum(axis=0)) for at in range(0, 64, topk.DIMENSIONS)])
-    found, scores = topk.search(rows, ids, np.ones(64), 3, 5, tails)
-    assert found.tolist() == [0, 1, 2, 4, 5] and scores.tolist() == [64] * 5
+    """Bounds that decide: few rows are near, most are far; some scores are equal over several blocks."""
+    r = np.random.default_rng(2)
+    q = r.normal(0, 20, (4, 64)).round()
+    x = np.concatenate([q.T + r.normal(0, 1, (64, 4)).round(), np.repeat(q.T[:, :1], 9, axis=1), r.normal(0, 3, (64, 900)).round()], axis=1)
+    ids = r.permutation(x.shape[1])
+    s = topk.Search(q, np.array([-1, 5, -1, -1]), 5)
+    for at in range(0, x.shape[1], 100):
+        s.block(np.ascontiguousarray(x[:, at : at + 100]), ids[at : at + 100], np.arange(at, min(at + 100, x.shape[1])))
+    for i in range(4):
+        whole = q[i] @ x
+        order = [j for j in np.lexsort((ids, -whole)) if not (i == 1 and j == 5)][:5]
+        assert s.ids[i].tolist() == ids[order].tolist() and s.scores[i].tolist() == whole[order].tolist()
 
 
 def test_fit_reaches_the_best_sum():
