@@ -142,6 +142,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     html = F.coalesce(F.col("html"), F.lit(""))
     narrow = materialise(pages.select("page_id", F.sha1(F.encode(html, "UTF-8")).alias("sha"), F.octet_length(html).alias("bytes")).where(F.col("bytes") >= min_bytes).select("page_id", "sha"), "warc-digests")
     largest = narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("sha", "refers_to")
+    # a join only, with a shuffle of its own behind it: where a third of all pages are equal, adaptive execution splits that partition
     revisits = materialise(narrow.join(largest, "sha").where("page_id IS NULL OR page_id <> refers_to").groupBy("page_id", "sha").agg(F.first("refers_to").alias("refers_to")), "warc-revisits")
     named = revisits.select(F.col("page_id").alias("p"), "sha", "refers_to")
     rows = pages.select("page_id", "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("own"))
@@ -206,30 +207,28 @@ def _lines(folder: str, file: str, offset: int, length: int) -> tuple[list[str],
     return [x[0] for x in found], [json.loads(x[1]) for x in found]
 
 
-def find(folder: str, files: list[tuple[str, str, str]], lasts: list[str], key: str) -> Iterator[list]:
-    """The captures of a key. files: (first, last, file) by key, lasts: their last keys."""
-    for first, _, file in files[bisect.bisect_left(lasts, key) :]:
-        if first > key:
-            return
-        blocks, block_lasts = _directory(folder, file)
-        for lo, _, offset, length in blocks[bisect.bisect_left(block_lasts, key) :]:
-            if lo > key:
-                break
-            keys, found = _lines(folder, file, offset, length)
-            yield from found[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
-
-
-def _locate(folder: str, files: list[tuple[str, str, str]]):
+def _choose(folder: str, files: list[tuple[str, str, str]]):
+    """URL keys -> the index blocks that may hold each, by binary search in the list of files and in their directories. files: (first, last, file) by key."""
     lasts = [x[1] for x in files]
 
+    def chosen(key: str) -> Iterator[tuple]:
+        for first, _, file in files[bisect.bisect_left(lasts, key) :]:
+            if first > key:
+                return
+            blocks, block_lasts = _directory(folder, file)
+            for lo, _, offset, length in blocks[bisect.bisect_left(block_lasts, key) :]:
+                if lo > key:
+                    break
+                yield key, file, offset, length
+
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("urlkey", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+        schema = pa.schema([("urlkey", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
         for b in it:
             rows: list[tuple] = []
             for key in b.column(0).to_pylist():
-                for page_id, archive, offset, length in find(folder, files, lasts, key):
-                    rows.append((page_id, key, archive, offset, length))
-                    if len(rows) == 10_000:  # a key may have any number of captures
+                for row in chosen(key):
+                    rows.append(row)
+                    if len(rows) == 10_000:  # a key may fill any number of blocks
                         yield batch(schema, *map(list, zip(*rows)))
                         rows = []
             if rows:
@@ -238,18 +237,41 @@ def _locate(folder: str, files: list[tuple[str, str, str]]):
     return fn
 
 
+def _fetch(folder: str):
+    """(urlkey, file, offset, length) -> the captures of the key in that block; a block has BLOCK_LINES at most."""
+
+    def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("page_id", pa.int64()), ("urlkey", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+        for b in it:
+            rows: list[tuple] = []
+            for key, file, offset, length in zip(*(c.to_pylist() for c in b.columns)):
+                keys, found = _lines(folder, file, offset, length)
+                rows += [(x[0], key, *x[1:]) for x in found[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
+                if len(rows) >= 10_000:
+                    yield batch(schema, *map(list, zip(*rows)))
+                    rows = []
+            if rows:
+                yield batch(schema, *map(list, zip(*rows)))
+
+    return fn
+
+
 def _url_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], names=["urlkey"])
 
 
 def look_up(urls: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
-    """urls(url, ...) -> the captures of each distinct key of theirs, found through the index in `folder`."""
+    """urls(url, ...) -> the captures of each distinct key of theirs, found through the index in `folder`.
+
+    Blocks are chosen first and then dealt out, so that a key with a third of all captures is read by as many tasks as it has blocks.
+    """
     # one row an index file, and there is one for each range partition at most
     files = [tuple(r) for r in directory.groupBy("file").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last", "file").orderBy("first", "last").collect()]
     n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = arrow_map(urls.select("url"), _url_keys, "urlkey string").distinct().repartitionByRange(n, "urlkey").sortWithinPartitions("urlkey")
-    return arrow_map(keys, _locate(folder, files), CAPTURES)
+    chosen = arrow_map(keys, _choose(folder, files), "urlkey string, file string, offset bigint, length bigint")
+    return arrow_map(chosen.repartition(n, "file", "offset").sortWithinPartitions("file", "offset", "urlkey"), _fetch(folder), CAPTURES)
 
 
 def _read(folder: str, payloads: bool):
