@@ -84,12 +84,12 @@ def _signatures(bands: int, rows: int):
 
 
 def _sign(it: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     lanes = np.uint64(1) << (np.arange(64, dtype=np.uint64))
     band = np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for b in pieces(it, 1):
-        ids, sizes, d1, d2, mins = [], [], [], [], []
-        for s in shingle_sets(b.column(1)):
+    for b in pieces(it, 2):
+        sizes, d1, d2, mins = [], [], [], []
+        for s in shingle_sets(b.column(2)):
             sizes.append(len(s))
             d1.append(s.sum(dtype=np.uint64))
             d2.append(mix(s + np.uint64(77)).sum(dtype=np.uint64) if len(s) else np.uint64(0))
@@ -100,7 +100,7 @@ def _sign(it: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.Re
         for r in range(rows):
             keys = mix(keys + np.array(mins)[:, r : bands * rows : rows].astype(np.uint64))
         lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(x.view(np.int64).ravel()))
-        yield batch(schema, b.column(0), sizes, np.array(d1, np.uint64).view(np.int64), np.array(d2, np.uint64).view(np.int64), lists(np.hstack(planes), 2 * LANES), lists(keys, bands))
+        yield batch(schema, b.column(0), b.column(1), sizes, np.array(d1, np.uint64).view(np.int64), np.array(d2, np.uint64).view(np.int64), lists(np.hstack(planes), 2 * LANES), lists(keys, bands))
 
 
 def estimate(a: str, b: str) -> Column:
@@ -147,16 +147,15 @@ def _verify(percent: int):
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, label: str) -> DataFrame:
-    """Those pairs(a, b) whose full shingle sets are similar enough. docs(doc_id, text)."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{label}-ids")
-    texts = docs.join(small(ids), "doc_id").dropDuplicates(["doc_id"])
-    texts = materialise(texts.select("doc_id", "text"), f"{label}-texts")
+    """Those pairs(a, b) whose full shingle sets are similar enough. docs(key, text); rows of one key are equal."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"{label}-ids")
+    texts = materialise(docs.join(small(ids), "key").dropDuplicates(["key"]).select("key", "text"), f"{label}-texts")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
-    hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("doc_id"))
-    rows = members.unionByName(hubs).join(texts, "doc_id").select("a", "salt", "role", "doc_id", "text")
+    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("key"))
+    hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("key"))
+    rows = members.unionByName(hubs).join(texts, "key").select("a", "salt", "role", "key", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role", "doc_id"), f"{label}-links", _verify(percent), "a bigint, b bigint")
+    return materialise(rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role", "key"), f"{label}-links", _verify(percent), "a bigint, b bigint")
 
 
 def _consensus(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +190,8 @@ def _majority(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def _compare(rows: list[dict], floor: float, percent: int) -> Iterator[tuple[int, int]]:
-    """Links between two blocks of a bucket (or within one) that join components not yet joined, confirmed on full shingle sets.
+def _near_pairs(rows: list[dict], floor: float, percent: int) -> list[tuple[int, int]]:
+    """Places of the pairs of two blocks of a bucket (or within one) that are of different components and whose estimate is high enough.
 
     A pair that shares several buckets is left to the one with the smallest key.
     """
@@ -209,11 +208,20 @@ def _compare(rows: list[dict], floor: float, percent: int) -> Iterator[tuple[int
             d = bits[y] ^ bits[x]
             differ = np.bitwise_count(d[:, :LANES] | d[:, LANES:]).sum(axis=1, dtype=np.int64)
             pairs += [(x, z) for z in y[(1 - differ / MINIMA - 0.25) / 0.75 >= floor].tolist() if min(keys[x] & keys[z]) == first["key"]]
-    if not pairs:
-        return
+    return pairs
+
+
+def _involved(rows: list[dict], floor: float, percent: int) -> Iterator[tuple[int, int]]:
+    """(key, id) of the rows that have a near pair: two blocks at most, however many pairs."""
+    return ((rows[0]["key"], rows[z]["id"]) for z in sorted({z for pair in _near_pairs(rows, floor, percent) for z in pair}))
+
+
+def _compare(rows: list[dict], floor: float, percent: int) -> Iterator[tuple[int, int]]:
+    """The near pairs that are links on full shingle sets, but for those whose components are joined by then."""
+    pairs = _near_pairs(rows, floor, percent)
     needed = sorted({z for pair in pairs for z in pair})
-    sets = dict(zip(needed, shingle_sets(pa.array([rows[z]["text"] for z in needed], pa.large_string()))))
-    root = {int(c): int(c) for c in comp}
+    sets = dict(zip(needed, shingle_sets(pa.array([rows[z]["text"] for z in needed], pa.large_string())))) if needed else {}
+    root = {r["component"]: r["component"] for r in rows}
 
     def top(c: int) -> int:
         while root[c] != c:
@@ -221,48 +229,94 @@ def _compare(rows: list[dict], floor: float, percent: int) -> Iterator[tuple[int
         return c
 
     for x, y in pairs:
-        cx, cy = top(int(comp[x])), top(int(comp[y]))
+        cx, cy = top(rows[x]["component"]), top(rows[y]["component"])
         if cx != cy and similar(sets[x], sets[y], percent):
             root[cx] = cy
-            yield int(ids[x]), int(ids[y])
+            yield rows[x]["id"], rows[y]["id"]
 
 
-def _blocks(floor: float, percent: int):
-    """Rows sorted by (key, i, j) -> links; holds the two blocks of one bucket at a time."""
+def _blocks(find, floor: float, percent: int, names: tuple[str, str]):
+    """Rows sorted by (key, i, j) -> what find() says of each two blocks of a bucket, which are held at a time."""
 
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([(n, pa.int64()) for n in names])
         held: list[dict] = []
         name = lambda r: (r["key"], r["i"], r["j"])
         for b in it:
-            links = []
+            out = []
             for r in b.to_pylist():
                 if held and name(held[0]) != name(r):
-                    links += _compare(held, floor, percent)
+                    out += find(held, floor, percent)
                     held = []
                 held.append(r)
-            if links:
-                yield batch(schema, *map(list, zip(*links)))
-        if held and (links := list(_compare(held, floor, percent))):
-            yield batch(schema, *map(list, zip(*links)))
+            if out:
+                yield batch(schema, *map(list, zip(*out)))
+        if held and (out := list(find(held, floor, percent))):
+            yield batch(schema, *map(list, zip(*out)))
 
     return fn
 
 
+def _met(rows: DataFrame, counts: DataFrame, *more: str) -> DataFrame:
+    """rows(key, id, ...) dealt into the blocks of their key, every two blocks of a key together; counts(key, blocks)."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.join(counts, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "bits", "keys", *more)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+
+
+def _exhaustive(open_: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between the members(key, id, component, n_shingles, bits) of each bucket that aren't of one component yet; docs(key, text).
+
+    Signatures meet first, in pairs of blocks; only members that have a near pair then meet with their texts.
+    """
+    floor = cut(percent / 100)
+    # buckets of the same members are compared once
+    mark = F.xxhash64("id")
+    same = open_.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
+    counts = same.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = materialise(open_.join(counts.select("key"), "key", "left_semi").drop("part"), "dealt")
+    keys = dealt.groupBy("id").agg(F.collect_list("key").alias("keys"))  # one a band at most
+    dealt = materialise(dealt.join(keys, "id"), "dealt-keys")
+    near = materialise(_met(dealt, counts), "block-near", _blocks(_involved, floor, percent, ("key", "id")), "key bigint, id bigint")
+    if empty(near):
+        return near.selectExpr("key AS a", "id AS b")
+    rows = materialise(dealt.join(near.distinct(), ["key", "id"], "left_semi"), "block-rows")
+    weight = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    counts = rows.groupBy("key").agg(F.ceil(weight).cast("int").alias("blocks"))
+    ids = materialise(rows.select(F.col("id").alias("key")).distinct(), "block-ids")
+    texts = docs.join(small(ids), "key").dropDuplicates(["key"]).select(F.col("key").alias("id"), "text")
+    return materialise(_met(rows.join(texts, "id"), counts, "text"), "block-links", _blocks(_compare, floor, percent, ("a", "b")), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, one row for each row of docs.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| on their sets of distinct shingles of five lower-cased words (A-Z);
     a text of one to four words is one shingle, a null, empty or blank text has none and no links. component_id is the smallest doc_id
-    reached; kept marks the rows with that doc_id. Rows with a null doc_id have no links, a null component_id and are kept. Rows that
-    repeat a doc_id share its component. An empty table gives an empty result; other columns of docs are ignored.
+    reached; kept marks the rows with that doc_id. Rows go by doc_id and text: those that share a doc_id and have different texts are
+    documents of their own, and so are rows without doc_id, whose component_id is null unless they are linked to a row that has one.
+    Of a component without any doc_id one text is kept. An empty table gives an empty result; other columns of docs are ignored.
     """
+    return _labelled(docs, percent).drop("key", "head")
+
+
+def _key() -> Column:
+    """What tells rows apart: rows of one key are equal in doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates() with each row's key, and `head`, the least key of its component."""
     at_workers(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialise(docs, "signatures", _signatures(*banding(percent / 100)), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bits array<bigint>, bands array<bigint>")
-    sets = materialise(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id")), "sets")
-    reps = sig.join(sets.select(F.col("id").alias("doc_id"), "d1", "d2", "n_shingles"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi").dropDuplicates(["doc_id"])
-    reps = materialise(reps.select(F.col("doc_id").alias("id"), "n_shingles", "bits", "bands"), "representatives")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _key().alias("key"), F.col("text").cast("string").alias("text"))
+    sig = materialise(docs, "signatures", _signatures(*banding(percent / 100)), "doc_id bigint, key bigint, n_shingles bigint, d1 bigint, d2 bigint, bits array<bigint>, bands array<bigint>")
+    docs = docs.drop("doc_id")
+    same = ["d1", "d2", "n_shingles"]
+    sets = materialise(sig.where("n_shingles > 0").groupBy(*same).agg(F.min("key").alias("id"), F.min("doc_id").alias("least")), "sets")
+    reps = sig.join(sets.select(F.col("id").alias("key"), *same), ["key", *same], "left_semi").dropDuplicates(["key"])
+    reps = materialise(reps.select(F.col("key").alias("id"), "n_shingles", "bits", "bands"), "representatives")
     bits = reps.select("id", "n_shingles", "bits")
     rows = reps.select("id", F.explode("bands").alias("key"))
     buckets = materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.max("id").alias("last")).where("n > 1"), "buckets")
@@ -281,61 +335,59 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = components(links)
 
     def unsettled() -> DataFrame:
-        """The buckets' members where a bucket still has more than one component."""
+        """The buckets' members where a bucket still has more than one component, each in a part of its bucket of about BLOCK members."""
         own = crowd.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         own = materialise(own, "labelled")
-        keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return materialise(own.join(keys, "key").join(bits, "id"), "unsettled")
+        keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("lo <> hi").select("key", "parts")
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        return materialise(own.join(keys, "key").withColumn("part", part).drop("parts").join(bits, "id"), "unsettled")
 
     open_ = unsettled()
     if not empty(open_):
-        # members come sorted by key and salt, so a task adds up one part of a bucket after the other
-        size = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        # members come sorted by key and part, so a task adds up one part of a bucket after the other
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = open_.join(size, "key").select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "bits").repartition(n, "key", "part").sortWithinPartitions("key", "part")
+        parts = open_.select("key", "part", "bits").repartition(n, "key", "part").sortWithinPartitions("key", "part")
         parts = materialise(parts, "consensus-parts", _consensus, "key bigint, n bigint, ones binary")
         middle = parts.repartition(n, "key").sortWithinPartitions("key")
         middle = materialise(middle, "consensus", _majority, "key bigint, middle array<bigint>")
+        # what a bucket's members are held against goes to each of its parts
+        spots = materialise(open_.select("key", "part").distinct(), "parts")
+        nearest = open_.join(middle.join(spots, "key"), ["key", "part"]).groupBy("key", "part").agg(F.max_by(F.struct("id", "component"), F.struct(estimate("bits", "middle").alias("e"), -F.col("id"))).alias("hub"), F.max(F.struct(estimate("bits", "middle").alias("e"), -F.col("id"))).alias("e"))
+        nearest = materialise(nearest, "nearest").groupBy("key").agg(F.max_by("hub", "e").alias("hub"))
         # the component of the hub needs no second look at its own members
-        nearest = open_.join(middle, "key").groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct(estimate("bits", "middle"), -F.col("id"))).alias("hub"))
-        second = open_.join(nearest, "key").where("component <> hub.component").select(F.col("hub.id").alias("x"), F.col("id").alias("y"))
+        second = open_.join(nearest.join(spots, "key"), ["key", "part"]).where("component <> hub.component").select(F.col("hub.id").alias("x"), F.col("id").alias("y"))
         second = second.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("g"), "x", "y").dropDuplicates(["l", "g"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
         seen = tried.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("g"))
         fresh = second.withColumns({"l": F.least("a", "b"), "g": F.greatest("a", "b")}).join(seen, ["l", "g"], "left_anti").select("a", "b")
         more = materialise(promising(fresh), "pairs-2")
         links = links.union(confirm(more, docs, percent, "star-2"))
         found = components(links)
-        open_ = unsettled()
-        # buckets of the same members are compared once
-        mark = F.xxhash64("id")
-        same = open_.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("words"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"))
-        weight = F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_SHINGLES)
-        counts = same.groupBy("n", "words", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(weight).cast("int").alias("blocks"))
-        dealt = materialise(open_.join(counts, "key").withColumn("block", F.pmod(mark, F.col("blocks")).cast("int")), "dealt")
-        keys = dealt.groupBy("id").agg(F.collect_list("key").alias("keys"))  # one a band at most
-        texts = docs.join(small(materialise(keys.select(F.col("id").alias("doc_id")), "block-ids")), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
-        rows = dealt.join(keys.join(texts, "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n_shingles", "bits", "keys", "text")
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-        last = materialise(rows, "block-links", _blocks(floor, percent), "a bigint, b bigint")
+        last = _exhaustive(unsettled(), docs, percent)
         if not empty(last):
             found = components(links.union(last))
 
-    named = sets.join(found, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    linked = materialise(found.join(sets.select("id", "least"), "id"), "linked")
+    tops = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = linked.join(tops, "component").select("id", F.col("component").alias("head"), "component_id")
+    named = sets.join(linked, "id", "left").select(*same, F.coalesce("head", "id").alias("head"), F.when(F.col("head").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = sig.select("doc_id", "key", *same).join(named, same, "left")
+    alone = F.col("n_shingles") == 0
+    out = out.withColumns({"component_id": F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")), "head": F.when(alone, F.col("key")).otherwise(F.col("head"))})
+    kept = F.when(F.col("component_id").isNull(), F.col("key") == F.col("head")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "key", "head")
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs without near-duplicates: one row of each component stays, with all columns of docs.
 
-    Rows that repeat a doc_id count as copies, so one of them stays; rows with a null doc_id stay.
+    It is one with the component's smallest doc_id; of rows that are equal in doc_id and text any one. Names that begin with two
+    underscores are reserved.
     """
-    verdict = materialise(near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    named = verdict.select(F.col("doc_id").alias("__id"))
-    some = docs.join(small(named), F.col("doc_id") == F.col("__id"), "left").where("__id IS NOT NULL OR doc_id IS NULL").select(docs.columns)
-    if verdict.where("copies > 1").limit(1).count():
-        some = some.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(some.where("doc_id IS NULL"))
-    return some
+    chosen = materialise(_labelled(docs, percent).where("kept").groupBy("head").agg(F.min("key").alias("__key"), F.count("*").alias("copies")), "kept")
+    rows = docs.withColumn("__own", _key()).join(small(chosen.select("__key")), F.col("__own") == F.col("__key"), "left_semi")
+    if chosen.where("copies > 1").limit(1).count():
+        # a copy of a kept row can only be where a component has more than one
+        many = small(chosen.where("copies > 1").select("__key"))
+        once = rows.join(many, F.col("__own") == F.col("__key"), "left_semi").dropDuplicates(["__own"])
+        rows = rows.join(many, F.col("__own") == F.col("__key"), "left_anti").unionByName(once)
+    return rows.select(docs.columns)

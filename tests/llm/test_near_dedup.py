@@ -91,6 +91,33 @@ def test_odd_rows(odd, none):
     assert nd.keep_one(none).count() == 0
 
 
+def test_rows_of_one_id_and_of_none(spark, prose):
+    a, b, c = prose(60, 71), prose(60, 72), prose(60, 73)
+    rows = [(5, a), (5, b), (7, a + " word"), (9, b + " word"), (None, c), (None, c + " word"), (None, prose(60, 74)), (None, b + " more"), (5, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in nd.near_duplicates(df).collect()}
+    assert {(5, 56, 5, True), (7, 57, 5, False), (9, 57, 5, False), (None, 57, 5, False)} <= got and sum(k for i, _, c, k in got if i is None) == 2
+    kept = sorted((x.doc_id or 0, x.text) for x in nd.keep_one(df).collect())
+    assert [t for i, t in kept if i == 5] == sorted([a, b]) and len(kept) == 4 and sum(t.startswith(c) for _, t in kept) == 1
+    odd = spark.createDataFrame([(3, a), (3, a + " word"), (4, a)], "doc_id long, text string")
+    assert [x.doc_id for x in nd.keep_one(odd).collect()] == [3]
+
+
+def test_small_blocks(spark, prose, monkeypatch):
+    """Many blocks a bucket: texts alike around two hubs in turn, found in the last step only."""
+    for name, n in (("BLOCK", 4), ("BLOCK_SHINGLES", 500), ("SALT", 3)):
+        monkeypatch.setattr(nd, name, n)
+    r, rows = random.Random(8), []
+    base = prose(90, 500).split(" ")
+    for k in range(60):
+        w = list(base)
+        for at in r.sample(range(90), r.choice((0, 1, 1, 2))):
+            w[at] = f"z{r.randrange(12)}"
+        rows.append((k * 7 % 61, " ".join(w)))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {x.id: x.component for x in components(links).collect()}
