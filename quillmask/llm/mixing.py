@@ -2,8 +2,9 @@
 
 Texts are scanned once for their sizes; everything after that is on narrow rows. Each source's target is whole rounds through all its
 documents plus a remainder. The remainder is fitted on the histogram of exact sizes: an even share of every size, then longest first
-down to a small budget, then a bounded knapsack over bits for what is left. Which documents of a size are taken follows a seeded hash,
-dealt over 256 parts of each size, so that a hot source or a hot size is never ranked in one task.
+down to a small budget, then a bounded knapsack over bits for what is left. Of a size the documents with the smallest seeded hashes are
+taken: ranges of hashes are counted, and only the range in which the last one lies is looked into, so that a hot source or a hot size is
+never ranked in one task. A row of the histogram then says of every document whether it is taken, and texts don't move.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quillmask.llm.common import WORD, at_workers, materialise, small
 
-#: Words that the knapsack fits exactly; parts of a size among which documents are ranked.
-KNAPSACK_WORDS, PARTS = 16_384, 256
+#: Words that the knapsack fits exactly; ranges of hashes, as a power of two, at least; rows of a range at most, on average.
+KNAPSACK_WORDS, RANGE_BITS, RANGE_ROWS = 16_384, 8, 1_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -85,40 +86,86 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": rows["key"], "size": rows["size"], "rounds": rounds, "take": take})
 
 
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with __key, __size and __draw, a non-negative hash of the seed and all that tells a row apart here."""
+    text = F.col("text").cast("string")
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), text).bitwiseAND(F.lit((1 << 63) - 1))
+    return docs.withColumns({"__key": key_of(F.col("source")), "__size": size_of(text), "__draw": draw})
+
+
+def _cuts(rows: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """rows(key, size, draw), written -> for each key and size: source_size, target, rounds, cut, some, among.
+
+    A document is taken `rounds` times, and once more if its draw is below `cut`; of the `among` rows whose draw is `cut`, `some` are.
+    """
+    count = getattr(rows, "known_rows", None)
+    count = rows.count() if count is None else count
+    bits = max(RANGE_BITS, (count // RANGE_ROWS).bit_length())
+    rows = rows.withColumn("part", F.shiftright("draw", 63 - bits))
+    parts = materialise(rows.groupBy("key", "size", "part").agg(F.count("*").alias("n")), "mix-parts")
+    lengths = parts.groupBy("key", "size").agg(F.sum("n").alias("n"))
+    aims = materialise(targets(lengths.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most), "mix-targets")
+    fitted = materialise(lengths.join(aims, "key").groupBy("key").applyInPandas(_fit_source, "key string, size bigint, rounds int, take bigint"), "mix-fitted")
+    upto = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    last = parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(fitted, ["key", "size"]).where("take > before AND take <= before + n")
+    last = materialise(last.select("key", "size", "part", (F.col("take") - F.col("before")).alias("quota")), "mix-ranges")
+    drawn = rows.join(last, ["key", "size", "part"]).groupBy("key", "size", "quota", "draw").agg(F.count("*").alias("among"))
+    upto = Window.partitionBy("key", "size").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("some", F.col("quota") - F.coalesce(F.sum("among").over(upto), F.lit(0))).where("some > 0 AND some <= among")
+    cuts = fitted.join(drawn.select("key", "size", F.col("draw").alias("cut"), "some", "among"), ["key", "size"], "left").join(aims, "key")
+    # without a cut no draw is below it
+    return materialise(cuts.select("key", "size", "source_size", "target", "rounds", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("some", F.lit(0)).alias("some"), F.coalesce("among", F.lit(0)).alias("among")), "mix-cuts")
+
+
+def _tied() -> Column:
+    """Whether a row is one of several equal ones of which some are taken."""
+    return (F.col("draw") == F.col("cut")) & (F.col("some") < F.col("among"))
+
+
+def _copies() -> Column:
+    return (F.col("rounds") + (F.col("draw") <= F.col("cut")).cast("int")).cast("int")
+
+
+def _bytes() -> Column:
+    return F.octet_length("key") + 56
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> doc_id, key, size, source_size, target, copies, taken, text_hash; one row for each row of docs.
+    """docs(doc_id, text, source, ...) -> doc_id, size, source_size, target, copies, taken; one row for each row of docs.
 
     size is the number of words; null, empty and blank texts have 0 and take nothing. Sources by code point, a null source last as a
     source of its own, get the weights in turn. copies is how often the mix holds the document, taken its words. The choice depends on
-    doc_id and the seed alone; rows that repeat a doc_id, or have none, go by their text; equal rows are interchangeable. Reruns agree. An empty table
-    gives an empty result; other columns of docs are ignored.
+    the seed, doc_id and text alone, so that rows that repeat a doc_id, or have none, go by their text; equal rows are interchangeable.
+    Reruns agree. An empty table gives an empty result; other columns of docs are ignored.
     """
     if most > 3:
         raise ValueError("a document is taken three times at most")
     at_workers(docs.sparkSession)
-    drawn = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = docs.select("doc_id", key_of(F.col("source")).alias("key"), size_of(F.col("text")).alias("size"), drawn.alias("draw"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    rows = materialise(rows.withColumn("part", F.pmod("draw", F.lit(PARTS)).cast("int")), "mix-sizes")
-    parts = materialise(rows.groupBy("key", "size", "part").agg(F.count("*").alias("n")), "mix-parts")
-    lengths = parts.groupBy("key", "size").agg(F.sum("n").alias("n"))
-    aims = materialise(targets(lengths.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most), "mix-targets")
-    fitted = materialise(lengths.join(aims, "key").groupBy("key").applyInPandas(_fit_source, "key string, size bigint, rounds int, take bigint"), "mix-fitted")
-    upto = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    quota = parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(fitted, ["key", "size"])
-    quota = quota.select("key", "size", "part", "rounds", F.greatest(F.lit(0), F.least("n", F.col("take") - F.col("before"))).alias("quota"))
-    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("draw", "doc_id", "text_hash"))
-    chosen = rows.join(quota, ["key", "size", "part"]).withColumn("copies", F.col("rounds") + (rank <= F.col("quota")).cast("int"))
-    out = chosen.join(small(aims), "key")
-    return out.select("doc_id", "key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
+    rows = _sized(docs.select("doc_id", "text", "source"), seed).select("doc_id", F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__draw").alias("draw"))
+    rows = materialise(rows, "mix-sizes")
+    cuts = _cuts(rows, weights, most)
+    chosen = rows.join(small(cuts, size=_bytes()), ["key", "size"])
+    out = chosen.withColumn("copies", _copies())
+    if cuts.where("some < among").limit(1).count():
+        place = F.row_number().over(Window.partitionBy("key", "size").orderBy("draw"))
+        ties = chosen.where(_tied()).withColumn("copies", (F.col("rounds") + (place <= F.col("some")).cast("int")).cast("int"))
+        out = out.where(~_tied()).unionByName(ties)
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """The mix itself: the rows of docs with all their columns, each as often as mix() takes it."""
-    copies = mix(docs, weights, most, seed).where("copies > 0").groupBy("doc_id", "key", "size", "text_hash").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
-    copies = materialise(copies, "mix-copies")
-    own = docs.withColumns({"__key": key_of(F.col("source")), "__size": size_of(F.col("text")), "__hash": F.xxhash64(F.col("text").cast("string"))})
-    if copies.where("rows > 1").limit(1).count():  # repeated rows share their copies
-        own = own.dropDuplicates(["doc_id", "__key", "__size", "__hash"])
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), F.col("size").alias("__s"), F.col("text_hash").alias("__h"), F.col("copies").alias("__n"))
-    joined = own.join(small(copies), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")) & (F.col("__size") == F.col("__s")) & (F.col("__hash") == F.col("__h")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(docs.columns)
+    """The mix itself: the rows of docs with all their columns, each as often as mix() takes it. Names that begin with two underscores are reserved."""
+    at_workers(docs.sparkSession)
+    own = _sized(docs, seed)
+    rows = materialise(own.select(F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__draw").alias("draw")), "mix-sizes")
+    cuts = _cuts(rows, weights, most)
+    table = cuts.select(F.struct("rounds", "cut", "some", "among").alias("__cut"), F.col("key").alias("__k"), F.col("size").alias("__s"), "key")
+    c, draw = F.col("__cut"), F.col("__draw")
+    joined = own.join(small(table, size=_bytes()).drop("key"), (F.col("__key") == F.col("__k")) & (F.col("__size") == F.col("__s")))
+    tied = (draw == c["cut"]) & (c["some"] < c["among"])
+    out = joined.withColumn("__n", c["rounds"] + (draw <= c["cut"]).cast("int"))
+    if cuts.where("some < among").limit(1).count():  # equal rows share their copies
+        ties = joined.where(tied).dropDuplicates(["__key", "__size", "__draw"]).withColumn("__n", (c["rounds"] * c["among"] + c["some"]).cast("int"))
+        out = out.where(~tied).unionByName(ties)
+    out = out.where("__n > 0 AND __size > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(docs.columns)

@@ -1,9 +1,12 @@
 import itertools
 import math
 import random
+import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillmask.llm import mixing, topk
@@ -107,7 +110,7 @@ def test_mix(spark):
     by = {}
     for x in rows:
         assert x.taken in (0, x.size, 2 * x.size, 3 * x.size)
-        by.setdefault(x.key, [x.source_size, x.target, 0])[2] += x.taken
+        by.setdefault((x.source_size, x.target), [x.source_size, x.target, 0])[2] += x.taken
     assert all(abs(taken - target) <= 2 and target <= 3 * size + 1e-6 for size, target, taken in by.values())
     assert sum(t for _, t, _ in by.values()) == pytest.approx(sum(s for s, _, _ in by.values()))
     again = {(x.doc_id, x.taken) for x in mixing.mix(d.repartition(7)).collect()}
@@ -116,10 +119,52 @@ def test_mix(spark):
     assert out.columns == d.columns and out.select(F.sum(mixing.size_of(F.col("text")))).head()[0] == sum(x.taken for x in rows)
 
 
+def brute_draw(doc_id, text, seed=7):
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    h = h if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), h)
+    return (h if text is None else xxhash.xxh64_intdigest(text.encode(), h)) & ((1 << 63) - 1)
+
+
+def brute_mix(rows):
+    """(doc_id, text, source) -> sorted (doc_id, size, source_size, target, taken): sort each size's documents by draw and take the first."""
+    size = lambda t: len([w for w in re.split(r"[ \t\n\x0b\x0c\r]+", t or "") if w])
+    key = lambda s: "1" if s is None else "0" + s
+    totals = {}
+    for _, t, s in rows:
+        totals[key(s)] = totals.get(key(s), 0) + size(t)
+    aims, out = brute_targets(totals), []
+    for k, total in totals.items():
+        own = [(size(t), brute_draw(i, t), i) for i, t, s in rows if key(s) == k]
+        counts = {}
+        for n, *_ in own:
+            counts[n] = counts.get(n, 0) + 1
+        rounds = min(int(aims[k] // total), 3) if total else 0
+        take = dict(zip(sorted(counts), mixing.fit(sorted(counts), [counts[n] for n in sorted(counts)], round(aims[k]) - rounds * total)))
+        for n in counts:
+            for place, (_, _, i) in enumerate(sorted((x for x in own if x[0] == n), key=lambda x: x[1])):
+                out.append((i, n, total, round(aims[k], 6), (rounds + (place < take[n])) * n))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bits, rows", [(8, 1_000_000), (1, 64)])
+def test_whole_mix_against_brute_force(spark, monkeypatch, bits, rows):
+    """Row by row on a whole table, and on repeated rows, null ids and null sources."""
+    monkeypatch.setattr(mixing, "RANGE_BITS", bits)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", rows)
+    d = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "source")
+    r = random.Random(6)
+    odd = [(r.choice([None, 1, 2, 3]), " ".join(r.choices("ab", k=r.randint(0, 3))) or None, r.choice([None, "x", "y", "z"])) for _ in range(400)]
+    for df in (d, spark.createDataFrame(odd, d.schema)):
+        got = sorted(((x.doc_id, x.size, x.source_size, round(x.target, 6), x.taken) for x in mixing.mix(df).collect()), key=str)
+        assert got == brute_mix([tuple(x) for x in df.collect()])
+        out = mixing.mixed(df)
+        assert out.select(F.sum(mixing.size_of(F.col("text")))).head()[0] == sum(x[4] for x in got)
+
+
 def test_mix_on_odd_rows(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(x.taken == 0 for x in rows if x.doc_id in (1, 2, 3))
-    assert max(x.key for x in rows) == "1" and sum(x.taken for x in rows) == mixing.mixed(odd).select(F.sum(mixing.size_of(F.col("text")))).head()[0]
+    assert sum(x.taken for x in rows) == mixing.mixed(odd).select(F.sum(mixing.size_of(F.col("text")))).head()[0]
     assert mixing.mixed(odd).columns == odd.columns
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
 
