@@ -138,6 +138,17 @@ def discard(*tables: DataFrame) -> None:
             _remove(*store_of(folder))
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder by Spark's own writer and read back; no Python worker takes part."""
+    folder = shared_path(df.sparkSession, label)
+    df.write.parquet(folder)
+    try:
+        _remove_at_exit(folder.rsplit("/", 1)[0])
+    except (pa.ArrowException, OSError):  # a store that pyarrow doesn't know keeps its tables
+        pass
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df, computed once and kept on the executors' disks. Its lineage stays: what a lost executor held is computed again.
 

@@ -191,10 +191,11 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(features: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Gam:
-    """Fits on the labelled documents that aren't held out, `rows` of them at most, chosen by a hash of doc_id."""
+    """Fits on the labelled documents that aren't held out, `rows` of them at most, chosen by a hash of doc_id; texts that share a doc_id all count, equal ones once."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     known = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "gam-labels")
-    sample = features.join(small(known), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select(*FEATURES, (F.col("y") >= 0.5).cast("int").alias("y")).toPandas()
+    sample = features.join(small(known), "doc_id").dropDuplicates(["doc_id", *FEATURES]).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(rows)
+    sample = sample.orderBy("doc_id", *FEATURES).select(*FEATURES, (F.col("y") >= 0.5).cast("int").alias("y")).toPandas()
     return fit(sample[list(FEATURES)].to_numpy(np.float64), sample["y"].to_numpy(np.float64))
 
 

@@ -13,7 +13,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import WORD, keep, settled
+from quillmask.llm.common import WORD, keep, settled, written
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\f\r"
@@ -125,11 +125,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns. Two scans and no shuffle of texts: one fits, one filters."""
-    own = docs.select(*docs.columns, F.col("text").alias("__t"))
-    rows = own.select(F.struct(*docs.columns).alias("__row"), "__t")
-    model = fit(with_signals(own.select("__t"), "__t"))
-    return with_signals(rows, "__t").where(~F.expr(BASE_FAILED) & (model.posterior() >= 0.5)).select("__row.*")
+    """The rows of docs that judge() keeps, with their columns. No shuffle of texts: one scan computes all signals and writes them beside
+    the rows, the fit reads the signals, the filter both. Names that begin with two underscores are reserved."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text").alias("__t"))
+    rows = written(with_signals(rows, "__t").select("__row", F.struct(*SIGNALS).alias("__signals")), "quality-signals")
+    model = fit(rows.select("__signals.*"))
+    return rows.select("__row", "__signals.*").where(~F.expr(BASE_FAILED) & (model.posterior() >= 0.5)).select("__row.*")
 
 
 def _oracle() -> str:

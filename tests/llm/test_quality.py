@@ -1,7 +1,9 @@
 import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,77 @@ def test_held_out_labels_are_not_learned(spark):
     wrong = labels.withColumn("quality", F.when(gam.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     score = lambda y: {x.doc_id: x.score for x in gam.classify(d, y).collect()}
     assert score(labels) == score(wrong)
+
+
+def features(text):
+    """A text's features, one after the other, from characters and lists of words."""
+    text = text or ""
+    data = text.encode()
+    words = [w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", data) if w]
+    n = len(words)
+    if not n:
+        return [0.0] * len(gam.FEATURES)
+    blank = sum(data.count(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+    chars = len(text) - blank
+    count = lambda cs: sum(text.count(c) for c in cs)
+    windows = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    lines = [tuple(x) for x in ([w for w in re.split(r"[ \t\x0b\x0c\r]+", line) if w] for line in text.split("\n")) if x]
+    longest = max(len(m.group()) for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+[ \t\n\x0b\x0c\r]*", data))
+    return [
+        math.log1p(n), chars / n, count("#*$%&|<>") / n, sum("A" <= c <= "Z" for c in text) / chars, sum("0" <= c <= "9" for c in text) / chars, count(".?") / n, count(",;:") / n, count("!") / n, count("()[]{}\"'") / n,
+        sum(ord(c) > 127 for c in text) / chars, text.count("\n") / n, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, 1 - len(set(windows)) / max(1, len(windows)),
+        1 - len(set(lines)) / len(lines), max(words.count(w) for w in set(words)) / n, math.log1p(longest), sum((ord(c) < 32 and c not in "\t\n\x0b\x0c\r") or ord(c) == 127 for c in text) / chars,
+    ]
+
+
+def test_features_against_python(spark, odd):
+    rows = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect() + [(100_000 + i, t) for i, t in enumerate(["", "a\x01 b", "one\n\none two\none", "É é! (x) 12"])]
+    texts = [r[1] for r in rows if len(r[1]) < 40_000]
+    [got] = gam._features(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]))
+    table_ = np.column_stack([np.asarray(c) for c in got.columns[1:]])
+    for t, x in zip(texts, table_):
+        assert x == pytest.approx(features(t), rel=1e-5, abs=1e-6), t[:80]
+
+
+def slow_tree(rows, g, h, bins, depth):
+    """A tree over one feature, by trying every cut over rows: bin -> value."""
+    def total(part):
+        return sum(g[i] for i in part), sum(h[i] for i in part)
+
+    def grow(part, lo, hi, depth):
+        sg, sh = total(part)
+        best = (0.0, 0)
+        for at in range(lo + 1, hi) if depth else ():
+            (gl, hl), (gr, hr) = total([i for i in part if bins[i] < at]), total([i for i in part if bins[i] >= at])
+            gain = gl**2 / (hl + 1) + gr**2 / (hr + 1) - sg**2 / (sh + 1)
+            if hl >= 2.5 and hr >= 2.5 and gain > max(best[0], 1e-9) + 1e-12:
+                best = (gain, at)
+        if not best[1]:
+            return {b: sg / (sh + 1) for b in range(lo, hi)}
+        left, right = [i for i in part if bins[i] < best[1]], [i for i in part if bins[i] >= best[1]]
+        return grow(left, lo, best[1], depth - 1) | grow(right, best[1], hi, depth - 1)
+
+    return grow(list(rows), 0, int(max(bins)) + 1, depth)
+
+
+def test_fit_against_a_slow_one(monkeypatch):
+    """Tables of the first rounds, feature by feature, from cuts tried one by one over rows."""
+    monkeypatch.setattr(gam, "ROUNDS", 3)
+    monkeypatch.setattr(gam, "PAIRS", 0)
+    r = np.random.default_rng(4)
+    x = r.integers(0, 9, (160, 3)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 6) ^ (r.random(160) < 0.1)).astype(float)
+    model = gam.fit(x, y)
+    odds = np.full(160, math.log((y.sum() + 1) / (160 - y.sum() + 1)))
+    tables = [np.zeros(len(e) + 1) for e in model.edges]
+    for _ in range(3):
+        for f in range(3):
+            bins = [int((model.edges[f] <= v).sum()) for v in x[:, f]]
+            p = 1 / (1 + np.exp(-odds))
+            step = slow_tree(range(160), y - p, p * (1 - p), bins, 2)
+            for b, v in step.items():
+                tables[f][b] += 0.2 * max(-4, min(4, v))
+            odds += np.array([0.2 * max(-4, min(4, step[b])) for b in bins])
+    for a, b in zip(model.tables, tables):
+        assert np.allclose(a[: len(b)], b)
+    assert np.allclose(model.odds(x), odds)
