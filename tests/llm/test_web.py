@@ -78,14 +78,12 @@ def test_url_list_over_time(spark):
 
 
 def predicted(text):
-    """The classifier in plain Python."""
+    """The classifier in plain Python: (family, its probability, its coverage), of any paragraph."""
     import numpy as np
 
-    classes, weights, intercept, anchors = licenses.model()
+    classes, weights, intercept, _ = licenses.model()
     w = licenses.words(text)
-    if not set(w) & set(anchors):
-        return None
-    known = [g for g in licenses.grams(w) if g in weights]
+    known = [g for g in {*w, *licenses.bigrams(w)} if g in weights]
     z = sum((np.array(weights[g]) for g in known), np.zeros(len(classes))) / max(1.0, len(known) ** 0.5) + np.array(intercept)
     p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
     family = classes[int(z.argmax())]
@@ -95,37 +93,49 @@ def predicted(text):
 
 def test_licenses(spark, odd, none):
     lines = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.OTHERS + ["Prose before. Released under the MIT License. Prose after it.", "RELEASED UNDER THE MIT LICENSE", "mit", "under the license"]
-    df = spark.createDataFrame([(i, "intro\n" + t + "\nend") for i, t in enumerate(lines)], "doc_id long, text string")
-    got = {x.doc_id: x for x in licenses.scan(df, unknown=True).collect()}
+    df = spark.createDataFrame([(i, "intro\n\n" + t + "\n\nend") for i, t in enumerate(lines)], "doc_id long, text string")
+    got = {x.doc_id: x for x in licenses.scan(df).collect()}
     for i, t in enumerate(lines):
         want = predicted(t)
-        assert (want is None) == (i not in got), t
-        if want:
-            assert got[i].family == want[0] and abs(got[i].probability - want[1]) < 1e-9 and abs(got[i].coverage - want[2]) < 1e-9 and got[i].paragraph == 1
+        assert (want[0] == licenses.UNKNOWN) == (i not in got), t
+        if i in got:
+            assert got[i].family == want[0] and abs(got[i].probability - want[1]) < 1e-9 and abs(got[i].coverage - want[2]) < 1e-9 and got[i].paragraph == got[i].last == 2
     for i, (family, t) in enumerate((f, t) for f, ts in licenses.TEMPLATES.items() for t in ts):
         assert got[i].confirmed and got[i].family == family, t
-    confirmed = {x.doc_id for x in licenses.scan(df).where("confirmed").collect()}
     first = sum(map(len, licenses.TEMPLATES.values()))
-    assert not confirmed & set(range(first, first + len(licenses.OTHERS))) and {first + len(licenses.OTHERS), first + len(licenses.OTHERS) + 1} <= confirmed
+    assert not set(got) & set(range(first, first + len(licenses.OTHERS)))
+    assert got[first + len(licenses.OTHERS)].confirmed and got[first + len(licenses.OTHERS) + 1].confirmed
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_no_row_is_lost_to_anchors(spark):
+    """Every line of a whole table by the model alone, without the gate: the same rows of known families."""
+    from quillmask.llm.common import table
+
+    d = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["mit und mit der Zeit", "licenza pubblica", "the file of this software", "public general commons", "x\nversion 3 of the license\nmit"])], d.schema)
+    rows = d.union(more)
+    want = {(x.doc_id, i): predicted(line)[0] for x in rows.collect() for i, line in enumerate(x.text.split("\n"))}
+    got = {(x.doc_id, x.paragraph): x.family for x in licenses.scan(rows).where("paragraph = last").collect()}
+    assert got == {k: f for k, f in want.items() if f != licenses.UNKNOWN} and got
+
+
+def test_left_out_texts():
+    """What is told right of texts that the model hasn't seen; no sentence that is no notice comes near a family."""
+    _, _, _, right, worst = licenses.trained()
+    assert right >= 0.8 and worst < licenses.PROBABILITY
+
+
 def test_wrapped_notices(spark):
     """Notices over several lines, as comments, after other lines, two in a text; a blank line parts paragraphs."""
     bsd = "Redistribution and use in source and binary forms, with or without\n{0}modification, are permitted provided that the following conditions are met"
     gpl = "{0}This program is free software: you can redistribute it\n{0}and/or modify it under the terms of the GNU General\n{0}Public License as published by the Free Software Foundation"
-    texts = [bsd.format(""), "# " + bsd.format("# "), "/*\n" + gpl.format(" * ") + "\n */", "intro\n\n" + bsd.format("") + "\n\n" + gpl.format(""), bsd.format("\n"), "Released under the MIT License.\nMore prose."]
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files (the \"Software\"), to deal in it"
+    apache = 'Licensed under the Apache License,\nVersion 2.0 (the "License"); you may not use this\nfile except in compliance with the License.'
+    texts = [bsd.format(""), "# " + bsd.format("# "), "/*\n" + gpl.format(" * ") + "\n */", "intro\n\n" + bsd.format("") + "\n\n" + gpl.format(""), bsd.format("\n"), "Released under the MIT License.\nMore prose.", mit, "Prose first.\n" + apache, mit + "\n" + apache]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((x.doc_id, x.paragraph, x.family[:3]) for x in licenses.scan(df).where("confirmed").dropDuplicates(["doc_id", "paragraph"]).collect())
-    assert got == [(0, 0, "bsd"), (1, 0, "bsd"), (2, 1, "gpl"), (3, 2, "bsd"), (3, 5, "gpl"), (5, 0, "mit")]
-
-
-def test_no_template_is_covered_without_an_anchor():
-    anchors = set(licenses.anchors())
-    for ts in licenses.TEMPLATES.values():
-        for t in ts:
-            pairs = licenses.bigrams(licenses.words(t))
-            assert sum(not anchors & set(p.split(" ")) for p in pairs) < licenses.COVERAGE * len(pairs)
+    got = sorted({(x.doc_id, x.paragraph, x.family[:3]) for x in licenses.scan(df).where("confirmed").collect()})
+    assert got == [(0, 0, "bsd"), (1, 0, "bsd"), (2, 1, "gpl"), (3, 2, "bsd"), (3, 5, "gpl"), (5, 0, "mit"), (6, 0, "mit"), (7, 0, "apa"), (8, 0, "apa"), (8, 0, "mit")]
 
 
 def test_planted_license_lines(spark):
