@@ -5,6 +5,9 @@ second best, run over all distinct units of a batch at once, by length. The N be
 the N - 1 units whose second best is nearest, so a backward A-star search runs over the piece lattice of just these, with their forward
 Viterbi scores as exact heuristics: its first N complete paths are the N best of the text.
 
+For a BPE model the ids that its tokenizer gives come from merges in their order, not from sums of scores; these are computed as well,
+unit by unit, by the library itself. For a unigram model they are the best segmentation.
+
 A segmentation's score is the sum of its pieces' scores in the model file. A character without a piece of its own is spelled in byte
 pieces, together 10 below the lowest score. Spaces are kept as they are, and a space is put before the text; decoding takes it away.
 """
@@ -34,7 +37,7 @@ _rng = np.random.default_rng(4242)
 _LETTERS = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(4096, _BASE)]))
-ENCODED = "doc_id bigint, ids array<int>, score double, alternatives array<struct<score: double, edits: array<struct<at: int, n: int, ids: array<int>>>>>, round_trip boolean"
+ENCODED = "doc_id bigint, ids array<int>, best array<int>, score double, alternatives array<struct<score: double, edits: array<struct<at: int, n: int, ids: array<int>>>>>, round_trip boolean"
 
 
 def default_model() -> str:
@@ -61,6 +64,9 @@ class Model:
     filter: np.ndarray
     longest: int
     cuts: np.ndarray  # bytes that are units of their own
+    merges: object  # the library's processor, for a BPE model
+    lead: bytes  # a byte that is a unit of its own, and how many ids it takes with the space before it
+    lead_ids: int
 
 
 @lru_cache(4)
@@ -86,7 +92,40 @@ def load(path: str) -> Model:
     flags[keys & np.uint64(FILTER - 1)] = True
     inside = {b for s in ids if len(s) > 1 for b in s}
     cuts = np.array([b < 0x80 and b != SPACE and b not in inside for b in range(256)])
-    return Model(ids, scores, surface, byte_ids, float(scores[plain].min()) - 10, keys[order], np.array(list(ids.values()))[order], flags, max(map(len, ids)), cuts)
+    bpe = is_bpe(open(path, "rb").read())
+    lead = bytes([next(b for b in range(1, 128) if cuts[b])]) if cuts.any() else b""
+    lead_ids = len(sp.encode(lead.decode())) if bpe and lead else 0
+    return Model(ids, scores, surface, byte_ids, float(scores[plain].min()) - 10, keys[order], np.array(list(ids.values()))[order], flags, max(map(len, ids)), cuts, sp if bpe else None, lead, lead_ids)
+
+
+def is_bpe(proto: bytes) -> bool:
+    """Whether a model file says that its pieces are merges: model_type, field 3 of trainer_spec, field 2 of the file, is 2."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            out = shift = 0
+            while True:
+                out |= (data[at] & 127) << shift
+                at, shift = at + 1, shift + 7
+                if data[at - 1] < 128:
+                    return out
+
+        while at < len(data):
+            tag = number()
+            if tag & 7 == 0:
+                yield tag >> 3, number()
+            elif tag & 7 == 2:
+                n = number()
+                yield tag >> 3, data[at : at + n]
+                at += n
+            else:
+                at += 8 if tag & 7 == 1 else 4
+
+    spec = next((v for k, v in fields(proto) if k == 2), b"")
+    return dict(fields(spec)).get(3, 1) == 2
 
 
 def edges(m: Model, unit: bytes) -> list[list[tuple[int, int, float]]]:
@@ -137,18 +176,35 @@ def n_best(lattice: list[list[tuple[int, int, float]]], n: int) -> list[tuple[fl
         if best[at] > -np.inf:
             for end, i, s in out:
                 into[end].append((at, i, s))
-    queue: list[tuple] = [(-best[-1], (), len(lattice), 0.0)]
-    found = []
+    # sums of the same scores in another order differ in their last bits; of equal ones the path that is nearer to the start goes on,
+    # so that the search runs straight to the start however many ties there are
+    grain = max(1e-9, abs(best[-1]) * 1e-12)
+    queue: list[tuple] = [(round(-best[-1] / grain), len(lattice), 0, 0.0, None)]
+    found, number = [], 0
     while queue and len(found) < n:
-        cost, path, at, tail = heapq.heappop(queue)
+        _, at, _, tail, path = heapq.heappop(queue)
         if at == 0:
-            found.append((-cost, list(path)))
+            ids, link = [], path
+            while link:
+                i, link = link
+                ids.append(i)
+            found.append((tail, ids))
             continue
         for begin, i, s in into[at]:
-            heapq.heappush(queue, (-(best[begin] + s + tail), (i, *path), begin, tail + s))
+            number += 1
+            heapq.heappush(queue, (round(-(best[begin] + s + tail) / grain), begin, number, tail + s, (i, path)))
     return found
 
 
+def merged(m: Model, units: list[bytes]) -> list[list[int]]:
+    """The ids that the model's own tokenizer gives for each unit; merges never cross units."""
+    # the library puts a space before a text; a unit without one goes behind a byte that merges with nothing
+    bare = [u if u[:1] != b" " else u[1:] for u in units]
+    texts = [x if u[:1] == b" " else m.lead + x for x, u in zip(bare, units)]
+    out = m.merges.encode([t.decode() for t in texts], num_threads=1)
+    return [[m.ids[u]] if u == b" " else ids if u[:1] == b" " else ids[m.lead_ids :] for ids, u in zip(out, units)]
+
+
 def _viterbi(m: Model, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """units: n x length bytes -> best scores, distance to the second best (inf: none), ids in rows padded by -1 on the left, their numbers."""
     n, size = units.shape
@@ -207,8 +263,8 @@ def gather(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - counts), counts)]
 
 
-def segment(m: Model, text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """The best ids of all texts on end, the places where texts begin and end, scores, and for each text its other n - 1 best."""
+def segment(m: Model, text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
+    """The best ids of all texts on end, the places where texts begin and end, scores, for each text its other n - 1 best, and the tokenizer's own ids and their places."""
     raw, ends = utf8(text)
     k = len(ends) - 1
     lengths = np.diff(ends)
@@ -219,7 +275,7 @@ def segment(m: Model, text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, n
     data[np.arange(len(raw)) + np.repeat(np.cumsum(shown), lengths)] = raw
     none = np.zeros(0, np.int64)
     if not len(data):
-        return none, np.zeros(k + 1, np.int64), np.zeros(k), [[] for _ in range(k)]
+        return none, np.zeros(k + 1, np.int64), np.zeros(k), [[] for _ in range(k)], none, np.zeros(k + 1, np.int64)
     space, lone = data == SPACE, m.cuts[data]
     begins = space.copy()
     begins[1:] &= ~space[:-1]
@@ -271,7 +327,17 @@ def segment(m: Model, text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, n
     for i, rest in enumerate(others):
         for o in rest:
             o["score"] += best[i]
-    return ids, ids_at[unit_at], best, others
+    if m.merges is None:
+        return ids, ids_at[unit_at], best, others, ids, ids_at[unit_at]
+    u_bytes = [data[f : f + z].tobytes() for f, z in zip(u_first.tolist(), u_size.tolist())]
+    own, flat_ids = merged(m, u_bytes), np.concatenate(flat)
+    for j, u in enumerate(u_bytes):
+        if MARK.encode() in u:  # the library reads a text's own mark as a space
+            own[j] = flat_ids[begin[j] : begin[j] + count[j]].tolist()
+    sizes_of = np.array([len(x) for x in own])
+    own_counts = sizes_of[unit]
+    own_ids = gather(np.array([i for x in own for i in x], np.int32), (np.cumsum(sizes_of) - sizes_of)[unit], own_counts)
+    return ids, ids_at[unit_at], best, others, own_ids, np.concatenate([[0], np.cumsum(own_counts)])[unit_at]
 
 
 def _others(m: Model, data, first, sizes, ids_at, gap: np.ndarray, lo: int, n: int, ids: np.ndarray) -> list[dict]:
@@ -323,33 +389,37 @@ def _model(path: str) -> Model:
 
 def _encode(path: str, n: int):
     alternative = pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))])
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("alternatives", pa.list_(alternative)), ("round_trip", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("best", pa.list_(pa.int32())), ("score", pa.float64()), ("alternatives", pa.list_(alternative)), ("round_trip", pa.bool_())])
 
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(path)
         for b in pieces(it, 1, BYTES):
             wide = pa.schema([*schema, *(b.schema.field(i) for i in range(2, b.num_columns))])
-            ids, at, scores, others = segment(m, b.column(1), n)
+            best, best_at, scores, others, ids, at = segment(m, b.column(1), n)
             raw, ends = utf8(b.column(1))
             raw = raw.tobytes()
-            same = [x == raw[lo:hi] for x, lo, hi in zip(decode_all(m, ids, at), ends.tolist(), ends[1:].tolist())]
-            yield batch(wide, b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), scores, others, same, *b.columns[2:])
+            same = [x == y == raw[lo:hi] for x, y, lo, hi in zip(decode_all(m, ids, at), decode_all(m, best, best_at), ends.tolist(), ends[1:].tolist())]
+            lists = (pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(values, pa.int32())) for places, values in ((at, ids), (best_at, best)))
+            yield batch(wide, b.column(0), *lists, scores, others, same, *(b.column(i) for i in range(2, b.num_columns)))
 
     return fn
 
 
 def encode(docs: DataFrame, n: int = 4, model: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, ids, score, alternatives, round_trip; one row for each row of docs.
-
-    ids is the best segmentation, score its sum of piece scores, alternatives the second to nth best as their scores and what they
-    change in ids (at `at`, n ids become others); fewer if there are no more. Of equal scores any may come first, always the same one.
-    Null and empty texts have no ids and score 0. doc_ids may be null or repeat; of
-    the other columns only those named by `carry` stay, behind. The model file's path must
-    be readable on the executors, or be sent there by spark.sparkContext.addFile.
+    """docs(doc_id, text, ...) -> doc_id, ids, best, score, alternatives, round_trip; one row for each row of docs.
+
+    ids are those of the model's own tokenizer, but for words that hold the mark U+2581, which it would decode as a space: these have
+    the ids of best. best is the best segmentation of the piece lattice, score its sum of piece scores,
+    alternatives the second to nth best as their scores and what they change in best (at `at`, n ids become others); fewer if there are
+    no more. Of equal scores any may come first, always the same one. round_trip says that both decode to the text. Null and empty texts
+    have no ids and score 0. doc_ids may be null or repeat; of the other columns only those named by `carry` stay, behind, as
+    carried_NAME where the name is taken. The model file's path must be readable on the executors, or be sent there by spark.sparkContext.addFile.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return arrow_map(rows, _encode(model or default_model(), n), ENCODED + kinds)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"__{c}") for c in carry])
+    kinds = "".join(f", `__{c}` {rows.schema[f'__{c}'].dataType.simpleString()}" for c in carry)
+    out = arrow_map(rows, _encode(model or default_model(), n), ENCODED + kinds)
+    made = out.columns[: len(out.columns) - len(carry)]
+    return out.select(*made, *[F.col(f"__{c}").alias(f"carried_{c}" if c in made else c) for c in carry])
 
 
 def _decode(path: str):

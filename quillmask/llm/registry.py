@@ -40,12 +40,13 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(table(spark, sf_dir, "documents")).drop("text_hash", "all_spans")
+    rows = pii.find_pii(table(spark, sf_dir, "documents"))
+    return rows.withColumn("n_spans", F.size("all_spans").cast("bigint")).drop("text_hash", "all_spans")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encode(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "ids", F.size("ids").alias("n_pieces"), "score", F.col("alternatives.score").alias("next_scores"), "round_trip")
+    return rows.select("doc_id", "ids", F.size("ids").alias("n_pieces"), "best", "score", F.col("alternatives.score").alias("next_scores"), "round_trip")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
