@@ -173,6 +173,28 @@ def reset(history: DataFrame, items: DataFrame) -> DataFrame:
     return history.join(affected, KEY, "left_anti")
 
 
+def dismissals(items: DataFrame, chosen: DataFrame, also_linked: bool) -> DataFrame:
+    """Events(KEY, decision) that dismiss the chosen spans, with `also_linked` all undecided ones of the same text and type in their document as well.
+
+    A dismissal has two steps: the first shows what is linked, by linked_to(); the second is this.
+    """
+    own = items.join(chosen.select(*KEY), KEY, "left_semi")
+    if also_linked:
+        own = own.select(*KEY).union(linked_to(items, chosen).where("decision IS NULL").select(*KEY)).distinct()
+    return own.select(*KEY, F.when(F.col("span_type") == "risk_flag", "dismiss").otherwise("reject").alias("decision"))
+
+
+def linked_to(items: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The other items with the text, document and type of a chosen one."""
+    texts = items.join(chosen.select(*KEY), KEY, "left_semi").select("doc_id", "span_type", "text").distinct()
+    return items.join(texts, ["doc_id", "span_type", "text"], "left_semi").join(chosen.select(*KEY), KEY, "left_anti")
+
+
+def reset_all(history: DataFrame, docs: DataFrame) -> DataFrame:
+    """history without any entry of these documents."""
+    return history.join(docs.select("doc_id"), "doc_id", "left_anti")
+
+
 def log_tail(log: DataFrame, n: int = 3) -> DataFrame:
     """The last n entries of each document's log."""
     return log.withColumn("__r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("seq")))).where(F.col("__r") <= n).drop("__r")

@@ -111,3 +111,8 @@ def sanitise(docs: DataFrame, spans: DataFrame, mode: str, style: str = "bars",
         return out.select("doc_id", F.lit(mode).alias("mode"), F.lit(style).alias("redaction_style"), "content", F.lit(None).cast("map<string, string>").alias("mapping"), F.col("redaction_count").cast("bigint").alias("count"))
     out = pseudonymise(docs, spans, existing)
     return out.select("doc_id", F.lit(mode).alias("mode"), F.lit(None).cast("string").alias("redaction_style"), "content", "mapping", F.col("mapping_count").alias("count"))
+
+
+def output_rows(sanitised: DataFrame, at: Column | None = None) -> DataFrame:
+    """Rows of sanitise() as the table of outputs stores them, with the time, now unless given, at which they were made."""
+    return sanitised.select("doc_id", "mode", "redaction_style", "content", "mapping", (F.current_timestamp() if at is None else at).alias("created_at"))

@@ -14,7 +14,7 @@ from quillmask.operators import detect, reconcile, review, sanitise
 from quillmask.operators.ensemble import ensemble, stored
 from quillmask.plans import oracle as O
 from quillmask.plans.fixture import PERSON, TEXTS, recogniser
-from quillmask.sources import tables
+from quillmask.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -501,6 +501,41 @@ def conversations_clean(spark, sf_dir):
     return c.agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {O.STORED}, n AS (SELECT doc_id, count(*) FILTER (span_type = 'detector') AS d, count(*) FILTER (span_type = 'risk_flag') AS r FROM spans GROUP BY doc_id)
+SELECT docs.doc_id, length(text)::INT AS char_count, coalesce(d, 0) AS detector_count, coalesce(r, 0) AS risk_count FROM docs LEFT JOIN n USING (doc_id)""")
+def upload_counts(spark, sf_dir):
+    return files.with_counts(docs(spark, sf_dir), *stored(_found(spark, sf_dir)))
+
+
+@query(f"""WITH {O.STORED}, {O.spliced(chr(39) + '[REDACTED]' + chr(39))} SELECT doc_id, 'redact' AS mode, 'brackets' AS redaction_style, content, TIMESTAMP '2024-01-01' + INTERVAL (doc_id % 28) DAY AS created_at FROM content""")
+def stored_outputs(spark, sf_dir):
+    """Outputs as they are stored, newest first."""
+    rows = sanitise.sanitise(every(spark, sf_dir), _approved(spark, sf_dir), "redact", "brackets")
+    made = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(doc_id % 28 as int))")
+    return tables.outputs_of(sanitise.output_rows(rows, made)).drop("mapping")
+
+
+@query(f"""WITH {O.STORED} SELECT doc_id, span_type, span_id, start, text, category, array_to_string(sources, ',') AS sources FROM spans""")
+def json_rows(spark, sf_dir):
+    """Stored spans written as JSON objects and read back."""
+    spans = _spans(spark, sf_dir).select("doc_id", "span_type", "span_id", "start", "text", "category", "sources")
+    back = files.from_json_rows(files.to_json_rows(spans), spans.schema)
+    return back.withColumn("sources", F.array_join("sources", ","))
+
+
+@query(f"""WITH {O.STORED}, c AS (SELECT * FROM items WHERE start % 7 = 0) SELECT doc_id, span_type, span_id, CASE WHEN span_type = 'risk_flag' THEN 'dismiss' ELSE 'reject' END AS decision FROM items i
+WHERE start % 7 = 0 OR (decision IS NULL AND EXISTS (SELECT 1 FROM c WHERE c.doc_id = i.doc_id AND c.span_type = i.span_type AND c.text = i.text))""")
+def linked_dismissals(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    items = review.review_items(spans, _events(spans))
+    return review.dismissals(items, items.where("start % 7 = 0"), True)
+
+
+@query(f"WITH {O.STORED} SELECT doc_id, span_type, span_id, seq FROM events WHERE doc_id % 3 <> 0")
+def reset_everything(spark, sf_dir):
+    return review.reset_all(_events(_spans(spark, sf_dir)), docs(spark, sf_dir).where("doc_id % 3 = 0")).select(*review.KEY, "seq")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble_by_type(spark, sf_dir)
 

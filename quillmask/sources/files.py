@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -101,3 +102,15 @@ def write_texts(outputs: DataFrame, path: str) -> None:
 def to_json_rows(df: DataFrame) -> DataFrame:
     """One column, json, with each row as an object."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json_rows(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The rows that to_json_rows() wrote; what isn't an object of the schema gives nulls."""
+    return rows.select(F.from_json("json", schema).alias("x")).select("x.*")
+
+
+def with_counts(docs: DataFrame, detector: DataFrame, risk: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, char_count, detector_count, risk_count: what an upload answers once its spans are stored."""
+    count = lambda spans, name: spans.groupBy("doc_id").agg(F.count("*").alias(name))
+    rows = docs.select("doc_id", F.length("text").alias("char_count")).join(count(detector, "detector_count"), "doc_id", "left").join(count(risk, "risk_count"), "doc_id", "left")
+    return rows.select("doc_id", "char_count", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("detector_count", "risk_count")])

@@ -34,20 +34,26 @@ def decisions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def keep_latest(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Folds each batch of events into a table of latest decisions, one folder a batch; the last folder is the state."""
+    """Appends each batch's last event of every span to a log, one folder a batch, which a repeated batch replaces. Nothing that was written is read again or rewritten."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*KEY, "decision", "seq")
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/batch={number - 1}").select(*KEY, "decision", "seq"))
-        # a withdrawal is kept, as an older event may still come
-        last = rows.groupBy(*KEY).agg(F.max_by(F.struct("decision"), "seq").alias("e"), F.max("seq").alias("seq"))
-        last.select(*KEY, F.col("e.decision").alias("decision"), "seq").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _last(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def state(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """The decisions that hold after a batch."""
-    return latest_decisions(spark.read.parquet(f"{path}/batch={number}"))
+def _last(events: DataFrame) -> DataFrame:
+    """The last event of each span; a withdrawal is one, as an older event may still come."""
+    last = events.groupBy(*KEY).agg(F.max_by(F.struct("decision"), "seq").alias("e"), F.max("seq").alias("seq"))
+    return last.select(*KEY, F.col("e.decision").alias("decision"), "seq")
+
+
+def state(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The decisions that hold after all batches, or after one of them."""
+    log = spark.read.parquet(path)
+    return latest_decisions(log if number is None else log.where(F.col("batch") <= number))
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Writes a log's last events to another folder, as a log of one batch; for the time when a log has many."""
+    _last(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{target}/batch=0")

@@ -72,3 +72,11 @@ def test_stream_of_decisions(spark, tmp_path):
     first.select("doc_id", "span_type", "span_id", F.lit("reject").alias("decision"), F.lit(2).cast("long").alias("seq"), F.expr("timestamp'2024-01-01 00:10:00'").alias("at")).write.mode("append").parquet(source)
     pipeline.keep_latest(pipeline.decisions(read()), out, str(tmp_path / "cp")).awaitTermination(120)
     assert state() == [(1, "reject")]
+    assert [(x.span_id, x.decision) for x in pipeline.state(spark, out, 0).collect()] == [(1, "approve")]
+    pipeline.compact(spark, out, str(tmp_path / "log"))
+    assert [(x.span_id, x.decision) for x in pipeline.state(spark, str(tmp_path / "log")).collect()] == [(1, "reject")]
+
+
+def test_rows_as_json_and_back(spark):
+    df = spark.createDataFrame([(1, "é \\"x\\"", ["a", None], {"k": "v"}), (2, None, None, None)], "doc_id long, text string, sources array<string>, mapping map<string, string>")
+    assert sorted(files.from_json_rows(files.to_json_rows(df), df.schema).collect()) == sorted(df.collect())
