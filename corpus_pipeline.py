@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmask.llm import mixing, near_dedup, pieces, pii, quality_rules
-from quillmask.llm.common import materialise
+from quillmask.llm.common import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_pieces, score and second, the next best segmentation's score, of every document; one row for each copy."""
+    """doc_id, lang, source, the tokenizer's ids, n_pieces, and the scores of the best and of the next best segmentation, of every document; one row for each copy."""
     rows = pieces.encode(docs, n=2, carry=("lang", "source"))
     return rows.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_pieces"), "score", F.get("alternatives", F.lit(0))["score"].alias("second"))
 
@@ -44,10 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder by Spark's own writer and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{i}")
+            docs = written(docs, f"stage-{i}")
     return docs
