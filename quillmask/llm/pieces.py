@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import importlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -41,7 +42,9 @@ ENCODED = "doc_id bigint, ids array<int>, best array<int>, score double, alterna
 
 
 def default_model() -> str:
-    """Path of the installed public model with byte fallback."""
+    """Path of a model file with byte fallback: QUILLMASK_PIECE_MODEL, or else that of the package public_tokenizers, where there is one."""
+    if path := os.environ.get("QUILLMASK_PIECE_MODEL"):
+        return path
     return importlib.import_module("public_tokenizers").path("piece_bpe_32k.model")
 
 
@@ -382,8 +385,6 @@ def decode_all(m: Model, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def _model(path: str) -> Model:
-    import os
-
     return load(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
 
 
