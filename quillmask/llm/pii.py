@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers. These seeds induce lexical patterns: the two words
-before a seed. A pattern is as good as the share of all its occurrences in the corpus that are followed by an identifier, and an
-unseen identifier is as good as the patterns that it follows; Spark scores this bipartite graph of patterns and instances in rounds.
-Patterns that end above a confidence mark further spans: tokens of a looser shape than the base patterns allow.
-
-Two scans: one for the seeds, one that counts every occurrence of a supported pattern and extracts what follows. The second looks
-patterns up in a bitmap of a fixed size; what its collisions let through is dropped by an exact join.
+Base patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers. These seeds induce lexical patterns: the one or two
+words before a seed, or after it, in lower case and with every digit as 0. A pattern is as good as the share of all its occurrences in
+the corpus that stand beside an identifier, and an unseen identifier is as good as the patterns that it stands beside; Spark scores this
+bipartite graph of patterns and instances in rounds. Identifiers that end above a confidence are promoted: they induce patterns in turn,
+and so on until no new pattern has support. What confident patterns then mark are tokens of a looser shape than the base patterns allow.
+
+One scan finds the seeds; each turn scans once more, counts every occurrence of its new patterns and extracts what stands beside them.
+It looks patterns up in a bitmap of a fixed size; what its collisions let through is dropped by an exact join.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import arrow_map, batch, materialise, mix, pieces, small, utf8, word_hashes
+from quillmask.llm.common import LOWER, arrow_map, batch, empty, materialise, mix, pieces, small, utf8, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, the confidence that marks spans, rounds of scoring, and bits of the patterns' bitmap.
+#: Distinct identifiers that a pattern needs, the confidence that marks spans, rounds of scoring, and bits of the patterns' bitmap.
 SUPPORT, CONFIDENCE, ROUNDS, BITMAP = 3, 0.8, 3, 1 << 22
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -33,7 +34,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What may follow a pattern of each kind, from the start of a word on; the text up to the next line break is offered.
+#: What may stand beside a pattern, by kind, within a line.
 _SHAPES = {
     "email": re.compile(r"[\w.%+'-]+ ?(?:@|\(at\)|\[at\]|\{at\}) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+)*", re.I),
     "ip": re.compile(r"[0-9]{1,3}(?:(?:\.|\[\.\]|,)[0-9]{1,3}){3}(?![0-9])|(?:[0-9a-f]{1,4}:){2,7}[0-9a-f]{0,4}(?:::?[0-9a-f]{1,4})*", re.I),
@@ -41,9 +42,13 @@ _SHAPES = {
     "phone": re.compile(r"(?:\+ ?)?\(?[0-9](?:[ ()./-]{0,3}[0-9]){6,14}(?![0-9])"),
 }
 _MARK = np.zeros(256, bool)
-_MARK[list(b"0123456789@")] = True
-_AT = re.compile(rb"[\(\[\{]at[\)\]\}]", re.I)
-_C = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93], np.uint64)
+_MARK[list(b"0123456789@([{:")] = True
+_C = np.random.default_rng(77).integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHAPE = LOWER.copy()
+_SHAPE[48:58] = 48
+#: What may follow an identifier in its word.
+_TAIL = re.compile(r"[^\x20\x09-\x0D0-9A-Za-z]*")
+_CLOSING = ".,;:!?\"'"
 
 
 def luhn(digits: str) -> bool:
@@ -85,98 +90,172 @@ def described(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def context(text: str, start: int) -> str | None:
-    """The two words before a span that begins a word."""
-    if start == 0 or _WORD.match(text[start - 1]):
-        return None
-    for reach in (200, start):
-        at = max(0, start - reach)
-        words = _WORD.findall(text, at, start)
-        if len(words) > 2 or at == 0:
-            break
-    return " ".join(words[-2:]) if len(words) >= 2 else None
-
-
-def pattern_hashes(h: np.ndarray) -> np.ndarray:
-    """For each word but the last: the hash of it and the next."""
-    return mix(h[:-1] * _C[0] + h[1:] * _C[1])
+def beside(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """Up to two words before a span, if it begins a word, and up to two after it, if letters and digits of its last word end with it."""
+    before: list[str] = []
+    if start and not _WORD.match(text[start - 1]):
+        for reach in (200, start):
+            at = max(0, start - reach)
+            before = _WORD.findall(text, at, start)
+            if len(before) > 2 or at == 0:
+                break
+    after: list[str] = []
+    rest = _TAIL.match(text, end).end()
+    if rest == len(text) or not _WORD.match(text[rest]):
+        for m in _WORD.finditer(text, rest):
+            after.append(m.group())
+            if len(after) == 2:
+                break
+    return before[-2:], after
+
+
+def _pairs(h: np.ndarray, side: int) -> np.ndarray:
+    """The pattern of each word but the last and its next, before (0) or after (1) an identifier."""
+    return mix(h[:-1] * _C[3 * side] + h[1:] * _C[3 * side + 1])
+
+
+def _ones(h: np.ndarray, side: int) -> np.ndarray:
+    return mix(h * _C[3 * side + 2])
+
+
+def patterns_of(places: list[tuple[list[str], list[str]]]) -> list[list[int]]:
+    """The patterns that the words beside each span make up, as hashes."""
+    flat = [w for sides in places for words in sides for w in words]
+    if not flat:
+        return [[] for _ in places]
+    data, bounds = utf8(pa.array(flat, pa.string()))
+    h, _, _ = word_hashes(_SHAPE[data], bounds, lower=False)
+    out, at = [], 0
+    for before, after in places:
+        b, a = h[at : at + len(before)], h[at + len(before) : at + len(before) + len(after)]
+        at += len(before) + len(after)
+        own = [_ones(b[-1:], 0), _pairs(b, 0) if len(b) > 1 else b[:0], _ones(a[:1], 1), _pairs(a, 1) if len(a) > 1 else a[:0]]
+        out.append(np.concatenate(own).view(np.int64).tolist())
+    return out
 
 
 def _seeds(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, text) -> per row its base spans and the seeds (kind, pattern, instance)."""
-    seed = pa.struct([("kind", pa.int32()), ("pattern", pa.int64()), ("instance", pa.string())])
+    """(doc_id, text_hash, text) -> per row its base spans and the seeds (kind, instance, patterns)."""
+    seed = pa.struct([("kind", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.int64()))])
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64())] + [(f"n_{k}", pa.int64()) for k in KINDS] + [("base", pa.string()), ("base_sha256", pa.string()), ("seeds", pa.list_(seed))])
     for b in pieces(it, 2):
         text = b.column(2)
         worth = pc.fill_null(pc.or_(pc.match_substring(text, "@"), pc.match_substring_regex(text, "[0-9]")), False).to_pylist()
         spans: list[list] = [[] for _ in worth]
-        who, kinds, contexts, instances = [], [], [], []
+        who, kinds, places, instances = [], [], [], []
         for i, hit in enumerate(worth):
             if hit:
                 t = text[i].as_py()
                 spans[i] = base_spans(t)
                 for s, e, k in spans[i]:
-                    if (c := context(t, s)) is not None:
-                        who.append(i)
-                        kinds.append(k)
-                        contexts.append(c)
-                        instances.append(t[s:e].lower())
+                    who.append(i)
+                    kinds.append(k)
+                    places.append(beside(t, s, e))
+                    instances.append(t[s:e].lower())
         seeds: list[list] = [[] for _ in worth]
-        if contexts:
-            data, bounds = utf8(pa.array(contexts, pa.string()))
-            h, _, _ = word_hashes(data, bounds, lower=True)
-            for i, k, p, x in zip(who, kinds, pattern_hashes(h)[::2].view(np.int64).tolist(), instances):
-                seeds[i].append({"kind": k, "pattern": p, "instance": x})
+        for i, k, x, p in zip(who, kinds, instances, patterns_of(places)):
+            if p:
+                seeds[i].append({"kind": k, "instance": x, "patterns": p})
         base = [described(s) for s in spans]
         counts = [[sum(x[2] == k for x in s) for s in spans] for k in range(len(KINDS))]
         yield batch(schema, b.column(0), b.column(1), *counts, base, [hashlib.sha256(x.encode()).hexdigest() for x in base], seeds)
 
 
+class _Text:
+    """A text whose identifiers are looked for from a byte on, or up to one."""
+
+    def __init__(self, raw: np.ndarray):
+        self.text = raw.tobytes().decode(errors="replace")
+        self.place = np.cumsum((raw & 0xC0) != 0x80) - 1
+        self.stop, self.lines = -1, {}
+
+    def onward(self, byte: int) -> Iterator[tuple[int, int, int]]:
+        """(kind, start, end) of what begins with the word at a byte."""
+        start = int(self.place[byte])
+        if start > self.stop:
+            self.stop = self.text.find("\n", start)
+            self.stop = len(self.text) if self.stop < 0 else self.stop
+        for k, kind in enumerate(KINDS):
+            if m := _SHAPES[kind].match(self.text, start, self.stop):
+                yield k, start, m.end()
+
+    def back(self, byte: int) -> Iterator[tuple[int, int, int]]:
+        """(kind, start, end) of what ends with the word before the one at a byte, but for closing marks, on its line. A line is searched once."""
+        end = len(self.text[: int(self.place[byte])].rstrip(" \t\n\x0b\f\r")) if byte < len(self.place) else len(self.text)
+        while end and self.text[end - 1] in _CLOSING:
+            end -= 1
+        line = self.text.rfind("\n", 0, end) + 1
+        if line not in self.lines:
+            stop = self.text.find("\n", line)
+            found: dict[int, list] = {}
+            for k, kind in enumerate(KINDS):
+                for m in _SHAPES[kind].finditer(self.text, line, len(self.text) if stop < 0 else stop):
+                    if m.start() == line or not _WORD.match(self.text[m.start() - 1]):
+                        found.setdefault(m.end(), []).append((k, m.start(), m.end()))
+            self.lines[line] = found
+        yield from self.lines[line].get(end, ())
+
+
+_OCCURRENCE = [("pattern", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.int64()))]
+
+
 def _occurrences(bitmap: bytes):
-    """(doc_id, text_hash, text) -> (pattern, n) for how often each listed pattern occurs, and what identifiers follow it."""
+    """(doc_id, text_hash, text) -> (pattern, n) for how often each listed pattern occurs, and the identifiers that stand beside it, with the patterns beside them."""
     bits = np.frombuffer(bitmap, np.uint8)
-    schema = pa.schema([("pattern", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string())])
+    schema = pa.schema(_OCCURRENCE)
+
+    def listed(p: np.ndarray) -> np.ndarray:
+        slot = p & np.uint64(BITMAP - 1)
+        return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
     def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(it, 2):
             data, bounds = utf8(b.column(2))
-            h, first, at = word_hashes(data, bounds, lower=True)
-            if len(h) < 2:
+            h, first, at = word_hashes(_SHAPE[data], bounds, lower=False)
+            if not len(h):
                 continue
-            p = pattern_hashes(h)
-            slot = p & np.uint64(BITMAP - 1)
-            hit = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            inner = at[1:-1]
-            hit[inner[(inner > 0) & (inner < len(h))] - 1] = False  # not across texts
-            where = np.flatnonzero(hit)
-            if not len(where):
+            marked = np.add.reduceat(_MARK[data], first, dtype=np.int64) > 0
+            joint = np.ones(len(h), bool)  # whether a word and the one before are of one text
+            joint[at[:-1][at[:-1] < len(h)]] = False
+            near = marked.copy()  # or a neighbour in the same text is
+            near[:-1] |= marked[1:] & joint[1:]
+            near[1:] |= marked[:-1] & joint[1:]
+            hits: list[tuple] = []  # pattern, word at which the identifier begins (side 0) or before which it ends (side 1), side
+            names, counts = [], []
+            for side in (0, 1):
+                for wide, p in ((0, _ones(h, side)), (1, _pairs(h, side) if len(h) > 1 else h[:0])):
+                    found = listed(p)
+                    if wide:
+                        found &= joint[1:]
+                    where = np.flatnonzero(found)
+                    if not len(where):
+                        continue
+                    n, c = np.unique(p[where], return_counts=True)
+                    names.append(n)
+                    counts.append(c)
+                    word = where + wide + 1 if side == 0 else where
+                    inside = (word < len(h)) & (word > 0)
+                    where, word = where[inside], word[inside]
+                    fits = joint[word] & near[word if side == 0 else word - 1]
+                    hits += zip(word[fits].tolist(), [side] * int(fits.sum()), p[where[fits]].view(np.int64).tolist())
+            if not names:
                 continue
-            names, counts = np.unique(p[where], return_counts=True)
-            blank = [None] * len(names)
-            yield batch(schema, names.view(np.int64), counts, blank, blank, blank, blank, blank, blank)
+            k = sum(map(len, names))
+            blank = [None] * k
+            yield batch(schema, np.concatenate(names).view(np.int64), np.concatenate(counts), *[blank] * 7)
             ids, hashes = b.column(0), b.column(1)
-            doc = np.searchsorted(at, where, "right") - 1
-            rows = []
-            follows = where + 2 < at[doc + 1]
-            now, worth, text, place, stop = -1, False, "", None, -1
-            for w, d in zip(where[follows].tolist(), doc[follows].tolist()):
+            hits.sort()
+            docs = (np.searchsorted(at, [w for w, *_ in hits], "right") - 1).tolist()
+            rows, places, now, own = [], [], -1, None
+            for (word, side, p), d in zip(hits, docs):
                 if d != now:
-                    raw = data[bounds[d] : bounds[d + 1]]
-                    now, stop, text = d, -1, raw.tobytes()
-                    worth = _MARK[raw].any() or _AT.search(text) is not None
-                    if worth:
-                        text, place = text.decode(errors="replace"), np.cumsum((raw & 0xC0) != 0x80) - 1
-                if not worth:
-                    continue
-                start = int(place[first[w + 2] - bounds[d]])
-                if start > stop:
-                    stop = text.find("\n", start)
-                    stop = len(text) if stop < 0 else stop
-                for k, kind in enumerate(KINDS):
-                    if m := _SHAPES[kind].match(text, start, stop):
-                        rows.append((p[w].view(np.int64).item(), None, ids[d].as_py(), hashes[d].as_py(), k, start, m.end(), m.group().lower()))
+                    now, own = d, _Text(data[bounds[d] : bounds[d + 1]])
+                byte = int(first[word] - bounds[d])
+                for kind, s, e in own.onward(byte) if side == 0 else own.back(byte):
+                    rows.append((p, None, ids[d].as_py(), hashes[d].as_py(), kind, s, e, own.text[s:e].lower()))
+                    places.append(beside(own.text, s, e))
             if rows:
-                yield batch(schema, *map(list, zip(*rows)))
+                yield batch(schema, *map(list, zip(*rows)), patterns_of(places))
 
     return fn
 
@@ -190,7 +269,8 @@ def score(seeds: DataFrame, totals: DataFrame, candidates: DataFrame, confidence
     known = seeds.groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n"))
     instances = known.select("kind", "instance").distinct()
     unseen = materialise(candidates.join(instances, ["kind", "instance"], "left_anti").groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n")), "pii-unseen")
-    sure = materialise(known.groupBy("pattern", "kind").agg(F.sum("n").alias("sure")).join(totals, "pattern"), "pii-sure")
+    both = known.select("pattern", "kind", "n").unionByName(unseen.select("pattern", "kind", F.lit(0).cast("bigint").alias("n")))
+    sure = materialise(both.groupBy("pattern", "kind").agg(F.sum("n").alias("sure")).join(totals, "pattern"), "pii-sure")
     sound = lambda extra: F.least(F.lit(1.0), (F.col("sure") + extra) / (F.col("total") + 1.0))
     patterns = sure.select("pattern", "kind", sound(F.lit(0.0)).alias("confidence"))
     scores = None
@@ -202,24 +282,40 @@ def score(seeds: DataFrame, totals: DataFrame, candidates: DataFrame, confidence
     return patterns.where(F.col("confidence") >= confidence), scores.where(F.col("score") >= confidence)
 
 
-def discover(keyed: DataFrame, base: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
-    """Spans (doc_id, text_hash, kind, start, end) that confident patterns mark; None if no pattern has support."""
-    seeds = base.select(F.explode("seeds").alias("s")).select("s.*")
-    strong = seeds.groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("m")).where(F.col("m") >= support).select("pattern", "kind")
-    strong = materialise(strong, "pii-strong")
+def _bitmap(patterns: DataFrame) -> bytes | None:
+    """A bit for each pattern's slot; collects BITMAP / 8 rows at most. None if there are none."""
     byte = F.shiftright(F.col("pattern").bitwiseAND(F.lit(BITMAP - 1)), 3)
-    bits = strong.groupBy(byte.alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(pattern & 7 as int))")).alias("bits")).collect()  # BITMAP / 8 rows at most
-    if not bits:
-        return None
-    bitmap = np.zeros(BITMAP // 8, np.uint8)
+    bits = patterns.groupBy(byte.alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(pattern & 7 as int))")).alias("bits")).collect()
+    out = np.zeros(BITMAP // 8, np.uint8)
     for r in bits:
-        bitmap[r["byte"]] = r["bits"]
-    seen = materialise(keyed, "pii-occurrences", _occurrences(bitmap.tobytes()), "pattern bigint, n bigint, doc_id bigint, text_hash bigint, kind int, start bigint, end bigint, instance string")
-    totals = seen.where("n IS NOT NULL").groupBy("pattern").agg(F.sum("n").alias("total"))
-    candidates = materialise(seen.where("n IS NULL").join(strong, ["pattern", "kind"]), "pii-candidates")
-    edges = seeds.join(strong, ["pattern", "kind"]).groupBy("pattern", "kind", "instance").agg(F.count("*").alias("n"))
-    patterns, scores = score(edges, totals, candidates.select("pattern", "kind", "instance", F.lit(1).alias("n")), confidence)
-    return candidates.join(patterns, ["pattern", "kind"]).join(scores, ["kind", "instance"]).select("doc_id", "text_hash", "kind", "start", "end").distinct()
+        out[r["byte"]] = r["bits"]
+    return out.tobytes() if bits else None
+
+
+def discover(keyed: DataFrame, base: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
+    """Spans (doc_id, text_hash, kind, start, end) that confident patterns mark; None if no pattern has support.
+
+    Turns end when no pattern is new; patterns are finite, as each has an occurrence in the corpus.
+    """
+    seeds = base.select(F.explode("seeds").alias("s")).select("s.kind", "s.instance", F.explode("s.patterns").alias("pattern"))
+    own = materialise(seeds.groupBy("pattern", "kind", "instance").agg(F.count("*").alias("n")), "pii-edges")
+    edges, seen, totals, found = own.select("pattern", "kind", "instance"), None, None, None
+    while True:
+        strong = materialise(edges.groupBy("pattern", "kind").agg(F.countDistinct("instance").alias("m")).where(F.col("m") >= support).select("pattern", "kind"), "pii-strong")
+        fresh = strong.select("pattern").distinct()
+        fresh = materialise(fresh if totals is None else fresh.join(totals.select("pattern"), "pattern", "left_anti"), "pii-fresh")
+        bitmap = None if empty(fresh) else _bitmap(fresh)
+        if bitmap is None:
+            return found
+        kinds = "pattern bigint, n bigint, doc_id bigint, text_hash bigint, kind int, start bigint, end bigint, instance string, patterns array<bigint>"
+        more = materialise(keyed, "pii-occurrences", _occurrences(bitmap), kinds).join(fresh, "pattern", "left_semi")
+        seen = more if seen is None else seen.unionByName(more)
+        totals = materialise(seen.where("n IS NOT NULL").groupBy("pattern").agg(F.sum("n").alias("total")), "pii-totals")
+        candidates = materialise(seen.where("n IS NULL").join(strong, ["pattern", "kind"], "left_semi").drop("n"), "pii-candidates")
+        patterns, scores = score(own.join(strong, ["pattern", "kind"], "left_semi"), totals, candidates.select("pattern", "kind", "instance", F.lit(1).alias("n")), confidence)
+        marked = materialise(candidates.join(patterns.select("pattern", "kind"), ["pattern", "kind"], "left_semi").join(scores.select("kind", "instance"), ["kind", "instance"], "left_semi").select("doc_id", "text_hash", "kind", "start", "end", "instance", "patterns").distinct(), "pii-marked")
+        found = marked.select("doc_id", "text_hash", "kind", "start", "end")
+        edges = own.select("pattern", "kind", "instance").unionByName(marked.select(F.explode("patterns").alias("pattern"), "kind", "instance"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -239,7 +335,7 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFID
     repeat. Other columns of docs are ignored; an empty table gives an empty result.
     """
     keyed = _keyed(docs)
-    seeds = "array<struct<kind: int, pattern: bigint, instance: string>>"
+    seeds = "array<struct<kind: int, instance: string, patterns: array<bigint>>>"
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
     base = materialise(keyed, "pii-base", _seeds, f"doc_id bigint, text_hash bigint, {counts}, base string, base_sha256 string, seeds {seeds}")
     found = discover(keyed, base, support, confidence)
@@ -281,7 +377,8 @@ def _mask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def masked(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """docs with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE], and n_chars, if there, adjusted; all rows and columns stay.
 
-    Spans are looked up by (doc_id, text), so texts without any never leave their partition.
+    Spans are looked up by (doc_id, text). While they are few enough to be broadcast, texts stay where they are; beyond that the join
+    sends each text once.
     """
     spans = find_pii(docs, support, confidence).where("spans <> ''").groupBy("doc_id", "text_hash").agg(F.first("spans").alias("__spans"))
     spans = materialise(spans, "pii-spans").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
