@@ -40,23 +40,12 @@ def decode_entities(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
 
 
-#: What a text must hold for a repair to do anything, and the repair; a run of blanks that is one space already is left alone.
-_REPAIRS = (
-    (None, r"[\t\r\f\x0B]+", " "),
-    (r"@(?U:\s)*\n", r"(?U)(\S+@)\s*\n\s*(\S+)", "$1$2"),
-    (r"(?U)\d[-.]?\s*\n", r"(?U)(\d+)[-.]?\s*\n\s*[-.]?(\d+)", "$1-$2"),
-    (r"(?U)\d\s*-?\s*\n", r"(?U)(\d{3})\s*[-]?\s*\n\s*[-]?\s*(\d{2})\s*[-]?\s*\n?\s*[-]?\s*(\d{4})", "$1-$2-$3"),
-    (None, r"(?U)[^\S\n]{2,}|[^\S\n ]", " "),
-    (None, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""),
-)
-
-
 def normalise(c: Column, nfc: bool = True) -> Column:
     """NFC, entities, white space, addresses and numbers split over lines, zero-width characters and dashes. Quotes stay as they are."""
     c = decode_entities(compose(c) if nfc else c)
-    for needed, regex, to in _REPAIRS:
+    for needed, regex, to in vocab.REPAIRS:
         c = F.regexp_replace(c, regex, to) if needed is None else F.when(c.rlike(needed), F.regexp_replace(c, regex, to)).otherwise(c)
-    return F.translate(c, "–—", "--")
+    return F.translate(c, *vocab.DASHES)
 
 
 def offset_map(original: Column, normalised: Column) -> Column:
@@ -66,17 +55,17 @@ def offset_map(original: Column, normalised: Column) -> Column:
 
 def rejoin(c: Column) -> Column:
     """E-mail addresses, phone, card and social security numbers split at a line feed."""
-    c = F.regexp_replace(c, r"(?U)([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]*)\s*\n\s*([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", "$1$2")
-    c = F.regexp_replace(c, r"(?U)(\d{3}[-.\s]?\d{3})[-.\s]?\n[-.\s]?(\d{4})", "$1-$2")
-    c = F.regexp_replace(c, r"(?U)(\d{4}[-.\s]?\d{4})[-.\s]?\n[-.\s]?(\d{4}[-.\s]?\d{4})", "$1-$2")
-    return F.regexp_replace(c, r"(?U)(\d{3})[-.\s]?\n[-.\s]?(\d{2})[-.\s]?\n?[-.\s]?(\d{4})", "$1-$2-$3")
+    for regex, to in vocab.REJOINED:
+        c = F.regexp_replace(c, regex, to)
+    return c
 
 
 def fix_ocr(c: Column, kind: Column) -> Column:
     """Letters misread for digits where numbers are expected; spaces and two misreadings in addresses; else unchanged."""
-    numeric = F.translate(c, "OolISB", "001158")
-    address = F.replace(F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("rnail"), F.lit("mail")), F.lit("corn"), F.lit("com"))
-    return F.when(kind.isin("phone", "ssn", "credit_card", "account"), numeric).when(kind == "email", address).otherwise(c)
+    address = c
+    for wrong, right in vocab.MISREAD_ADDRESSES:
+        address = F.replace(address, F.lit(wrong), F.lit(right))
+    return F.when(kind.isin(*vocab.NUMERIC_KINDS), F.translate(c, *vocab.MISREAD_DIGITS)).when(kind == "email", address).otherwise(c)
 
 
 def regions(name: str) -> Column:
@@ -117,18 +106,12 @@ def urgency(span_type: Column, category: Column) -> Column:
 
 
 def infer_category(text: Column) -> Column:
+    """The category whose expression a text matches first."""
     t = strip(text)
-    return (
-        F.when(t.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), "SSN")
-        .when(t.rlike(r"^[0-9]{3}-[0-9]{3}-[0-9]{4}\z"), "PHONE")
-        .when(F.contains(t, F.lit("@")), "EMAIL")
-        .when(t.rlike(r"^\$[0-9,]+(\.[0-9]{2})?\z"), "AMOUNT")
-        .when(t.rlike(r"(?i)^(January|February|March|April|May|June|July|August|September|October|November|December)(?U:\s+)[0-9]{1,2},(?U:\s+)[0-9]{4}\z"), "DATE")
-        .when(t.rlike(r"^[A-Z][a-z]+((?U:\s+)[A-Z][a-z]+)*\z"), "NAME")
-        .when(t.rlike(r"^[A-Z][a-z]+((?U:\s+)(&|and)(?U:\s+)[A-Z][a-z]+)+"), "ORG")
-        .when(t.rlike(r"^([A-Z][a-z]*(?U:\s+))+[A-Z][a-z]*\z"), "ORG")
-        .otherwise("TEXT")
-    )
+    out = F.lit("TEXT")
+    for regex, name in reversed(vocab.INFERRED):
+        out = F.when(t.rlike(regex), name).otherwise(out)
+    return out
 
 
 def label(category: Column, text: Column) -> Column:

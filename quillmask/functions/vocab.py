@@ -219,3 +219,37 @@ CRITICAL_FLAGS = ("ssn", "phone", "credit_card", "ip_address")
 CRITICAL_SPANS, ELEVATED_SPANS = ("ssn", "credit_card"), ("phone", "email", "ip_address")
 DECISIONS = {"detector": ("approve", "reject"), "risk_flag": ("redact", "dismiss")}
 MODES, STYLES = ("redact", "pseudonymize"), ("bars", "brackets")
+
+# Repairs of normalisation, in order: what a text must hold for one to do anything, the expression, and what comes instead. A run
+# of blanks that is one space already is left alone.
+REPAIRS = (
+    (None, r"[\t\r\f\x0B]+", " "),
+    (r"@(?U:\s)*\n", r"(?U)(\S+@)\s*\n\s*(\S+)", "$1$2"),
+    (r"(?U)\d[-.]?\s*\n", r"(?U)(\d+)[-.]?\s*\n\s*[-.]?(\d+)", "$1-$2"),
+    (r"(?U)\d\s*-?\s*\n", r"(?U)(\d{3})\s*[-]?\s*\n\s*[-]?\s*(\d{2})\s*[-]?\s*\n?\s*[-]?\s*(\d{4})", "$1-$2-$3"),
+    (None, r"(?U)[^\S\n]{2,}|[^\S\n ]", " "),
+    (None, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", ""),
+)
+DASHES = ("\u2013\u2014", "--")
+
+# Tokens rejoined over a line feed, and misreadings.
+REJOINED = (
+    (r"(?U)([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]*)\s*\n\s*([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", "$1$2"),
+    (r"(?U)(\d{3}[-.\s]?\d{3})[-.\s]?\n[-.\s]?(\d{4})", "$1-$2"),
+    (r"(?U)(\d{4}[-.\s]?\d{4})[-.\s]?\n[-.\s]?(\d{4}[-.\s]?\d{4})", "$1-$2"),
+    (r"(?U)(\d{3})[-.\s]?\n[-.\s]?(\d{2})[-.\s]?\n?[-.\s]?(\d{4})", "$1-$2-$3"),
+)
+MISREAD_DIGITS, NUMERIC_KINDS = ("OolISB", "001158"), ("phone", "ssn", "credit_card", "account")
+MISREAD_ADDRESSES = ((" ", ""), ("rnail", "mail"), ("corn", "com"))
+
+# The category that a bare text suggests, in order.
+INFERRED = (
+    (r"^[0-9]{3}-[0-9]{2}-[0-9]{4}\z", "SSN"),
+    (r"^[0-9]{3}-[0-9]{3}-[0-9]{4}\z", "PHONE"),
+    ("@", "EMAIL"),
+    (r"^\$[0-9,]+(\.[0-9]{2})?\z", "AMOUNT"),
+    (r"(?i)^(January|February|March|April|May|June|July|August|September|October|November|December)(?U:\s+)[0-9]{1,2},(?U:\s+)[0-9]{4}\z", "DATE"),
+    (r"^[A-Z][a-z]+((?U:\s+)[A-Z][a-z]+)*\z", "NAME"),
+    (r"^[A-Z][a-z]+((?U:\s+)(&|and)(?U:\s+)[A-Z][a-z]+)+", "ORG"),
+    (r"^([A-Z][a-z]*(?U:\s+))+[A-Z][a-z]*\z", "ORG"),
+)

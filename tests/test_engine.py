@@ -92,6 +92,65 @@ def test_detectors_on_documents(spark, detector, plain):
         assert got == plain(t)
 
 
+def plain_false_positive(text, kind):
+    t = text.strip()
+    short = kind in ("organization", "name") and len(t) < 5 and not any(c.isupper() for c in t[1:])
+    starts = bool(t) and (t[0].isupper() or t[0].isdigit() or t[0] in "(+#@") or kind in ("email", "url", "username", "phone")
+    return t.lower() in vocab.FALSE_POSITIVES or len(t) < 4 or t.endswith(":") or short or not starts
+
+
+def plain_ensemble(text):
+    """The whole detection of a normalised text, from lists of tuples."""
+    url, handle, ident = (re.compile(p.regex) for p in vocab.RULE_PATTERNS)
+    rules = [(*m.span(), m.group(), "url") for m in url.finditer(text)] + [(*m.span(), m.group(), "username") for m in handle.finditer(text)]
+    rules += [(*m.span(), m.group(), "id_number") for m in ident.finditer(text) if re.search("[0-9]", m.group()) and re.search("[A-Z]", m.group())]
+    found = [(*x, "regex") for x in plain_regex(text)] + [(*x, "context") for x in plain_context(text)] + [(*x, "rules") for x in rules]
+    found = sorted(((s, i, e, t, k, src) for i, (s, e, t, k, src) in enumerate(found) if not plain_false_positive(t, k)))
+    out = []
+    for s, _, e, t, k, src in found:
+        k = vocab.TYPE_ALIASES.get(k, k)
+        if out and s < out[-1]["end"]:
+            x = out[-1]
+            x["end"], x["text"] = max(x["end"], e), t if len(t) > len(x["text"]) else x["text"]
+            x["types"].add(k)
+            x["sources"].add(src)
+        else:
+            out.append({"start": s, "end": e, "text": t, "types": {k}, "sources": {src}})
+    rows = []
+    for x in out:
+        n, kinds = len(x["sources"]), x["types"]
+        score = (50, 70, 85)[n - 1] + 5 * ("context" in x["sources"]) - 10 * (len(kinds) > 1) - 5 * (len(kinds) > 2)
+        first = next((t for t in vocab.TYPE_PRIORITY if t in kinds), min(kinds))
+        rows.append((x["start"], x["end"], x["text"], first, sorted(kinds), sorted(x["sources"]), score, "detector" if first in vocab.HIGH_CONFIDENCE or score >= 80 else "risk_flag"))
+    return rows
+
+
+def test_ensemble_on_documents(spark):
+    """The flagship against plain Python, on a whole table, the fixtures and a text of more than 33,000 characters."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = [*ALL, "\n".join(ALL * 16)]
+    docs = docs.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(more)], docs.schema)).select("doc_id", X.normalise(F.col("text")).alias("text"))
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    assert max(map(len, texts.values())) > 33_000
+    got = {}
+    for x in ensemble(docs, normalised=False).collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.end, x.text, x.primary_type, x.types, x.sources, x.confidence_score, x.queue))
+    for i, t in texts.items():
+        assert sorted(got.get(i, [])) == plain_ensemble(t), t[:80]
+
+
+def test_columns_with_names_of_ours(spark):
+    df = spark.createDataFrame([(1, "Write to ann@lee.example.", "x", 2, True, "n", "u")], "doc_id long, text string, t string, l int, d boolean, n string, u string")
+    out = detect.detect(df, ["second_pass"])
+    assert out.drop("second_pass").collect() == df.collect() and out.columns == [*df.columns, "second_pass"]
+
+
+def test_texts_with_the_marks_themselves(spark):
+    t = "a@b.cd \uffff 10.0.0.1 \ufffe x@y.zz"
+    rows = detect.explode_spans(detect.detect(frame(spark, [t]), ["regex"]), ["regex"]).collect()
+    assert [(x.start, x.end, x.text) for x in rows] == [(0, 6, "a@b.cd"), (20, 26, "x@y.zz"), (9, 17, "10.0.0.1")]
+
+
 def test_rules_and_second_pass(spark):
     url, handle, ident = (re.compile(p.regex) for p in vocab.RULE_PATTERNS)
     for t, got in zip(ALL, spans_of(spark, ALL, "rules")):
