@@ -13,6 +13,7 @@ loses no row of a known family, whatever its probability or coverage.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -161,6 +162,11 @@ def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _texts(values: Iterable[str]) -> Column:
+    """An array of texts without quotes, as one literal: thousands of columns made one by one take seconds."""
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
+
+
 def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(_lower(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")), " ")
 
@@ -190,15 +196,15 @@ def scan(docs: DataFrame, unknown: bool = False) -> DataFrame:
     and empty texts have no row. Rows that repeat, or have a null doc_id, are scanned like others, one by one; other columns are ignored.
     """
     classes, weights, intercept, anchor = model()
-    anchors = F.array(*[F.lit(a) for a in anchor])
+    anchors = _texts(anchor)
     lines = _units(docs, anchors)
     lines = lines.select("row", "doc_id", "paragraph", "last", _words(F.col("line")).alias("w")).where(F.arrays_overlap("w", anchors))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     rows = lines.withColumn("pairs", F.array_distinct(pairs))
     # a paragraph's own n-grams of the vocabulary, then a sum over these for each class
-    vocabulary = F.array(*[F.lit(g) for g in weights])
+    vocabulary = _texts(weights)
     rows = rows.withColumn("known", F.array_intersect(F.concat(F.array_distinct("w"), "pairs"), vocabulary))
-    table = F.create_map(*[x for g, v in weights.items() for x in (F.lit(g), F.array(*[F.lit(a) for a in v]))])
+    table = F.expr("map(" + ", ".join(f"'{g}', array({', '.join(f'{a!r}D' for a in v)})" for g, v in weights.items()) + ")")
     rows = rows.withColumn("each", F.transform("known", lambda g: F.element_at(table, g)))
     scale = F.greatest(F.lit(1.0), F.sqrt(F.size("known")))
     total = lambda k: F.aggregate("each", F.lit(0.0), lambda a, e: a + F.get(e, F.lit(k)))
@@ -207,7 +213,7 @@ def scan(docs: DataFrame, unknown: bool = False) -> DataFrame:
     p = 1 / F.aggregate("logits", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))
     rows = rows.withColumn("probability", p).withColumn("best", F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("logits", F.col("top")).cast("int")))
     held = {c: [sorted(bigrams(words(t))) for t in ts] for c, ts in TEMPLATES.items()}
-    share = lambda t: F.size(F.array_intersect("pairs", F.array(*[F.lit(g) for g in t]))) / F.lit(float(len(t)))
+    share = lambda t: F.size(F.array_intersect("pairs", _texts(t))) / F.lit(float(len(t)))
     cover = F.lit(0.0)
     for c, ts in held.items():
         cover = F.when(F.col("best") == c, F.greatest(*[share(t) for t in ts], F.lit(0.0))).otherwise(cover)
