@@ -173,7 +173,8 @@ def _words(text: Column) -> Column:
 
 def _units(docs: DataFrame, anchors: Column) -> DataFrame:
     """row, doc_id, paragraph, last, line: every line, and every run of several lines between lines without words, of texts with an anchor."""
-    docs = docs.where(F.arrays_overlap(_words(F.col("text")), anchors))
+    # lower() folds more than A-Z, so that this lets through a little more than need be
+    docs = docs.where(F.arrays_overlap(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), anchors))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
     rows = rows.withColumn("full", F.transform("lines", lambda x: x.rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")))
     at = lambda i: F.coalesce(F.get("full", i), F.lit(False))
@@ -200,7 +201,7 @@ def scan(docs: DataFrame, unknown: bool = False) -> DataFrame:
     lines = _units(docs, anchors)
     lines = lines.select("row", "doc_id", "paragraph", "last", _words(F.col("line")).alias("w")).where(F.arrays_overlap("w", anchors))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    rows = lines.withColumn("pairs", F.array_distinct(pairs))
+    rows = settled(lines.withColumn("pairs", F.array_distinct(pairs)))
     # a paragraph's own n-grams of the vocabulary, then a sum over these for each class
     vocabulary = _texts(weights)
     rows = rows.withColumn("known", F.array_intersect(F.concat(F.array_distinct("w"), "pairs"), vocabulary))
@@ -213,6 +214,8 @@ def scan(docs: DataFrame, unknown: bool = False) -> DataFrame:
     p = 1 / F.aggregate("logits", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))
     rows = rows.withColumn("probability", p).withColumn("best", F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("logits", F.col("top")).cast("int")))
     held = {c: [sorted(bigrams(words(t))) for t in ts] for c, ts in TEMPLATES.items()}
+    # templates are compared with the few pairs that any of them has, not with all of a long paragraph
+    rows = rows.withColumn("pairs", F.array_intersect("pairs", _texts(sorted({g for ts in held.values() for t in ts for g in t}))))
     share = lambda t: F.size(F.array_intersect("pairs", _texts(t))) / F.lit(float(len(t)))
     cover = F.lit(0.0)
     for c, ts in held.items():
