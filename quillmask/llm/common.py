@@ -7,6 +7,7 @@ megabytes at a time, so that memory doesn't follow the length of a text or of a
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,6 +76,7 @@ def _writer(folder: str, fn: Callable | None):
                 rows += b.num_rows
         if out:
             out.close()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([name if out else None], pa.string()), pa.array([rows], pa.int64())], names=["file", "n"])
 
     return write
@@ -194,6 +196,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None)
     return F.broadcast(df)
 
 
+def give_back() -> None:
+    """At a task's end: memory that this worker has freed goes back to the system. Idle workers live on, and would hold it beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def empty(df: DataFrame) -> bool:
     known = getattr(df, "known_rows", None)
     return not (df.limit(1).count() if known is None else known)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import WORD, at_workers, materialise, small
+from quillmask.llm.common import WORD, at_workers, materialise, small, written
 
 #: Words that the knapsack fits exactly; ranges of hashes, as a power of two, at least; rows of a range at most, on average.
 KNAPSACK_WORDS, RANGE_BITS, RANGE_ROWS = 16_384, 8, 1_000_000
@@ -105,7 +105,8 @@ def _cuts(rows: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame
     parts = materialise(rows.groupBy("key", "size", "part").agg(F.count("*").alias("n")), "mix-parts")
     lengths = parts.groupBy("key", "size").agg(F.sum("n").alias("n"))
     aims = materialise(targets(lengths.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most), "mix-targets")
-    fitted = materialise(lengths.join(aims, "key").groupBy("key").applyInPandas(_fit_source, "key string, size bigint, rounds int, take bigint"), "mix-fitted")
+    # Spark's own writer: materialise() would run a second Python worker in each of these tasks
+    fitted = written(lengths.join(aims, "key").groupBy("key").applyInPandas(_fit_source, "key string, size bigint, rounds int, take bigint"), "mix-fitted")
     upto = Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     last = parts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(fitted, ["key", "size"]).where("take > before AND take <= before + n")
     last = materialise(last.select("key", "size", "part", (F.col("take") - F.col("before")).alias("quota")), "mix-ranges")

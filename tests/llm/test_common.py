@@ -1,3 +1,6 @@
+import re
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -44,3 +47,17 @@ def test_word_hashes_over_chunks(monkeypatch):
     parts = common.word_hashes(data, bounds, lower=True)
     assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
     assert np.diff(whole[2]).tolist() == [3, 0, 0, 1, 150, 1] and whole[0][0] == whole[0][-1]
+
+
+def test_freed_memory_goes_back():
+    """What a worker has freed isn't held by its allocator until the worker ends."""
+
+    def held():
+        return int(re.search(r"\nRssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    rows = [np.ones(4096) for _ in range(6000)]
+    pin = rows[-1].copy()  # the heap's end stays in use
+    del rows
+    before = held()
+    common.give_back()
+    assert held() < before - 100 and len(pin)

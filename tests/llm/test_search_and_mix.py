@@ -174,3 +174,16 @@ def test_texts_without_ids_stay_themselves(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = [x.text for x in mixing.mixed(df, weights=(1,)).collect()]
     assert sorted(set(out)) == sorted(t for _, t, _ in rows) and len(out) == len(rows)
+
+
+def test_one_python_worker_a_task(spark, monkeypatch):
+    """A table that a Python step makes is not written by another one, in a second worker of each task."""
+    plans = []
+
+    def spied(df, label, fn=None, schema=None, write=mixing.materialise):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, label, fn, schema)
+
+    monkeypatch.setattr(mixing, "materialise", spied)
+    assert mixing.mixed(table(spark, "/root/testdata/sf0.001", "documents")).count()
+    assert plans and not [x for x in plans if "InPandas" in x or "InArrow" in x]
