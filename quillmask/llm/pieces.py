@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding with N-best segmentations.
 
-A text is cut into units that no piece crosses (before a space, around bytes that no longer piece holds). Forward Viterbi scores, best and
-second best, run over all distinct units of a batch at once, by length. The N best segmentations of a text differ from the best one in
-the N - 1 units whose second best is nearest, so a backward A-star search runs over the piece lattice of just these, with their forward
-Viterbi scores as exact heuristics: its first N complete paths are the N best of the text.
+A text is cut into units that no piece crosses: between characters of which no piece holds the last byte of one and the first of the other. Forward Viterbi scores, best and
+second best, run over the distinct units of a batch at once, by length; units that the worker has met before are looked up. The N best
+segmentations of a text differ from the best one in the N - 1 units whose second best is nearest, so a backward A-star search runs over
+the piece lattice of each of these, with forward Viterbi scores as exact heuristics: its first complete paths are the best ones of the
+unit, and the N best sums of one path from each unit are the N best of the text.
 
 For a BPE model the ids that its tokenizer gives come from merges in their order, not from sums of scores; these are computed as well,
 unit by unit, by the library itself. For a unigram model they are the best segmentation.
@@ -18,8 +19,9 @@ import heapq
 import importlib
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import arrow_map, batch, mix, pieces, utf8
+from quillmask.llm.common import arrow_map, batch, give_back, mix, pieces, utf8
 
 SPACE, MARK = 0x20, "▁"
 #: Units of more bytes are segmented one by one; texts are handled so many bytes at a time.
-LONG, BYTES = 48, 2 << 20
+LONG, BYTES = 48, 1 << 20
+#: Distinct units, and ids of their segmentations, that a worker remembers; beyond, it starts anew with those of the batch.
+UNITS, UNIT_IDS = 200_000, 2_000_000
+#: Units whose best segmentations a worker remembers.
+WAYS = 20_000
 FILTER = 1 << 21
 
 _rng = np.random.default_rng(4242)
@@ -55,6 +61,35 @@ def hash_bytes(data: bytes) -> int:
     return int(mix(h)[0])
 
 
+@dataclass
+class Units:
+    """What is known of distinct units, by their hashes in order. ids are those of the best segmentations, own the tokenizer's, on end."""
+
+    names: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    gap: np.ndarray = field(default_factory=lambda: np.zeros(0))  # from the best score to the second best
+    begin: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    own_begin: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    own_count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    own: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+
+    def places(self, names: np.ndarray) -> np.ndarray:
+        """Where each of these is; -1: unknown."""
+        if not len(self.names):
+            return np.full(len(names), -1)
+        spot = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[spot] == names, spot, -1)
+
+    def plus(self, more: Units) -> Units:
+        names = np.concatenate([self.names, more.names])
+        order = np.argsort(names)
+        both = lambda c, shift=0: np.concatenate([getattr(self, c), getattr(more, c) + shift])[order]
+        flat = (np.concatenate([self.ids, more.ids]), np.concatenate([self.own, more.own]))
+        return Units(names[order], both("scores"), both("gap"), both("begin", len(self.ids)), both("count"), both("own_begin", len(self.own)), both("own_count"), *flat)
+
+
 @dataclass
 class Model:
     ids: dict[bytes, int]
@@ -66,10 +101,12 @@ class Model:
     key_ids: np.ndarray
     filter: np.ndarray
     longest: int
-    cuts: np.ndarray  # bytes that are units of their own
+    joins: np.ndarray  # by 256 * a byte + the next: whether both may be of one unit
     merges: object  # the library's processor, for a BPE model
     lead: bytes  # a byte that is a unit of its own, and how many ids it takes with the space before it
     lead_ids: int
+    units: Units = field(default_factory=Units)  # met so far
+    ways: dict[tuple[bytes, int], list[tuple[float, list[int]]]] = field(default_factory=dict)  # best segmentations of units, searched so far
 
 
 @lru_cache(4)
@@ -93,12 +130,19 @@ def load(path: str) -> Model:
     order = np.argsort(keys)
     flags = np.zeros(FILTER, bool)
     flags[keys & np.uint64(FILTER - 1)] = True
-    inside = {b for s in ids if len(s) > 1 for b in s}
-    cuts = np.array([b < 0x80 and b != SPACE and b not in inside for b in range(256)])
+    # merges may go by way of pieces that are unused in the end
+    whole = [sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+    joins = np.zeros((256, 256), bool)
+    for s in whole:
+        for a, b in zip(s, s[1:]):
+            joins[a, b] = True
+    inside = {b for s in whole if len(s) > 1 for b in s}
+    joins[:, 0x80:0xC0] = True  # a character is never cut
     bpe = is_bpe(open(path, "rb").read())
-    lead = bytes([next(b for b in range(1, 128) if cuts[b])]) if cuts.any() else b""
+    lone = [b for b in range(1, 128) if b != SPACE and b not in inside]
+    lead = bytes(lone[:1])
     lead_ids = len(sp.encode(lead.decode())) if bpe and lead else 0
-    return Model(ids, scores, surface, byte_ids, float(scores[plain].min()) - 10, keys[order], np.array(list(ids.values()))[order], flags, max(map(len, ids)), cuts, sp if bpe else None, lead, lead_ids)
+    return Model(ids, scores, surface, byte_ids, float(scores[plain].min()) - 10, keys[order], np.array(list(ids.values()))[order], flags, max(map(len, ids)), joins.ravel(), sp if bpe else None, lead, lead_ids)
 
 
 def is_bpe(proto: bytes) -> bool:
@@ -266,34 +310,10 @@ def gather(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - counts), counts)]
 
 
-def segment(m: Model, text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
-    """The best ids of all texts on end, the places where texts begin and end, scores, for each text its other n - 1 best, and the tokenizer's own ids and their places."""
-    raw, ends = utf8(text)
-    k = len(ends) - 1
-    lengths = np.diff(ends)
-    shown = lengths > 0  # an empty text has no pieces
-    bounds = np.concatenate([[0], np.cumsum(lengths + shown)])
-    data = np.empty(bounds[-1], np.uint8)
-    data[bounds[:-1][shown]] = SPACE
-    data[np.arange(len(raw)) + np.repeat(np.cumsum(shown), lengths)] = raw
-    none = np.zeros(0, np.int64)
-    if not len(data):
-        return none, np.zeros(k + 1, np.int64), np.zeros(k), [[] for _ in range(k)], none, np.zeros(k + 1, np.int64)
-    space, lone = data == SPACE, m.cuts[data]
-    begins = space.copy()
-    begins[1:] &= ~space[:-1]
-    begins |= lone
-    begins[1:] |= lone[:-1]
-    begins[bounds[:-1][shown]] = True
-    first = np.flatnonzero(begins)
-    sizes = np.diff(np.append(first, len(data)))
-    where = np.arange(len(data)) - np.repeat(first, sizes)
-    top = int(sizes.max())
-    powers = _POWERS if top <= len(_POWERS) else np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(top, _BASE)]))
-    names = mix(np.add.reduceat(_LETTERS[data] * powers[where], first)) ^ sizes.astype(np.uint64)
-    _, seen, unit = np.unique(names, return_index=True, return_inverse=True)
-    u_first, u_size = first[seen], sizes[seen]
-    scores, gap, begin, count = np.zeros(len(seen)), np.full(len(seen), np.inf), np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+def _units(m: Model, data: np.ndarray, names: np.ndarray, u_first: np.ndarray, u_size: np.ndarray) -> Units:
+    """Segments units, data[u_first[i]:u_first[i] + u_size[i]], whose hashes are names, in order."""
+    n = len(names)
+    scores, gap, begin, count = np.zeros(n), np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
     flat: list[np.ndarray] = []
     total = 0
     for size in np.unique(u_size).tolist():
@@ -317,8 +337,53 @@ def segment(m: Model, text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, n
         begin[members] = total + np.cumsum(c) - c
         flat.append(rows)
         total += len(rows)
-    counts = count[unit]
-    ids = gather(np.concatenate(flat), begin[unit], counts)
+    flat_ids = np.concatenate(flat)
+    if m.merges is None:
+        return Units(names, scores, gap, begin, count, begin, count, flat_ids, flat_ids)
+    u_bytes = [data[f : f + z].tobytes() for f, z in zip(u_first.tolist(), u_size.tolist())]
+    own = merged(m, u_bytes)
+    for j, u in enumerate(u_bytes):
+        if MARK.encode() in u:  # the library reads a text's own mark as a space
+            own[j] = flat_ids[begin[j] : begin[j] + count[j]].tolist()
+    sizes_of = np.fromiter(map(len, own), np.int64, n)
+    return Units(names, scores, gap, begin, count, np.cumsum(sizes_of) - sizes_of, sizes_of, flat_ids, np.fromiter(chain.from_iterable(own), np.int32, int(sizes_of.sum())))
+
+
+def segment(m: Model, text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
+    """The best ids of all texts on end, the places where texts begin and end, scores, for each text its other n - 1 best, and the tokenizer's own ids and their places."""
+    raw, ends = utf8(text)
+    k = len(ends) - 1
+    lengths = np.diff(ends)
+    shown = lengths > 0  # an empty text has no pieces
+    bounds = np.concatenate([[0], np.cumsum(lengths + shown)])
+    data = np.empty(bounds[-1], np.uint8)
+    data[bounds[:-1][shown]] = SPACE
+    data[np.arange(len(raw)) + np.repeat(np.cumsum(shown), lengths)] = raw
+    none = np.zeros(0, np.int64)
+    if not len(data):
+        return none, np.zeros(k + 1, np.int64), np.zeros(k), [[] for _ in range(k)], none, np.zeros(k + 1, np.int64)
+    begins = np.ones(len(data), bool)
+    begins[1:] = ~m.joins[data[:-1].astype(np.uint16) << 8 | data[1:]]
+    begins[bounds[:-1][shown]] = True
+    first = np.flatnonzero(begins)
+    sizes = np.diff(np.append(first, len(data)))
+    where = np.arange(len(data)) - np.repeat(first, sizes)
+    top = int(sizes.max())
+    powers = _POWERS if top <= len(_POWERS) else np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(top, _BASE)]))
+    names = mix(np.add.reduceat(_LETTERS[data] * powers[where], first)) ^ sizes.astype(np.uint64)
+    names, seen, unit = np.unique(names, return_index=True, return_inverse=True)
+    known = m.units
+    spots = known.places(names)
+    if len(known.names) + int((spots < 0).sum()) > UNITS or len(known.ids) > UNIT_IDS:
+        known, spots = Units(), np.full(len(names), -1)
+    if (spots < 0).any():
+        fresh = seen[spots < 0]
+        known = known.plus(_units(m, data, names[spots < 0], first[fresh], sizes[fresh]))
+        spots = known.places(names)
+    m.units = known
+    unit = spots[unit]
+    scores, gap, counts = known.scores, known.gap, known.count[unit]
+    ids = gather(known.ids, known.begin[unit], counts)
     unit_at = np.searchsorted(first, bounds)
     ids_at = np.concatenate([[0], np.cumsum(counts)])
     sums = np.concatenate([[0.0], np.cumsum(scores[unit])])
@@ -332,14 +397,8 @@ def segment(m: Model, text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, n
             o["score"] += best[i]
     if m.merges is None:
         return ids, ids_at[unit_at], best, others, ids, ids_at[unit_at]
-    u_bytes = [data[f : f + z].tobytes() for f, z in zip(u_first.tolist(), u_size.tolist())]
-    own, flat_ids = merged(m, u_bytes), np.concatenate(flat)
-    for j, u in enumerate(u_bytes):
-        if MARK.encode() in u:  # the library reads a text's own mark as a space
-            own[j] = flat_ids[begin[j] : begin[j] + count[j]].tolist()
-    sizes_of = np.array([len(x) for x in own])
-    own_counts = sizes_of[unit]
-    own_ids = gather(np.array([i for x in own for i in x], np.int32), (np.cumsum(sizes_of) - sizes_of)[unit], own_counts)
+    own_counts = known.own_count[unit]
+    own_ids = gather(known.own, known.own_begin[unit], own_counts)
     return ids, ids_at[unit_at], best, others, own_ids, np.concatenate([[0], np.cumsum(own_counts)])[unit_at]
 
 
@@ -350,30 +409,31 @@ def _others(m: Model, data, first, sizes, ids_at, gap: np.ndarray, lo: int, n: i
         return []
     if len(near) >= n:
         near = np.sort(near[np.lexsort((near, gap[near]))[: n - 1]])
-    units = [data[first[u] : first[u] + sizes[u]].tobytes() for u in (lo + near).tolist()]
-    lattice: list = []
-    for unit in units:
-        base = len(lattice)
-        lattice += [[(base + e, i, s) for e, i, s in out] for out in edges(m, unit)]
     start, kept, out = int(ids_at[lo]), [ids[ids_at[lo + u] : ids_at[lo + u + 1]].tolist() for u in near.tolist()], []
     # a few more than n, as the best found here may be a tie of the one that was kept
-    found = n_best(lattice, n + 1)
+    found: list[tuple[float, list[list[int]]]] = [(0.0, [])]
+    for u in (lo + near).tolist():
+        ways = _ways(m, data[first[u] : first[u] + sizes[u]].tobytes(), n + 1)
+        found = sorted(((a + s, [*paths, path]) for a, paths in found for s, path in ways), key=lambda x: -x[0])[: n + 1]
     top = found[0][0]
-    for score, path in found:
-        edits, at = [], 0
-        for unit, old, u in zip(units, kept, near.tolist()):
-            own, size = [], 0
-            while size < len(unit):
-                own.append(path[at])
-                size += len(m.surface[path[at]])
-                at += 1
-            if own != old:
-                edits.append({"at": int(ids_at[lo + u]) - start, "n": len(old), "ids": own})
+    for score, paths in found:
+        edits = [{"at": int(ids_at[lo + u]) - start, "n": len(old), "ids": own} for own, old, u in zip(paths, kept, near.tolist()) if own != old]
         if edits:
             out.append({"score": score - top, "edits": edits})
     return out[: n - 1]
 
 
+def _ways(m: Model, unit: bytes, n: int) -> list[tuple[float, list[int]]]:
+    """The n best segmentations of a unit; those of short ones are remembered."""
+    if (found := m.ways.get((unit, n))) is None:
+        found = n_best(edges(m, unit), n)
+        if len(unit) <= LONG:
+            if len(m.ways) >= WAYS:
+                m.ways.clear()
+            m.ways[unit, n] = found
+    return found
+
+
 def decode_all(m: Model, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
     """Texts of ids[at[i]:at[i + 1]], without the space put before them."""
     flat = np.frombuffer(b"".join(m.surface), np.uint8)
@@ -402,6 +462,7 @@ def _encode(path: str, n: int):
             same = [x == y == raw[lo:hi] for x, y, lo, hi in zip(decode_all(m, ids, at), decode_all(m, best, best_at), ends.tolist(), ends[1:].tolist())]
             lists = (pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(values, pa.int32())) for places, values in ((at, ids), (best_at, best)))
             yield batch(wide, b.column(0), *lists, scores, others, same, *(b.column(i) for i in range(2, b.num_columns)))
+        give_back()
 
     return fn
 
@@ -409,7 +470,7 @@ def _encode(path: str, n: int):
 def encode(docs: DataFrame, n: int = 4, model: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, ids, best, score, alternatives, round_trip; one row for each row of docs.
 
-    ids are those of the model's own tokenizer, but for words that hold the mark U+2581, which it would decode as a space: these have
+    ids are those of the model's own tokenizer, but for units that hold the mark U+2581, which it would decode as a space: these have
     the ids of best. best is the best segmentation of the piece lattice, score its sum of piece scores,
     alternatives the second to nth best as their scores and what they change in best (at `at`, n ids become others); fewer if there are
     no more. Of equal scores any may come first, always the same one. round_trip says that both decode to the text. Null and empty texts

@@ -130,3 +130,32 @@ def test_units_do_not_change_segments(model):
         t = f"{a} {b}{a}"
         _, _, s, *_ = P.segment(model, pa.array([t]), 1)
         assert s[0] == pytest.approx(P.forward(P.edges(model, (" " + t).encode()))[0][-1], rel=1e-12)
+
+
+def test_units_are_segmented_once(model, monkeypatch):
+    """A worker looks up the units that it has met before; what it remembers, or no longer does, changes no result."""
+    texts = pa.array(["the token lichen.", "lichen, the lichen token;", "日本 é 12a. " + "ab" * 60, ""])
+    model.units = P.Units()
+    want = P.segment(model, texts, 4)
+    again = P.segment(model, texts, 4)
+    monkeypatch.setattr(P, "UNITS", 1)
+    small = [P.segment(model, texts, 4) for _ in range(2)]
+    for got in (again, *small):
+        assert all(np.array_equal(a, b) if isinstance(a, np.ndarray) else a == b for a, b in zip(want, got))
+    monkeypatch.undo()
+    P.segment(model, texts, 4)
+    monkeypatch.setattr(P, "_viterbi", None)
+    monkeypatch.setattr(P, "merged", None)
+    P.segment(model, pa.array(["lichen token", "the lichen."]), 4)
+
+
+def test_units_end_where_no_piece_goes_on(model):
+    """A full stop behind a word makes no unit of its own with each word; characters stay whole."""
+    model.units = P.Units()
+    P.segment(model, pa.array(["lichen. lichen.\nlichen lichen!"]), 1)
+    n = len(model.units.names)
+    P.segment(model, pa.array([" lichen.\n" * 3]), 1)
+    assert n <= 5 and len(model.units.names) <= n + 1
+    for t in ("é.é", "日.😀", "a\u0301.", "\u0085x\u0085"):
+        ids, at, *_, own, own_at = P.segment(model, pa.array([t]), 1)
+        assert P.decode_all(model, ids, at) == P.decode_all(model, own, own_at) == [t.encode()]
